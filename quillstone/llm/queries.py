@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from quillstone.llm import suffix_dedup
+from quillstone.llm import sharding, substring_dedup, suffix_dedup, topk
 
 
 def queries() -> dict:
-    return {"op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup}
+    return {
+        "op1_exact_topk": topk.op1_exact_topk,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+        "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
+        "op9_sharding": sharding.op9_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_topk": topk.SQL}
