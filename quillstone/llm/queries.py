@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import sharding, substring_dedup, suffix_dedup, topk
+from quillstone.llm import sharding, substring_dedup, suffix_dedup, topk, warc
 
 
 def queries() -> dict:
@@ -10,9 +10,10 @@ def queries() -> dict:
         "op1_exact_topk": topk.op1_exact_topk,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
+        "op6_warc": warc.op6_warc,
         "op9_sharding": sharding.op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": topk.SQL}
+    return {"op1_exact_topk": topk.SQL, "op6_warc": warc.SQL}
