@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import sharding, substring_dedup, suffix_dedup, topk, warc
+from quillstone.llm import packing, sharding, substring_dedup, suffix_dedup, topk, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
         "op6_warc": warc.op6_warc,
         "op9_sharding": sharding.op9_sharding,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
