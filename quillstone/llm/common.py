@@ -74,7 +74,7 @@ def prefix_bytes(total_bytes: int) -> int:
 
 
 PACKED = "bucket int, blk long, stage int, width int, keys binary"
-FLAGS = "blk long, stage int, bucket int, shared binary, leads binary"
+FLAGS = "blk long, stage int, bucket int, shared binary, leads binary, holders binary"
 
 
 class Keys:
@@ -105,12 +105,21 @@ class Keys:
         return (shared | (self.count > 1))[self.back], leads[self.back] & first
 
 
+def holders_of(keys: Keys, answer: pa.Table) -> np.ndarray:
+    """For every key given, in how many blocks it occurs, up to 255."""
+    out = np.zeros(len(keys.keys), np.int64)
+    place = dict(zip(keys.buckets.tolist(), zip(keys.at, keys.ends, strict=True), strict=True))
+    for b, h in zip(answer["bucket"].to_pylist(), answer["holders"].to_pylist(), strict=True):
+        out[slice(*place[b])] = np.frombuffer(h, np.uint8)
+    return out[keys.back]
+
+
 def packed_table(rows: list[tuple]) -> pa.Table:
     kinds = (("bucket", pa.int32()), ("blk", pa.int64()), ("stage", pa.int32()), ("width", pa.int32()), ("keys", pa.binary()))
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds)})
 
 
-def _judge_bucket(bucket: pa.Table) -> pa.Table:
+def _judge_bucket(bucket: pa.Table, holders: bool = False) -> pa.Table:
     bucket = bucket.sort_by([("blk", "ascending")])
     width = bucket["width"][0].as_py()
     parts = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in bucket["keys"].to_pylist()]
@@ -122,12 +131,17 @@ def _judge_bucket(bucket: pa.Table) -> pa.Table:
     leads[first] = True
     shared = (count > 1)[back]
     cut = lambda x: [np.packbits(p).tobytes() for p in np.split(x, ends[:-1])]
-    return pa.table({"blk": bucket["blk"], "stage": bucket["stage"], "bucket": bucket["bucket"], "shared": pa.array(cut(shared), pa.binary()), "leads": pa.array(cut(leads), pa.binary())})
+    number = [x.tobytes() for x in np.split(np.minimum(count, 255)[back].astype(np.uint8), ends[:-1])] if holders else [None] * len(parts)
+    return pa.table({
+        "blk": bucket["blk"], "stage": bucket["stage"], "bucket": bucket["bucket"], "shared": pa.array(cut(shared), pa.binary()),
+        "leads": pa.array(cut(leads), pa.binary()), "holders": pa.array(number, pa.binary()),
+    })
 
 
-def judged(packed: DataFrame) -> DataFrame:
+def judged(packed: DataFrame, holders: bool = False) -> DataFrame:
     """Sorts one bucket at a time and answers, for every block and bucket, which keys other blocks hold too.
 
-    Every block sends a key once, so a key that fills a third of the corpus still has at most one entry a block.
+    Every block sends a key once, so a key that fills a third of the corpus still has at most one entry a block.  With
+    `holders`, the number of blocks that hold a key is told too, up to 255.
     """
-    return packed.groupBy("bucket").applyInArrow(_judge_bucket, FLAGS)
+    return packed.groupBy("bucket", "stage").applyInArrow(lambda bucket: _judge_bucket(bucket, holders), FLAGS)
