@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from quillstone.llm import jaccard_join, packing, sharding, substring_dedup, suffix_dedup, topk, warc
+from quillstone.llm import decontaminate, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_exact_topk": topk.op1_exact_topk,
+        "op2_quality_classifier": quality.op2_quality_classifier,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
         "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
         "op6_warc": warc.op6_warc,
+        "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
         "op9_sharding": sharding.op9_sharding,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }

@@ -83,14 +83,16 @@ BYTES = byte_values(1)
 #: The same values after A-Z become a-z.
 LOWERED = BYTES[np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))]
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: All ASCII bytes but letters and digits separate; bytes of longer characters do not.
+PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 ROLL, WORDS, GRAMS = Rolling(11), Rolling(23), Rolling(37)
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of the runs of bytes outside 0x20 and 0x09-0x0D; runs end with their row."""
     if not len(buf):
         return (np.zeros(0, np.int64),) * 3
-    solid = ~SPACE[buf]
+    solid = ~space[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[off] = True
     first = solid.copy()
