@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontaminate, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, topk, warc
+from quillstone.llm import decontaminate, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
         "op6_warc": warc.op6_warc,
         "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_sharding": sharding.op9_sharding,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
