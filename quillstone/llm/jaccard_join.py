@@ -1,10 +1,10 @@
 """Exact self join of documents whose 5-word shingle sets have a Jaccard similarity of at least 0.75.
 
-Method: universe partition.  Sets of one size band have the shingle universe hashed into m segments; two linked sets
-differ in at most H shingles (H from the band's sizes), so of m = H + 1 + c segments at least c + 1 agree.  A segment's
+Method: universe partition.  Sets of one size band have the shingle universe hashed into m segments; a set and any one
+linked with it differ in at most H shingles (H from its size), so at least m - H segments agree.  A segment's
 signature hashes its shingles.  What a signature costs is the number of blocks that hold it, and since cost orders all
-signatures alike, each set may leave out its c dearest (empty segments first): the cheapest signature that a linked pair
-shares is always kept by both.  Sets with more than c dear segments index the one-deletion neighbourhoods of their
+signatures alike, each set may leave out its c = m - H - 1 dearest (empty segments first): the cheapest signature that a
+linked pair shares is always kept by both.  Sets with more than c dear segments index the one-deletion neighbourhoods of their
 segments instead of the dear signatures, as long as the cheap segments of two or more shingles alone force an agreement
 up to one deletion (2q > H); where they don't, the remaining signatures are kept however dear, and sets of too many
 empty segments fall back on single shingles.  Sets of fewer than 32 shingles use single shingles as segments.
@@ -39,8 +39,7 @@ LOWER = np.array([1] + [int(np.ceil(SMALL * RATIO**k)) for k in range(60)], np.i
 UPPER = np.append(LOWER[1:] - 1, 2**62)
 #: Most shingles in which two linked sets differ, the smaller in the band: (l + s) / 7 with s at most l * 4 / 3.
 DIFFER = np.array([min(2**40, (int(u) + int(u) * DEN // NUM) * (DEN - NUM) // (DEN + NUM)) for u in UPPER], np.int64)
-SPARE = (DIFFER + 1) // 4 + 4
-SEGMENTS = DIFFER + 1 + SPARE
+SEGMENTS = DIFFER + 1 + (DIFFER + 1) // 4 + 4
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -48,6 +47,12 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
     return -(-n * NUM // DEN)
 
 
+def most_differ(n: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Shingles in which a set of n and one linked with it differ at most, where both have keys of the band and one is of the band."""
+    partner = np.where(n > UPPER[band], UPPER[band], n * DEN // NUM)
+    return (n + partner) * (DEN - NUM) // (DEN + NUM)
+
+
 class Sets:
     """The shingle sets of one block and their signatures."""
 
@@ -113,15 +118,16 @@ class Sets:
         band, size = self.inst_band, self.n[self.inst_doc]
         filled = np.diff(ends)
         empty = np.where(band == 0, 0, SEGMENTS[band] - filled)
-        spare = np.where(band == 0, least_overlap(size) - 1, SPARE[band])
+        differ = most_differ(size, band)
+        spare = np.where(band == 0, least_overlap(size) - 1, SEGMENTS[band] - 1 - differ)
         keep = np.maximum(0, filled - np.maximum(0, spare - empty))
         rank = np.arange(len(order)) - ends[self.inst[order]]
         kept = np.zeros(len(order), bool)
         kept[order] = rank < keep[self.inst[order]]
         dear = np.bincount(self.inst[cost >= DEAR], minlength=len(band)) + empty
-        crowded = (band > 0) & (dear > SPARE[band])
+        crowded = (band > 0) & (dear > spare)
         cheap2 = np.bincount(self.inst[(cost < DEAR) & (self.count > 1)], minlength=len(band))
-        near = crowded & (2 * cheap2 > DIFFER[band])
+        near = crowded & (2 * cheap2 > differ)
         kept &= ~(near[self.inst] & (cost >= DEAR))
         kept &= shared & wanted[self.inst_doc[self.inst]]
         sigs.append(self.sig[kept])
@@ -131,7 +137,7 @@ class Sets:
             whole = np.repeat(g, self.count[g])
             tokens = self.token[self.group[g[0]] : self.group[g[0]] + len(whole)] if len(g) else self.token[:0]
             more = [mix(self.sum[g] + self.place[g] + U(1)), mix(self.sum[whole] - tokens + self.place[whole] + U(1))]
-            if not near[i] and empty[i] > SPARE[band[i]]:
+            if not near[i] and empty[i] > spare[i]:
                 more.append(mix(tokens + U(2 + band[i])))
             more = np.unique(np.concatenate(more))
             sigs.append(more)
