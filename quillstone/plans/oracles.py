@@ -42,6 +42,15 @@ def phonetic_list(c: str) -> str:
     return f"list_filter({keys}, lambda k, i: list_position({keys}, k) = i)"
 
 
+#: Each word is keyed once, however often it occurs.
+PHONETIC = rf"""
+pw_ as materialized (select chunk_id, unnest(ws) as word, generate_subscripts(ws, 1) as i
+  from (select chunk_id, regexp_extract_all(text, '[A-Za-z\x{{0900}}-\x{{097F}}][A-Za-z\x{{0900}}-\x{{097F}}\x{{200C}}\x{{200D}}]*') as ws from passages_)),
+pk_ as materialized (select word, {phonetic('word')} as key from (select distinct word from pw_)),
+pd_ as (select chunk_id, key, min(i) as i from pw_ join pk_ using (word) where length(key) >= 2 group by all),
+phon as materialized (select chunk_id, coalesce(string_agg(key, ' ' order by i), '') as text from passages_ left join pd_ using (chunk_id) group by all)"""
+
+
 def coverage(q: str, t: str) -> str:
     terms = f"list_filter(string_split(lower({norm(q)}), ' '), lambda t: length(t) > 2)"
     return f"coalesce(round(len(list_filter({terms}, lambda t: contains(lower({t}), t))) / nullif(len({terms}), 0), 3), 0.0)"
@@ -50,17 +59,17 @@ def coverage(q: str, t: str) -> str:
 def bm25(passages: str = "passages_", words: str | None = None, name: str = "sc") -> str:
     words = words or f"list_filter(string_split_regex({norm('question')}, '{WORDISH}'), lambda w: length(w) > 1)"
     return rf"""
-toks_ as (select chunk_id, regexp_extract_all(lower(text), '{TOKEN}') as ts from {passages}),
-post_ as (select chunk_id, unnest(ts) as term, generate_subscripts(ts, 1) as pos from toks_),
+toks_ as materialized (select chunk_id, regexp_extract_all(lower(text), '{TOKEN}') as ts from {passages}),
+post_ as materialized (select chunk_id, unnest(ts) as term, generate_subscripts(ts, 1) as pos from toks_),
 dl_ as (select chunk_id, len(ts) as dl from toks_),
 qw_ as (select qid, unnest(ws) as word, generate_subscripts(ws, 1) as phrase from (select qid, {words} as ws from questions_)),
 qt_ as (select qid, phrase, regexp_extract_all(lower(word), '{TOKEN}') as ts from qw_),
-qp_ as (select qid, phrase, unnest(ts) as term, generate_subscripts(ts, 1) as off, len(ts) as n from qt_ where len(ts) > 0),
+qp_ as materialized (select qid, phrase, unnest(ts) as term, generate_subscripts(ts, 1) as off, len(ts) as n from qt_ where len(ts) > 0),
 st_ as (select qid, phrase, chunk_id, pos - off as at_, n from post_ join qp_ using (term) group by all having count(*) = n),
-tf_ as (select qid, phrase, chunk_id, count(*) as tf from st_ group by all),
+tf_ as materialized (select qid, phrase, chunk_id, count(*) as tf from st_ group by all),
 df_ as (select qid, phrase, count(*) as df from tf_ group by all),
 whole_ as (select count(*) as docs, avg(dl) as avgdl from dl_),
-{name} as (
+{name} as materialized (
   select qid, chunk_id, -sum(case when ln((docs - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((docs - df + 0.5) / (df + 0.5)) end
     * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as bm25
   from tf_ join df_ using (qid, phrase) join dl_ using (chunk_id) cross join whole_ group by all)"""
@@ -176,7 +185,7 @@ on_ as (select *, row_number() over (partition by qid, chunk_id order by positio
 ORACLES = {
     "keyword_top": with_(bm25(), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
     "keyword_filtered": with_(bm25(), ranked("sc", "kw", 10, IN_FILTER), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
-    "phonetic_top": with_(f"phon as (select chunk_id, array_to_string({phonetic_list('text')}, ' ') as text from passages_)", bm25("phon", phonetic_list("question")), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
+    "phonetic_top": with_(PHONETIC, bm25("phon", phonetic_list("question")), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
     "phonetic_keys": f"select word, {phonetic('word')} as key from (select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) as word from documents)",
     "vector_top": with_(VECTORS, ranked("vs", "ve", 10, value="cosine", down="desc"), then="select qid, chunk_id, round(cosine, 6) as cosine, rank from ve"),
     "vector_filtered": with_(VECTORS, ranked("vs", "ve", 10, "label = 3", value="cosine", down="desc"), then="select qid, chunk_id, round(cosine, 6) as cosine, rank from ve"),

@@ -203,7 +203,7 @@ def iso_dates(s, d):
 
 def https_urls(s, d):
     p = fx.table(s, d, "pages")
-    raw = F.when(F.col("page_id") % 4 == 0, F.regexp_replace("url", "/", r"\\\\")).when(F.col("page_id") % 4 == 1, F.concat(F.lit(" "), F.regexp_replace("url", "^https?://[^/]*", ""))).when(F.col("page_id") % 4 == 2, F.regexp_replace("url", "^https?://[^/]*/", "")).otherwise(F.col("url"))
+    raw = F.when(F.col("page_id") % 4 == 0, F.regexp_replace("url", "/", r"\\")).when(F.col("page_id") % 4 == 1, F.concat(F.lit(" "), F.regexp_replace("url", "^https?://[^/]*", ""))).when(F.col("page_id") % 4 == 2, F.regexp_replace("url", "^https?://[^/]*/", "")).otherwise(F.col("url"))
     return p.select("page_id", tx.https_url(raw, "https://example.org").alias("pdf_url"))
 
 
