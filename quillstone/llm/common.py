@@ -64,6 +64,19 @@ def in_blocks(docs: DataFrame, text: str = "text", block_bytes: int = 2_000_000)
     return made.select(F.pmod("row", F.lit(total // block_bytes + 1)).alias("blk"), "row", "text", "rest"), total
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, nullable(kind.value_type)))
+    return kind
+
+
+def carried(column: pa.Array | pa.ChunkedArray) -> pa.Array | pa.ChunkedArray:
+    """A struct of other columns as the stated schemas have it: every field nullable, also those of constants."""
+    return column if nullable(column.type).equals(column.type) else column.cast(nullable(column.type))
+
+
 def in_order(block: pa.Table) -> pa.Table:
     return block.sort_by([("row", "ascending")])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import table, text_of
+from quillstone.llm.common import carried, table, text_of
 from quillstone.llm.text import GRAMS, LOWERED, PLAIN, slices, utf8, word_hashes, words
 
 TILE, LEAST, SLICE = 4, 0.5, 20_000
@@ -99,15 +99,15 @@ def coverage(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: st
                 for lo, hi in slices(off):
                     hits += match(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], s, tile, least)
                 kind = pa.list_(pa.struct([("item", pa.int64()), ("covered", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("text"), pa.array(hits, kind)], names=["rest", "text", "found"])
+                yield pa.RecordBatch.from_arrays([carried(batch.column("rest")), batch.column("text"), pa.array(hits, kind)], names=["rest", "text", "found"])
 
         schema = f"rest {whole.schema['rest'].dataType.simpleString()}, text string, found {hit}"
         if found is None:
             found = whole.mapInArrow(scan, schema).withColumnRenamed("found", "hits")
         else:
-            carried = found.select(F.struct("rest", "hits").alias("rest"), "text")
-            schema = f"rest {carried.schema['rest'].dataType.simpleString()}, text string, found {hit}"
-            found = carried.mapInArrow(scan, schema).select("rest.rest", "text", F.concat("rest.hits", "found").alias("hits"))
+            nested = found.select(F.struct("rest", "hits").alias("rest"), "text")
+            schema = f"rest {nested.schema['rest'].dataType.simpleString()}, text string, found {hit}"
+            found = nested.mapInArrow(scan, schema).select("rest.rest", "text", F.concat("rest.hits", "found").alias("hits"))
     return found.select("rest", "hits")
 
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import PACKED, Keys, U, durable, holders_of, in_blocks, in_order, judged, packed_table, prefix_bytes, table, written
+from quillstone.llm.common import PACKED, U, Keys, carried, durable, holders_of, in_blocks, in_order, judged, packed_table, prefix_bytes, table, written
 from quillstone.llm.graph import components
 from quillstone.llm.text import GRAMS, LOWERED, mix, utf8, word_hashes, words
 
@@ -172,7 +172,7 @@ def profiles(docs: DataFrame, text: str) -> DataFrame:
         sigs = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(sig))
         texts = block["text"].combine_chunks()
         return pa.table({
-            "row": block["row"], "rest": block["rest"], "cls": pa.array(s.cls.view(np.int64)), "n_shingles": pa.array(s.n, pa.int64()),
+            "row": block["row"], "rest": carried(block["rest"]), "cls": pa.array(s.cls.view(np.int64)), "n_shingles": pa.array(s.n, pa.int64()),
             "sigs": sigs, "text": pc.if_else(pa.array(has), texts, pa.scalar(None, texts.type)),
         })
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import PACKED, Keys, in_blocks, in_order, judged, packed_table, prefix_bytes, scratch, table
+from quillstone.llm.common import PACKED, Keys, carried, in_blocks, in_order, judged, packed_table, prefix_bytes, scratch, table
 from quillstone.llm.text import GRAMS, slices, utf8, word_hashes, words
 
 GRAM = 8
@@ -169,7 +169,7 @@ def repeated_windows(docs: DataFrame, width: int = 35, batches: int = 3, text: s
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b], [0]]))) if r else np.zeros(0, np.int64)
             spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"rest": block["rest"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(w.kept(gone), pa.binary()).cast(pa.string()), "spans": pa.array(spans, kind)})
+        return pa.table({"rest": carried(block["rest"]), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(w.kept(gone), pa.binary()).cast(pa.string()), "spans": pa.array(spans, kind)})
 
     dealt = blocks.groupBy("blk")
     held = index.holders()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import PACKED, Keys, in_blocks, in_order, judged, packed_table, prefix_bytes, table
+from quillstone.llm.common import PACKED, Keys, carried, in_blocks, in_order, judged, packed_table, prefix_bytes, table
 from quillstone.llm.text import BYTES, ROLL, utf8
 
 PERIOD = 273
@@ -129,7 +129,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400, text: str = "text", ch
             kept.append(s.buf[a:b][~out].tobytes() if len(edge) else s.buf[a:b].tobytes())
             spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"rest": s.block["rest"], "n_bytes": pa.array(np.diff(s.off), pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind)})
+        return pa.table({"rest": carried(s.block["rest"]), "n_bytes": pa.array(np.diff(s.off), pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind)})
 
     dealt = blocks.groupBy("blk")
     flags = judged(dealt.applyInArrow(first, PACKED))

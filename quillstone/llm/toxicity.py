@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import U, durable, table, text_of
+from quillstone.llm.common import U, carried, durable, table, text_of
 from quillstone.llm.text import LOWERED, PLAIN, WORDS, mix, slices, utf8, words
 
 MOST_LABELS, TERMS, FOLDS, LEAST_Z, RIDGE = 20_000, 384, 3, 4.0, 1.0
@@ -173,7 +173,7 @@ def scored(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
         for b in batches:
             buf, off = utf8(b.column("text"))
             p = [chain.predict(counted(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], chain.terms)) for lo, hi in slices(off)]
-            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(list(np.concatenate(p)) if p else [], pa.list_(pa.float64()))], names=["rest", "p"])
+            yield pa.RecordBatch.from_arrays([carried(b.column("rest")), pa.array(list(np.concatenate(p)) if p else [], pa.list_(pa.float64()))], names=["rest", "p"])
 
     return whole.mapInArrow(score, f"rest {whole.schema['rest'].dataType.simpleString()}, p array<double>")
 
