@@ -10,7 +10,7 @@ counts made where the texts lie.  At most `most_labels` labelled rows (those of
 are learnt from; all documents are scored whole.
 
 Defined cases: words are runs of ASCII letters, digits and non-ASCII characters, A-Z lowered; null and empty texts are
-scored by the constants alone; a category without rows of both kinds has the constant share as its probability.
+scored by the constants alone; a category without rows of both kinds has probability 1 if all rows are of it, else 0.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ class Chain:
         if len(y) and 0 < y.sum() < len(y):
             return logistic(x, y)
         w = np.zeros(x.shape[1])
-        w[-1] = 0.0 if not len(y) else 30.0 if y.all() else -30.0
+        w[-1] = 30.0 if len(y) and y.all() else -30.0
         return w
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_labels
 
     def fit(batches):
         parts = [b for b in batches if len(b)]
-        x = np.array([np.frombuffer(v, np.float32) for b in parts for v in b.column("x").to_pylist()], np.float64).reshape(-1, len(chain.terms))
+        x = np.array([np.frombuffer(v, np.float32) for b in parts for v in b.column("x").to_pylist()], np.float64).reshape(sum(map(len, parts)), len(chain.terms))
         y = np.array([v for b in parts for v in b.column("y").to_pylist()], np.float64).reshape(-1, len(names))
         fold = np.array([v for b in parts for v in b.column("fold").to_pylist()], np.int64)
         chain.fit(x, y, fold)
