@@ -125,7 +125,9 @@ def match(buf: np.ndarray, off: np.ndarray, seeds: Seeds, tile: int, least: floa
         doc, item = row[word], items[seed]
         order = np.lexsort((item, doc))
         word, place, doc, item = word[order], places[seed][order], doc[order], item[order]
-        cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))) if len(doc) else np.zeros(0, np.int64)
+        if not len(doc):
+            continue
+        cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
         for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True):
             size = int(seeds.size[item[a]])
             # the words that seeds could cover bound the coverage from above

@@ -257,8 +257,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     found = groups(docs, text, doc_id)
     gone = found.where("component_id is not null and doc_id is distinct from component_id").select(F.col("row").alias("gone")).distinct()
-    kept = docs.withColumn("__row", row).join(gone, F.col("__row") == F.col("gone"), "left_anti")
-    return kept.dropDuplicates(["__row"]).drop("__row")
+    kept = docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")).join(gone, F.col("row") == F.col("gone"), "left_anti")
+    return kept.dropDuplicates(["row"]).select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

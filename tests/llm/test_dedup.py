@@ -41,7 +41,7 @@ def test_index_merges_runs_and_keeps_old_ones(spark):
     index = substring_dedup.FingerprintIndex(spark, fanout=2)
     first = substring_dedup.fingerprints(frame(spark, odd_texts()[10:11]).selectExpr("doc_id as blk", "text"), 35)
     index.add(first)
-    assert index.shared().count() == 0
+    assert index.shared().count() == first.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").count()  # windows of one text can share theirs
     index.add(first)
     assert len(index.runs) == 1 and index.shared().count() == first.select("fp").distinct().count()
 
