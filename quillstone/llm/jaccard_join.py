@@ -10,8 +10,9 @@ up to one deletion (2q > H); where they don't, the remaining signatures are kept
 empty segments fall back on single shingles.  Sets of fewer than 32 shingles use single shingles as segments.
 
 Sets that are equal are one class; classes meet in stars (every member with the least class of a signature), each
-candidate pair is verified on the texts, and signatures whose members are still in different components are opened
-further until every pair in them is verified or connected.
+candidate pair is verified on the texts.  Sets of signatures whose members are still in different components then meet
+in single shingles, rarest first: linked sets share one within the few that each could lack, and its places in both bound
+the overlap, so heavily edited members of a large family are not compared with the whole family.
 
 Defined cases: words are runs of bytes outside 0x20 and 0x09-0x0D after A-Z became a-z; fewer than five words are one
 shingle; null texts and texts without words have no shingle and are linked with nothing; repeated rows are linked;
@@ -40,6 +41,8 @@ UPPER = np.append(LOWER[1:] - 1, 2**62)
 #: Most shingles in which two linked sets differ, the smaller in the band: (l + s) / 7 with s at most l * 4 / 3.
 DIFFER = np.array([min(2**40, (int(u) + int(u) * DEN // NUM) * (DEN - NUM) // (DEN + NUM)) for u in UPPER], np.int64)
 SEGMENTS = DIFFER + 1 + (DIFFER + 1) // 4 + 4
+#: Lower ends of the size classes in which open sets meet.
+CLASSES = np.unique(np.ceil(1.07 ** np.arange(600)).astype(np.int64))
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -210,33 +213,87 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def stars(members: DataFrame, turn: int) -> DataFrame:
     """Pairs of every member of a signature with the signature's first member in the order of this turn."""
     by = F.struct((F.xxhash64("cls", F.lit(turn)) if turn else F.col("cls")).alias("by"), F.col("cls").alias("a"), F.col("root").alias("root_a"))
-    lead = members.groupBy("sig").agg(F.min(by).alias("lead"))
+    # a reread table has no partitioning, so that both sides are dealt anew and a signature of many members can be split
+    lead = written(members.groupBy("sig").agg(F.min(by).alias("lead")), "leads")
     pairs = members.join(lead, "sig").select(F.col("lead.a").alias("a"), F.col("lead.root_a").alias("root_a"), F.col("cls").alias("b"), "root")
     return pairs.where("a <> b and root <> root_a").select("a", "b").distinct()
 
 
-def linked_classes(profile: DataFrame, turns: int = 3) -> DataFrame:
+def opened(members: DataFrame, links: DataFrame) -> DataFrame:
+    """sig, cls, root, main of the signatures whose members are in several components; main is the one of most members."""
+    roots = components(links).withColumnRenamed("node", "cls")
+    rooted = written(members.drop("root").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
+    parts = rooted.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
+    kinds = parts.groupBy("sig").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return written(rooted.join(written(kinds.drop("k"), "kinds"), "sig"), "opened")
+
+
+def rare_first(docs: DataFrame) -> DataFrame:
+    """key, probe, cls, root, stray, n, pos: what each open set must share with a linked set, its rarest shingles first.
+
+    A set of n and a smaller one of at least l, if linked, share at least 3/7 (n + l) shingles, so they meet in the first
+    n + 1 - 3/7 (n + l) of the one and in the first n / 7 + 1 of the other, in any order common to both.  Sizes
+    fall in classes of ratio 1.07; a set is found under its own class and looks for those of its own and smaller classes.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = docs.withColumn("blk", F.pmod(F.xxhash64("cls"), F.lit(max(255, size // 2_000_000 + 1))))
+    lead = prefix_bytes(size)
+
+    def first(block: pa.Table) -> pa.Table:
+        s = Sets(block["text"], lead)
+        return packed_table(Keys(s.h, lead).rows(block["blk"][0].as_py(), 1, 4))
+
+    def last(left: pa.Table, right: pa.Table) -> pa.Table:
+        s = Sets(left["text"], lead)
+        keys = Keys(s.h, lead)
+        cost = holders_of(keys, right)
+        order = np.lexsort((s.h, cost, s.doc))
+        pos, n, h = np.arange(len(order)) - s.at[s.doc], s.n[s.doc], s.h[order]
+        met = ((cost > 1) | (keys.count > 1)[keys.back])[order]
+        least = least_overlap(n)
+        low, own = np.searchsorted(CLASSES, least, "right") - 1, np.searchsorted(CLASSES, n, "right") - 1
+        found = []
+        for step in range(-1, int((own - low).max(initial=-1)) + 1):
+            k = own if step < 0 else low + step
+            partner = n if step < 0 else np.maximum(least, CLASSES[np.minimum(k, own)])
+            at = np.flatnonzero(met & (k <= own) & (pos <= n - -(-(n + partner) * NUM // (DEN + NUM))))
+            found.append((mix(h[at] + U(0x9E3779B97F4A7C15) * k[at].astype(U)).view(np.int64), np.full(len(at), step >= 0), at))
+        at = np.concatenate([f[2] for f in found])
+        row = pa.array(s.doc[at])
+        return pa.table({
+            "key": np.concatenate([f[0] for f in found]), "probe": np.concatenate([f[1] for f in found]), "cls": left["cls"].take(row),
+            "root": left["root"].take(row), "stray": left["stray"].take(row), "n": n[at], "pos": pos[at],
+        })
+
+    dealt = blocks.groupBy("blk")
+    answers = judged(dealt.applyInArrow(first, PACKED), holders=True)
+    schema = "key long, probe boolean, cls long, root long, stray boolean, n long, pos long"
+    return dealt.cogroup(answers.groupBy("blk")).applyInArrow(last, schema)
+
+
+def strays_with_all(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components, one of them a stray, that the places of a shared shingle do not rule out."""
+    side = lambda probe, c: rows.where(F.col("probe") == probe).select("key", *[F.col(x).alias(f"{x}_{c}") for x in ("cls", "root", "stray", "n", "pos")])
+    a, b = side(False, "a"), side(True, "b")
+    # of two linked sets, the first shared shingle has the rest of the overlap behind it in both
+    may = f"root_a <> root_b and (n_a < n_b or (n_a = n_b and cls_a < cls_b)) and {DEN + NUM} * least(n_a - pos_a, n_b - pos_b) >= {NUM} * (n_a + n_b)"
+    both = [x.join(y, "key").where(may).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")) for x, y in ((a.where("stray_a"), b), (a.where("not stray_a"), b.where("stray_b")))]
+    return both[0].union(both[1]).distinct()
+
+
+def linked_classes(profile: DataFrame, turns: int = 2) -> DataFrame:
     """(node, root) of the classes that have a link, and nothing of others."""
     texts = profile.where("text is not null").select("cls", "n_shingles", "text")
     members = profile.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "cls").withColumn("root", F.col("cls"))
     links = durable(verified(stars(members, 0), texts))
-    turn = 1
-    while True:
-        roots = components(links)
-        rooted = members.drop("root").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        kinds = rooted.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-        rooted = durable(rooted.join(kinds.select("sig", "least"), "sig"))
-        if turn < turns:
-            more = durable(verified(stars(rooted, turn), texts))
-        else:
-            # every pair of a signature that no component joins yet: those outside its least component with all others
-            strays = rooted.where("root <> least").select("sig", F.col("cls").alias("a"), F.col("root").alias("root_a"))
-            pairs = strays.join(rooted, "sig").where("root <> root_a and (root = least or a < cls)").select("a", F.col("cls").alias("b")).distinct()
-            more = durable(verified(pairs, texts))
-        links = durable(links.union(more))
-        turn += 1
-        if turn > turns:
-            return components(links)
+    for turn in range(1, turns + 1):
+        members = opened(members, links)
+        open_ = members.groupBy("cls").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("stray"))
+        texts = written(texts.select("cls", "n_shingles", "text").join(open_, "cls"), "open")
+        members = members.drop("main")
+        pairs = stars(members, turn) if turn < turns else strays_with_all(written(rare_first(texts), "rare"))
+        links = durable(links.union(verified(pairs, texts)))
+    return components(links)
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Substring dedup, suffix dedup and the n-gram join against plain versions."""
 
 import hashlib
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quillstone.llm import jaccard_join, substring_dedup, suffix_dedup
 from quillstone.llm.common import table
 from tests.llm import brute
-from tests.llm.cases import CLASHES, empty, frame, odd_texts
+from tests.llm.cases import CLASHES, empty, frame, odd_texts, prose
 from tests.sessions import SMALL
 
 
@@ -93,6 +94,35 @@ def test_components_of_edited_copies(spark, data):
     assert got == {i: (r,) for i, r in enumerate(brute.linked(texts))}
 
 
+def test_components_of_a_family_around_the_threshold(spark):
+    draw, base, texts = random.Random(4), prose(120, 9).split(" "), []
+    for i in range(90):
+        copy = list(base) + prose(i % 7, 100 + i).split(" ")
+        for at in draw.sample(range(len(base)), draw.choice([0, 1, 2, 3, 4, 5, 7, 9])):
+            copy[at] = f"edit{draw.randrange(6)}"
+        texts.append(" ".join(copy))
+    got = by_id(jaccard_join.groups(frame(spark, texts)), "component_id")
+    want = brute.linked(texts)
+    assert got == {i: (r,) for i, r in enumerate(want)}
+    assert 1 < len(set(want)) < len(texts)
+
+
+def test_pairs_of_open_sets_miss_no_link(spark):
+    """With every document a stray of its own, the pairs that are left must hold every link."""
+    draw, base, texts = random.Random(5), prose(80, 10).split(" "), []
+    for _ in range(60):
+        copy = list(base)
+        for at in draw.sample(range(len(base)), draw.choice([0, 1, 2, 3, 5, 8])):
+            copy[at : at + draw.choice([0, 1, 2])] = [f"edit{draw.randrange(9)}"]
+        texts.append(" ".join(copy))
+    sets = [brute.shingles(t) for t in texts]
+    rows = [(i, len(s), t, i, True) for i, (s, t) in enumerate(zip(sets, texts, strict=True))]
+    docs = spark.createDataFrame(rows, "cls long, n_shingles long, text string, root long, stray boolean")
+    got = {frozenset((r["a"], r["b"])) for r in jaccard_join.strays_with_all(jaccard_join.rare_first(docs)).collect()}
+    want = {frozenset((i, j)) for i in range(60) for j in range(i) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert want and want <= {p for p in got}
+
+
 def test_one_of_each_group_stays(spark):
     texts = odd_texts()
     docs = frame(spark, texts)
