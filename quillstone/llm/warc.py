@@ -52,6 +52,14 @@ def bare(value: str | None) -> str | None:
     return value[1:-1] if value and value[0] == "<" else value
 
 
+def columns_of(head: dict[str, str]) -> dict:
+    """The columns of NAMED as they are returned and as predicates see them: without <> and a digest's algorithm."""
+    row = {c: bare(head.get(n)) for c, n in NAMED.items()}
+    if row["payload_digest"]:
+        row["payload_digest"] = row["payload_digest"].rpartition(":")[2]
+    return row
+
+
 class Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -119,6 +127,7 @@ class WarcReader(DataSourceReader):
         for f in filters:
             if isinstance(f, EqualTo | In) and len(f.attribute) == 1 and f.attribute[0] in NAMED:
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                values -= {None}  # null equals nothing
                 self.wanted[f.attribute[0]] = self.wanted.get(f.attribute[0], values) & values
             else:
                 yield f
@@ -161,7 +170,7 @@ class WarcReader(DataSourceReader):
     def records(self, stream) -> Iterator[dict]:
         while (head := header_block(stream)) is not None:
             length = int(head.get("Content-Length", 0))
-            row = {c: bare(head.get(n)) for c, n in NAMED.items()}
+            row = columns_of(head)
             if any(row[c] not in values for c, values in self.wanted.items()):
                 step(stream, length)
                 continue
@@ -170,8 +179,6 @@ class WarcReader(DataSourceReader):
             else:
                 step(stream, length)
                 row["payload"] = None
-            digest = row["payload_digest"]
-            row["payload_digest"] = digest.partition(":")[2] if digest else None
             stated = head.get("X-Payload-Length")
             row["payload_length"] = int(stated) if stated else len(row["payload"]) if row["payload"] is not None else None
             row["headers"] = list(head.items())

@@ -49,6 +49,22 @@ def test_archives_of_odd_pages(spark):
     assert len(head) == 1 and head[0]["payload"] is None and head[0]["payload_length"] == 1200
 
 
+def test_pushed_predicates_equal_unpushed_ones(spark):
+    big = "p" * 1100
+    warc.register(spark)
+    path = f"{scratch(spark)}/pushed-warc"
+    pages = spark.createDataFrame([(1, "http://a", big), (2, None, big), (3, "http://c", "own"), (4, "http://a", "")], "page_id long, url string, html string")
+    warc.records_of(pages).write.format("warc").mode("append").save(path)
+    read = spark.read.format("warc").load(path)
+    rows = read.select(*warc.NAMED).collect()
+    unpushed = spark.createDataFrame(rows, read.select(*warc.NAMED).schema)
+    for column in warc.NAMED:
+        values = sorted({r[column] for r in rows} - {None})
+        for where in (f"{column} = '{values[0]}'", f"{column} in ('{values[-1]}', 'none such')", f"{column} in ('{values[0]}', '{values[-1]}', null)", f"{column} = 'none such'"):
+            mine, theirs = (sorted(r["record_id"] for r in df.where(where).collect()) for df in (read, unpushed))
+            assert mine == theirs and bool(mine) == ("= 'none" not in where), where
+
+
 def test_shards_are_contiguous_and_balanced(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()}
     rows = sharding.op9_sharding(spark, SMALL).orderBy("doc_id").collect()
