@@ -8,7 +8,8 @@ read; files are streamed, so memory is bounded by one record.
 
 Writing: one file a task, rolled at `fileBytes`; bodies are HTTP responses whose entity is gzip-coded, so that a
 reader can step over them without inflating.  The driver's commit lists the files of successful attempts in a
-manifest, and a reader that finds manifests reads only those files; files of lost attempts are never seen.
+manifest.  Of a folder that holds manifests a reader reads only the files they list, and all of those, so files of lost
+attempts are never seen; folders without one, above or below, are read whole.
 
 Defined cases: a null payload is an empty one; a null id gets a record id of its own and is never revisited; rows that
 repeat an id and payload are all responses; revisit records carry length and digest of the full payload but no body.
@@ -42,10 +43,11 @@ BATCH_BYTES = 4_000_000
 
 
 def place(path: str):
-    """(file system, path) of a URI or a local path."""
+    """(file system, path without a slash at its end) of a URI or a local path."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    system, path = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return system, path.rstrip("/") or path[:1]
 
 
 def bare(value: str | None) -> str | None:
@@ -136,12 +138,20 @@ class WarcReader(DataSourceReader):
         from pyarrow.fs import FileSelector, FileType
 
         system, root = place(self.path)
-        found = {x.path: x.size for x in system.get_file_info(FileSelector(root, recursive=True)) if x.type == FileType.File} if system.get_file_info(root).type == FileType.Directory else {root: system.get_file_info(root).size}
-        lists = [p for p in found if p.endswith(".manifest.json")]
-        if lists:
-            named = {f"{root}/{x}" for p in lists for x in json.loads(system.open_input_stream(p).read())["files"]}
-            found = {p: n for p, n in found.items() if p in named}
-        found = {p: n for p, n in found.items() if p.endswith((".warc", ".warc.gz"))}
+        top = system.get_file_info(root)
+        if top.type == FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        found = {x.path: x.size for x in system.get_file_info(FileSelector(root, recursive=True)) if x.type == FileType.File} if top.type == FileType.Directory else {root: top.size}
+        folder = lambda p: p.rpartition("/")[0]
+        named: dict[str, set[str]] = {}
+        for p in found:
+            if p.endswith(".manifest.json"):
+                with system.open_input_stream(p) as file:
+                    named.setdefault(folder(p), set()).update(f"{folder(p)}/{x}" for x in json.loads(file.read())["files"])
+        missing = sorted(set().union(*named.values()) - set(found))
+        if missing:
+            raise FileNotFoundError(f"{len(missing)} files that manifests list, the first: {missing[0]}")
+        found = {p: n for p, n in found.items() if p.endswith((".warc", ".warc.gz")) and p in named.get(folder(p), {p})}
         plan, room = [], 0
         for p, n in sorted(found.items()):
             if not plan or room < n:
@@ -149,7 +159,7 @@ class WarcReader(DataSourceReader):
                 room = self.most
             plan[-1].append(p)
             room -= n
-        return [Files(x) for x in plan]
+        return [Files(x) for x in plan or [[]]]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, _ = place(self.path)

@@ -1,10 +1,13 @@
 """Top-k search, WARC archives, shards and packing."""
 
+import shutil
 import zlib
 from array import array
 from itertools import groupby
+from pathlib import Path
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -65,6 +68,30 @@ def test_pushed_predicates_equal_unpushed_ones(spark):
             assert mine == theirs and bool(mine) == ("= 'none" not in where), where
 
 
+def test_archives_in_nested_folders(spark):
+    warc.register(spark)
+    top = f"{scratch(spark)}/nested-warc".removeprefix("file:")
+    page = lambda i: warc.records_of(spark.createDataFrame([(i, "u", f"page {i}")], "page_id long, url string, html string"))
+    for i, folder in enumerate(["day1", "day1", "day2/early/", "plain"]):
+        page(i).write.format("warc").mode("append").save(f"{top}/{folder}")
+    local = Path(top)
+    for listed in (local / "plain").glob("*.manifest.json"):
+        listed.unlink()
+    written = next((local / "day1").glob("*.warc"))
+    shutil.copy(written, local / "day1" / "lost-attempt.warc")
+    shutil.copy(written, local / "day1.warc")
+    ids = lambda path: sorted(r["record_id"][-1] for r in spark.read.format("warc").load(path).select("record_id").collect())
+    again = ids(str(local / "day1.warc"))
+    assert ids(top) == ids(f"{top}/") == ids(local.as_uri() + "/") == sorted(["0", "1", "2", "3", *again])
+    assert ids(f"{top}/day1") == ids(f"{top}/day1/") == ["0", "1"] and ids(f"{top}/day2") == ["2"] and ids(f"{top}/plain/") == ["3"]
+    (local / "none yet").mkdir()
+    assert ids(f"{top}/none yet") == []
+    written.unlink()
+    for path in (top, f"{top}/day1", f"{top}/none"):
+        with pytest.raises(Exception, match="FileNotFoundError"):
+            ids(path)
+
+
 def test_shards_are_contiguous_and_balanced(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()}
     rows = sharding.op9_sharding(spark, SMALL).orderBy("doc_id").collect()
