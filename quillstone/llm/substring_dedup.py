@@ -5,27 +5,37 @@ windows have equal fingerprints, and neighbours mostly share one, so about 7 win
 index holds immutable Parquet runs of (fingerprint, block, windows), each sorted by fingerprint.  A new batch is sorted,
 merge-joined with the runs of the batches before it, and appended as a run; when `fanout` runs have gathered, they are
 merged into one.  The join yields the fingerprints that have become shared.  Windows with a shared fingerprint are then
-verified by a hash of all their words over all blocks, so that sharing a gram alone removes nothing.
+verified by a hash of all their words over all blocks, so that sharing a gram alone removes nothing.  An index that the
+caller gives also keeps the texts of its loads, a fraction of what their windows' hashes would take: of earlier loads the
+blocks that hold a fingerprint of the new one are hashed again, so a new window equal to an old one is found.
 
 Defined cases: words are runs of bytes outside 0x20 and 0x09-0x0D, unchanged; null and empty texts have none; texts
-of fewer words than a window lose none; a text that occurs twice loses all its words in both places.
+of fewer words than a window lose none; a text that occurs twice loses all its words in both places.  What an earlier
+call returned is not changed by a later one; a load given again meets itself as history.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import PACKED, Keys, carried, in_blocks, in_order, judged, packed_table, prefix_bytes, scratch, table
+from quillstone.llm.common import PACKED, Keys, carried, durable, in_blocks, in_order, judged, packed_table, prefix_bytes, scratch, table
 from quillstone.llm.text import GRAMS, slices, utf8, word_hashes, words
 
 GRAM = 8
 RUN = "fp long, blk long, n long"
+TEXTS = "blk long, row long, text string"
+STATE = "loads long, width long, bytes long, runs array<string>, texts array<string>"
+#: A block's number within its load has so many bits; the load's number stands above them.
+BLOCK_BITS = 40
 
 
 class Windows:
@@ -85,13 +95,47 @@ def fingerprints(blocks: DataFrame, width: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs under one folder; the folder outlives the session if it is given."""
+    """Sorted immutable runs, and the texts they were made of, under one folder with one writer at a time.
+
+    A folder that is given outlives the session: every load ends with a row of its manifest, whose last row is read again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
         self.folder = folder or f"{scratch(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.runs: list[str] = []
         self.found: list[str] = []
+        self.texts: list[str] = []
+        self.loads, self.width, self.bytes = 0, 0, 0
+        if folder:
+            self._reload()
+
+    def _reload(self) -> None:
+        try:
+            last = self.spark.read.schema(STATE).parquet(f"{self.folder}/manifest").orderBy(F.desc("loads")).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        if last:
+            self.loads, self.width, self.bytes = last["loads"], last["width"], last["bytes"]
+            self.runs, self.texts = ([f"{self.folder}/{x}" for x in last[c]] for c in ("runs", "texts"))
+
+    @contextmanager
+    def load(self, width: int, size: int) -> Iterator[int]:
+        """The first block number of a new load; what it adds counts only if it ends without an error."""
+        if self.width not in (0, width):
+            raise ValueError(f"the index holds windows of {self.width} words, not {width}")
+        runs, texts, self.found = list(self.runs), list(self.texts), []
+        try:
+            yield self.loads << BLOCK_BITS
+            names = [[x.rpartition("/")[2] for x in paths] for paths in (self.runs, self.texts)]
+            state = (self.loads + 1, width, self.bytes + size, *names)
+            self.spark.createDataFrame([state], STATE).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        except BaseException:
+            self.runs, self.texts = runs, texts
+            raise
+        self.loads, self.width, self.bytes = state[:3]
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -99,8 +143,16 @@ class FingerprintIndex:
     def history(self) -> DataFrame:
         return self._read(self.runs, RUN)
 
+    def keep(self, blocks: DataFrame) -> None:
+        """Keeps a load's texts, for later loads to verify their windows against."""
+        self.texts.append(self._write(blocks.select("blk", "row", "text"), "texts"))
+
+    def earlier(self) -> DataFrame:
+        """(blk, row, text) of the loads so far."""
+        return self._read(self.texts, TEXTS)
+
     def shared(self) -> DataFrame:
-        """Fingerprints of at least two windows; the windows' equality is for the caller to verify."""
+        """Fingerprints of the load that at least two windows have; the windows' equality is for the caller to verify."""
         return self._read(self.found, "fp long").distinct()
 
     def _write(self, df: DataFrame, kind: str) -> str:
@@ -131,17 +183,23 @@ class FingerprintIndex:
         return self.history().join(self.shared().hint("merge"), "fp").groupBy("blk").agg(F.collect_list("fp").alias("fps"))
 
 
-def repeated_windows(docs: DataFrame, width: int = 35, batches: int = 3, text: str = "text", index: FingerprintIndex | None = None) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = 35, batches: int = 5, text: str = "text", index: FingerprintIndex | None = None) -> DataFrame:
     """rest (the other columns), n_words, kept (string, words joined by one space), n_removed and spans of word numbers.
 
     The documents go through the index in `batches` parts, as they would arrive over time; then every window of any
-    batch that has an equal elsewhere is removed, whichever came first.
+    batch that has an equal elsewhere is removed, whichever came first.  With an `index` of earlier calls or sessions,
+    their documents count as elsewhere.
     """
     blocks, total = in_blocks(docs, text)
-    lead = prefix_bytes(total)
-    index = index or FingerprintIndex(docs.sparkSession)
-    for i in range(batches):
-        index.add(fingerprints(blocks.where(F.pmod(F.shiftright("row", 20), F.lit(batches)) == i), width))
+    given, index = index is not None, index or FingerprintIndex(docs.sparkSession)
+    lead = prefix_bytes(total + index.bytes)
+    old = index.earlier() if index.texts else None
+    with index.load(width, total) as base:
+        blocks = blocks.withColumn("blk", F.col("blk") + F.lit(base))
+        for i in range(batches):
+            index.add(fingerprints(blocks.where(F.pmod(F.shiftright("row", 20), F.lit(batches)) == i), width))
+        if given:
+            index.keep(blocks)
 
     def candidates(block: pa.Table, answer: pa.Table) -> tuple[pa.Table, Windows, np.ndarray]:
         block = in_order(block)
@@ -173,8 +231,13 @@ def repeated_windows(docs: DataFrame, width: int = 35, batches: int = 3, text: s
 
     dealt = blocks.groupBy("blk")
     held = index.holders()
-    verified = judged(dealt.cogroup(held.groupBy("blk")).applyInArrow(emit, PACKED))
-    answers = held.unionByName(verified, allowMissingColumns=True)
+    if old is not None:
+        held = durable(held)
+    keys = dealt.cogroup(held.groupBy("blk")).applyInArrow(emit, PACKED)
+    if old is not None:
+        met = old.join(held.select("blk"), "blk", "left_semi").groupBy("blk")
+        keys = keys.union(met.cogroup(held.groupBy("blk")).applyInArrow(emit, PACKED))
+    answers = held.unionByName(judged(keys), allowMissingColumns=True).where(F.col("blk") >= base)
     schema = f"rest {blocks.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, kept string, spans array<struct<start:bigint,end:bigint>>"
     return dealt.cogroup(answers.groupBy("blk")).applyInArrow(last, schema)
 

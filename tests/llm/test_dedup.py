@@ -38,6 +38,24 @@ def test_words_removed_from_odd_texts(spark, batches):
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in done.select("spans", "n_removed").collect())
 
 
+def test_words_removed_across_calls(spark, tmp_path):
+    """Two calls, the second by a new index over the folder of the first, and a third by the index of the second."""
+    texts, folder = [*odd_texts(), prose(60, 20), prose(60, 20)], f"{tmp_path}/index"
+    old, new = texts[::2], texts[1::2]
+    words = lambda own, index: by_id(substring_dedup.repeated_windows(frame(spark, own), index=index).selectExpr("rest.doc_id", "n_words", "n_removed", "sha2(kept, 256) as h"), "n_words", "n_removed", "h")
+    first = substring_dedup.FingerprintIndex(spark, folder)
+    assert words(old, first) == dict(enumerate(brute.removed_words(old)))
+    assert len(first.runs) == 2  # the first four batches of a call are merged
+    second = substring_dedup.FingerprintIndex(spark, folder)
+    want = brute.removed_words(texts)[1::2]
+    assert want != brute.removed_words(new)
+    assert words(new, second) == dict(enumerate(want))
+    both = prose(34, 21) + " " + prose(60, 20)
+    assert words([both, prose(50, 22)], second) == dict(enumerate(brute.removed_words([both, prose(50, 22), *texts])[:2]))
+    with pytest.raises(ValueError):
+        substring_dedup.repeated_windows(frame(spark, new), 40, index=substring_dedup.FingerprintIndex(spark, folder))
+
+
 def test_index_merges_runs_and_keeps_old_ones(spark):
     index = substring_dedup.FingerprintIndex(spark, fanout=2)
     first = substring_dedup.fingerprints(frame(spark, odd_texts()[10:11]).selectExpr("doc_id as blk", "text"), 35)
