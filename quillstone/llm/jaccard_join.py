@@ -296,8 +296,8 @@ def linked_classes(profile: DataFrame, turns: int = 2) -> DataFrame:
     return components(links)
 
 
-def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """row, doc_id, cls, n_shingles, component_id: one row per document."""
+def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", root: bool = False) -> DataFrame:
+    """row, doc_id, cls, n_shingles, component_id: one row per document; if asked for, the component's root class."""
     profile = profiles(docs, text)
     roots = linked_classes(profile)
     member = profile.select("row", F.col(f"rest.`{doc_id}`").alias("doc_id"), "cls", "n_shingles")
@@ -305,15 +305,19 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     classes = member.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     classes = durable(classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     names = durable(classes.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = durable(classes.join(names, "root").select("cls", "component_id"))
-    return member.where("n_shingles > 0").join(named, "cls").unionByName(lone)
+    named = durable(classes.join(names, "root").select("cls", "component_id", *["root"] * root))
+    return member.where("n_shingles > 0").join(named, "cls").unionByName(lone, allowMissingColumns=root)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents without those that are not the first (by doc_id) of their group; of repeated rows one stays."""
+    """The documents without all but one row of each group: of the rows with its least doc_id (nulls last) the least by `row`.
+
+    Of rows that repeat whole one stays, also where their text has no words.
+    """
     row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    found = groups(docs, text, doc_id)
-    gone = found.where("component_id is not null and doc_id is distinct from component_id").select(F.col("row").alias("gone")).distinct()
+    found = groups(docs, text, doc_id, root=True).where("root is not null")
+    stays = found.where("doc_id is not distinct from component_id").groupBy("root").agg(F.min("row").alias("stays"))
+    gone = found.select(F.col("row").alias("gone")).distinct().join(stays, F.col("gone") == F.col("stays"), "left_anti")
     kept = docs.select(row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")).join(gone, F.col("row") == F.col("gone"), "left_anti")
     return kept.dropDuplicates(["row"]).select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 

@@ -149,6 +149,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute.linked(texts)))
 
 
+def test_one_row_stays_of_repeated_and_null_ids(spark):
+    a, b, c = prose(200, 30), prose(200, 31), prose(200, 32)
+    rows = [(1, a, "en"), (1, a, "de"), (1, a + " edited", "en"), (2, a, "en"), (None, a, "en"), (1, c, "en"), (None, b, "en"), (None, b, "de"), (None, b + " edited", "en"), (3, "", "en"), (3, None, "en")]
+    kept = [tuple(r) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()]
+    assert sorted((i or 0, (t or "")[:20]) for i, t, _ in kept) == sorted([(1, a[:20]), (1, c[:20]), (0, b[:20]), (3, ""), (3, "")])
+
+
 def test_empty_tables(spark):
     docs = empty(spark)
     assert substring_dedup.repeated_windows(docs).count() == 0
