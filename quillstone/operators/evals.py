@@ -46,20 +46,21 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
+#: What counts as a cited number and as a date on a page.
 GATE_REF = r"(?:संख्या|सं0|सं\.|No\.?|Number)\s*[-:–]?\s*([0-9०-९][0-9०-९/A-Za-z\x{0900}-\x{097F}()\-.]{4,60})"
 GATE_DATE = r"(\p{Nd}{1,2}[./-]\p{Nd}{1,2}[./-]\p{Nd}{2,4})|दिनांक"
 
 
 def gate_rows(pages: DataFrame, orders: DataFrame) -> DataFrame:
-    """Per order: pages, words, mean confidence, Devanagari share, cited orders, date flag, seconds a page.
+    """Per order: pages, characters, words, mean confidence of its pages, Devanagari share, cited orders, date flag, seconds a page.
 
     `pages` has (goid, page, text, words, mean_conf, seconds); orders without metadata keep their row.
     """
     letters = lambda p: F.regexp_count("text", F.lit(p))
-    each = pages.select("goid", "words", "mean_conf", "seconds", letters(tx.DEVANAGARI).alias("dev"), letters("[A-Za-z]").alias("latin"), F.regexp_extract_all("text", F.lit(GATE_REF), F.lit(1)).alias("refs"), F.col("text").rlike(GATE_DATE).alias("dated"))
+    each = pages.select("goid", "words", "mean_conf", "seconds", F.char_length("text").alias("chars"), letters(tx.DEVANAGARI).alias("dev"), letters("[A-Za-z]").alias("latin"), F.regexp_extract_all("text", F.lit(GATE_REF), F.lit(1)).alias("refs"), F.col("text").rlike(GATE_DATE).alias("dated"))
     per = each.groupBy("goid").agg(
-        F.count(F.lit(1)).alias("pages"), F.sum("words").alias("words"), F.round(F.avg("mean_conf"), 1).alias("mean_conf"), F.count_if(F.col("mean_conf") < 70).alias("low_pages"),
-        F.coalesce(F.round(100 * F.sum("dev") / F.nullif(F.sum("dev") + F.sum("latin"), F.lit(0))), F.lit(0.0)).cast("int").alias("devanagari_pct"),
+        F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.sum("words").alias("words"), F.round(F.avg("mean_conf"), 1).alias("mean_conf"), F.count_if(F.col("mean_conf") < 70).alias("low_pages"),
+        F.sum("mean_conf").alias("conf_sum"), F.count("mean_conf").alias("conf_pages"), F.coalesce(F.round(100 * F.sum("dev") / F.nullif(F.sum("dev") + F.sum("latin"), F.lit(0))), F.lit(0.0)).cast("int").alias("devanagari_pct"),
         F.bool_or("dated").alias("has_date_token"), F.round(F.sum("seconds") / F.count(F.lit(1)), 1).alias("secs_per_page"),
     )
     cited = each.select("goid", F.explode("refs").alias("ref")).distinct().groupBy("goid").agg(F.count(F.lit(1)).alias("go_refs_found"))
@@ -67,8 +68,9 @@ def gate_rows(pages: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def gate_totals(rows: DataFrame) -> DataFrame:
+    """One row; the mean confidence is that of all pages."""
     return rows.agg(
-        F.count(F.lit(1)).alias("orders"), F.sum("pages").alias("pages"), F.round(F.avg("mean_conf"), 1).alias("mean_conf"), F.sum("low_pages").alias("low_pages"),
+        F.count(F.lit(1)).alias("orders"), F.sum("pages").alias("pages"), F.round(F.sum("conf_sum") / F.nullif(F.sum("conf_pages"), F.lit(0)), 1).alias("mean_conf"), F.sum("low_pages").alias("low_pages"),
         F.count_if(F.col("words") < 20).alias("empty"), F.count_if(F.col("devanagari_pct") >= 50).alias("devanagari"), F.count_if(F.col("go_refs_found") > 0).alias("with_refs"),
     )
 

@@ -11,20 +11,21 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as tx
 
 MIN_COSINE, MIN_COVERAGE = 0.40, 0.20
-#: What a refusal says.
+#: What a refusal says; NOT_FOUND is this engine's own.
 OFF_TOPIC = "The orders that matched are about a different matter than this question."
 UNSUPPORTED = "No passage in these orders supported an answer to this question."
 NOT_FOUND = "The indexed orders do not appear to cover this."
 REPLY = "answer string, quotes array<struct<n:string,text:string>>, same_subject boolean, found boolean"
 
 
-def relevance(questions: DataFrame, results: DataFrame, head: int = 3) -> DataFrame:
+def relevance(questions: DataFrame, results: DataFrame, head: int = 3, min_cosine: float = MIN_COSINE, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(qid, relevant, reason) from the first results' cosine and coverage; a question without results is not relevant."""
     best = results.where(F.col("position") <= head).groupBy("qid").agg(F.max("cosine").alias("cos"), F.coalesce(F.max("lexical_coverage"), F.lit(0.0)).alias("cov"), F.count(F.lit(1)).alias("n"))
-    percent = F.concat(F.lit("term overlap "), F.format_string("%.0f", F.col("cov") * 100), F.lit("%"))
-    similar = F.concat(F.lit("semantic similarity "), F.format_string("%.2f", "cos"))
+    # halves go to the even digit
+    percent = F.concat(F.lit("term overlap "), F.bround(F.col("cov") * 100, 0).cast("int").cast("string"), F.lit("%"))
+    similar = F.concat(F.lit("semantic similarity "), F.format_string("%.2f", F.bround("cos", 2)))
     detail = F.when(F.col("cos").isNull(), percent).otherwise(F.concat(percent, F.lit(", "), similar))
-    near, overlap = F.coalesce(F.col("cos") >= MIN_COSINE, F.lit(False)), F.col("cov") >= MIN_COVERAGE
+    near, overlap = F.coalesce(F.col("cos") >= min_cosine, F.lit(False)), F.col("cov") >= min_coverage
     reason = F.when(F.col("n").isNull(), "nothing matched the question").when(near, similar).when(overlap, percent).otherwise(F.concat(F.lit("closest passages are not relevant ("), detail, F.lit(")")))
     return questions.select("qid").join(best, "qid", "left").select("qid", F.coalesce(near | overlap, F.lit(False)).alias("relevant"), reason.alias("reason"))
 
@@ -63,7 +64,7 @@ def extractive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parse(raw: DataFrame) -> DataFrame:
     """(qid, answer, quotes, same_subject, found): strict JSON, else the outermost braces, else the raw text as answer.
 
-    A `found` that is not given is true; text without braces is an answer without quotes.
+    A `found` that is not given is true, one that is null false; text without braces is an answer without quotes.
     """
     whole = F.try_parse_json("raw")
     span = F.nullif(F.regexp_extract("raw", r"(?s)\{.*\}", 0), F.lit(""))
@@ -71,7 +72,7 @@ def parse(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("j", F.from_json(chosen, REPLY))
     return rows.select(
         "qid", F.when(chosen.isNull(), F.col("raw")).otherwise(F.coalesce("j.answer", F.lit(""))).alias("answer"),
-        F.coalesce("j.quotes", F.array().cast("array<struct<n:string,text:string>>")).alias("quotes"), F.col("j.same_subject").alias("same_subject"), F.coalesce("j.found", F.lit(True)).alias("found"),
+        F.coalesce("j.quotes", F.array().cast("array<struct<n:string,text:string>>")).alias("quotes"), F.col("j.same_subject").alias("same_subject"), F.coalesce("j.found", ~F.coalesce(F.array_contains(F.json_object_keys(chosen), "found"), F.lit(False))).alias("found"),
     )
 
 

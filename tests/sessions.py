@@ -40,7 +40,7 @@ def plain(value):
         return value
     if isinstance(value, float | decimal.Decimal):
         value = float(value)
-        return "nan" if math.isnan(value) else float(f"{value:.9g}")
+        return "nan" if math.isnan(value) else float(f"{value:.9g}") + 0.0  # no negative zero
     if isinstance(value, datetime.datetime | datetime.date):
         return str(value)
     if isinstance(value, dict):
