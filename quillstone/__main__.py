@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillstone.engine import Engine
 from quillstone.functions import embed as em
-from quillstone.operators import catalog, chunking
+from quillstone.functions.romanise import romanise
+from quillstone.operators import catalog, chunking, keyword
 from quillstone.sources import readers, sinks
 
 
@@ -20,6 +21,8 @@ def build(spark: SparkSession, args: argparse.Namespace) -> None:
     passages = chunking.number(made.drop("word_ids", "mean_conf").unionByName(chunking.subject_passages(orders)))
     sinks.relation(passages, f"{args.folder}/passages")
     passages = spark.read.parquet(f"{args.folder}/passages")
+    keyword.build(passages, folder=f"{args.folder}/words")
+    keyword.phonetic_index(passages, romanise, f"{args.folder}/phonetic")
     pages = chunking.pages(words, made)
     sinks.relation(pages, f"{args.folder}/pages")
     refs = catalog.references(spark.read.parquet(f"{args.folder}/pages"), orders).withColumn("target_goid", F.lit(None).cast("long"))

@@ -13,6 +13,7 @@ from quillstone.functions.romanise import romanise
 from quillstone.operators import catalog, evals, fusion, grounding, keyword, vector
 from quillstone.operators.filters import predicate
 from quillstone.sources import readers
+from quillstone.sources.stored import written
 
 
 @dataclass
@@ -20,24 +21,41 @@ class Config:
     """Tunables; the environment overrides the defaults."""
 
     phonetic_weight: float = field(default_factory=lambda: float(os.environ.get("PHONETIC_WEIGHT", "0")))
+    min_cosine: float = field(default_factory=lambda: float(os.environ.get("MIN_COSINE", grounding.MIN_COSINE)))
+    min_coverage: float = field(default_factory=lambda: float(os.environ.get("MIN_COVERAGE", grounding.MIN_COVERAGE)))
     expand_subjects: bool = field(default_factory=lambda: os.environ.get("EXPAND_SUBJECTS") == "1")
     per_order: int = 2
     channel_depth: int = 50
 
 
 class Engine:
-    """Relations as DataFrames; every method answers with a lazy DataFrame, for one question or many."""
+    """Relations as DataFrames and stored indexes; every method answers with a DataFrame, for one question or many.
 
-    def __init__(self, spark: SparkSession, orders: DataFrame, passages: DataFrame, pages: DataFrame | None = None, refs: DataFrame | None = None, vectors: DataFrame | None = None, encoder=None, config: Config | None = None):
+    Indexes that are not given are built by the first search that needs them.
+    """
+
+    def __init__(self, spark: SparkSession, orders: DataFrame, passages: DataFrame, pages: DataFrame | None = None, refs: DataFrame | None = None, vectors: DataFrame | None = None, encoder=None, config: Config | None = None, words: keyword.Index | None = None, phonetic: keyword.Index | None = None):
         self.spark, self.orders, self.passages = spark, orders, passages
         self.pages = pages if pages is not None else catalog.empty(spark, "pages")
         self.refs = refs if refs is not None else catalog.empty(spark, "references")
         self.vectors, self.encoder, self.config = vectors, encoder or em.hashing(), config or Config()
+        self._words, self._phonetic = words, phonetic
+
+    @property
+    def words(self) -> keyword.Index:
+        self._words = self._words or keyword.build(self.passages)
+        return self._words
+
+    @property
+    def phonetic(self) -> keyword.Index:
+        self._phonetic = self._phonetic or keyword.phonetic_index(self.passages, romanise)
+        return self._phonetic
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, **more) -> Engine:
         read = lambda n: spark.read.parquet(f"{folder}/{n}")
-        return cls(spark, read("orders"), read("passages"), read("pages"), read("references"), readers.vectors(spark, f"{folder}/vectors"), **more)
+        indexes = {"words": keyword.load(spark, f"{folder}/words"), "phonetic": keyword.load(spark, f"{folder}/phonetic")}
+        return cls(spark, read("orders"), read("passages"), read("pages"), read("references"), readers.vectors(spark, f"{folder}/vectors"), **indexes, **more)
 
     def questions(self, texts: str | list[str]) -> DataFrame:
         texts = [texts] if isinstance(texts, str) else texts
@@ -48,28 +66,29 @@ class Engine:
         questions = questions if isinstance(questions, DataFrame) else self.questions(questions)
         only = keyword.allowed(self.passages, self.orders, predicate(**filters)) if any(filters.values()) else self.passages.join(self.orders.select("goid"), "goid", "left_semi").select("chunk_id")
         depth = self.config.channel_depth
-        channels = {"keyword": keyword.keyword_search(self.passages, questions, depth, only)}
+        channels = {"keyword": written(keyword.keyword_search(self.words, questions, depth, only))}
         if self.vectors is not None:
             asked = questions.select("qid", em.embed(F.col("question"), self.encoder).alias("embedding"))
-            channels["vector"] = vector.vector_search(self.vectors, asked, depth, only)
+            channels["vector"] = written(vector.vector_search(self.vectors, asked, depth, only))
         weights = {}
         if self.config.phonetic_weight > 0:
-            channels["phonetic"] = keyword.phonetic_search(self.passages, questions, depth, romanise)
+            channels["phonetic"] = keyword.phonetic_search(self.phonetic, questions, depth, romanise, only)
             weights["phonetic"] = self.config.phonetic_weight
         fused = fusion.fuse(channels, weights, limit)
-        rows = fusion.diversify(fusion.hydrate(fused, self.passages, self.orders), limit, self.config.per_order).join(questions, "qid")
-        rows = rows.join(channels["keyword"].select("qid", "chunk_id", "bm25"), ["qid", "chunk_id"], "left")
-        rows = rows.join(channels["vector"].select("qid", "chunk_id", "cosine"), ["qid", "chunk_id"], "left") if "vector" in channels else rows.withColumn("cosine", F.lit(None).cast("double"))
+        found = fusion.diversify(fusion.hydrate(fused, self.passages.select("chunk_id", "goid", "page"), self.orders.select("goid", "go_no")), limit, self.config.per_order)
+        # texts and the other columns only of the rows that stay
+        rows = fusion.hydrate(found.drop("goid", "page", "go_no"), self.passages, self.orders).join(questions, "qid")
+        rows = rows if "vector" in channels else rows.withColumn("cosine", F.lit(None).cast("double"))
         return fusion.decorate(rows, list(channels))
 
     def ask(self, questions: DataFrame | str | list[str], limit: int = 6, provider: grounding.Provider = grounding.extractive, **filters) -> DataFrame:
         """Grounded answers or refusals; the provider sees only questions that pass the relevance gate."""
         questions = questions if isinstance(questions, DataFrame) else self.questions(questions)
-        results = self.search(questions, limit, **filters)
+        results = written(self.search(questions, limit, **filters))
         if self.config.expand_subjects:
             swapped = fusion.expand_subjects(results, self.passages, limit).select("qid", F.col("place").alias("position"), "chunk_id")
             results = results.drop("position", "chunk_id", "text", "kind", "page").dropDuplicates(["qid", "goid"]).join(swapped.join(self.passages.select("chunk_id", "goid", "text", "kind", "page"), "chunk_id"), ["qid", "goid"])
-        gate = grounding.relevance(questions, results)
+        gate = grounding.relevance(questions, results, min_cosine=self.config.min_cosine, min_coverage=self.config.min_coverage)
         asked = grounding.prompts(questions.join(gate.where("relevant"), "qid", "left_semi"), results)
         parsed = grounding.parse(grounding.ask(asked, provider))
         quotes = parsed.select("qid", F.posexplode("quotes").alias("i", "q")).select("qid", "i", "q.n", "q.text")
@@ -91,5 +110,5 @@ class Engine:
     def evaluate(self, gold: DataFrame) -> DataFrame:
         """Retrieval metrics of gold questions (qid, question, ...), all in one plan."""
         able, unable = gold.where("not unanswerable").select("qid", "question"), gold.where("unanswerable").select("qid", "question")
-        declined = grounding.relevance(unable, self.search(unable, 6)).select("qid", (~F.col("relevant")).alias("declined"))
+        declined = grounding.relevance(unable, self.search(unable, 6), min_cosine=self.config.min_cosine, min_coverage=self.config.min_coverage).select("qid", (~F.col("relevant")).alias("declined"))
         return evals.retrieval_metrics(evals.retrieval_details(gold, self.search(able, 5)), declined)

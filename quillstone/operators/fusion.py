@@ -14,15 +14,18 @@ K = 60
 def fuse(channels: dict[str, DataFrame], weights: dict[str, float] | None = None, limit: int = 10) -> DataFrame:
     """Reciprocal-rank fusion of (qid, chunk_id, rank, ...) tables, cut to 10 * limit rows a question.
 
-    Gives score, place, and for every channel its rank; equal scores keep the order of the channels and their ranks.
+    Gives score, place, and for every channel its rank and what else it has, such as bm25 or cosine; equal scores keep
+    the order of the channels and their ranks.
     """
     weights = weights or {}
     names = list(channels)
-    parts = [df.select("qid", "chunk_id", *[(F.col("rank") if n == name else F.lit(None).cast("int")).alias(f"rank_{n}") for n in names]) for name, df in channels.items()]
+    own = {n: [c for c in df.columns if c in ("bm25", "cosine") and n != "phonetic"] for n, df in channels.items()}
+    kept = [c for cs in own.values() for c in cs]
+    parts = [df.select("qid", "chunk_id", *own[name], *[(F.col("rank") if n == name else F.lit(None).cast("int")).alias(f"rank_{n}") for n in names]) for name, df in channels.items()]
     union = parts[0]
     for p in parts[1:]:
-        union = union.unionByName(p)
-    ranks = union.groupBy("qid", "chunk_id").agg(*[F.min(f"rank_{n}").alias(f"rank_{n}") for n in names])
+        union = union.unionByName(p, allowMissingColumns=True)
+    ranks = union.groupBy("qid", "chunk_id").agg(*[F.min(f"rank_{n}").alias(f"rank_{n}") for n in names], *[F.first(c, ignorenulls=True).alias(c) for c in kept])
     score = sum((F.coalesce(weights.get(n, 1.0) / (K + F.col(f"rank_{n}")), F.lit(0.0)) for n in names), F.lit(0.0))
     order = Window.partitionBy("qid").orderBy(F.round("score", 12).desc(), *[F.col(f"rank_{n}").asc_nulls_last() for n in names])
     return ranks.withColumn("score", score).withColumn("place", F.row_number().over(order)).where(F.col("place") <= 10 * limit)

@@ -1,50 +1,84 @@
-"""Inverted index and BM25 keyword search for batches of questions."""
+"""Inverted index and BM25 keyword search for batches of questions.
+
+The index is built once, at ingest, and stored: postings (term, chunk_id, tf, dl, places) lie together by passage, so a batch of
+questions, which is the small side, is joined where the postings are read, and a question's words meet in a passage before
+anything is shuffled.  Places are read only for words of several index tokens.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
+from quillstone.sources.stored import scratch, written
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
 
-def postings(passages: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """(term, chunk_id, pos): one row per token of every passage."""
-    tokens = tx.index_tokens(F.col("text")) if tokens is None else tokens
-    return passages.select("chunk_id", F.posexplode(tokens).alias("pos", "term")).select("term", "chunk_id", "pos")
+@dataclass(frozen=True)
+class Index:
+    """Postings, (term, df) of all terms, and the number and mean length of all passages, also those without tokens."""
 
+    postings: DataFrame
+    terms: DataFrame
+    docs: int
+    mean: float
 
-def lengths(passages: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """(chunk_id, dl): tokens of each passage, of all passages."""
+
+def build(passages: DataFrame, tokens: Column | None = None, folder: str | None = None) -> Index:
+    """Writes the index of (chunk_id, text) passages; `tokens` is an array of index tokens in place of those of the text."""
+    spark, folder = passages.sparkSession, folder or scratch(passages.sparkSession)
     tokens = tx.index_tokens(F.col("text")) if tokens is None else tokens
-    return passages.select("chunk_id", F.greatest(F.size(tokens), F.lit(0)).alias("dl"))
+    each = passages.repartition("chunk_id").select("chunk_id", tokens.alias("ts")).select("chunk_id", F.size("ts").alias("dl"), F.posexplode("ts").alias("pos", "term"))
+    # dealt by passage, so the terms of a passage are counted where it lies
+    rows = each.groupBy("chunk_id", "term", "dl").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    rows.select("term", "chunk_id", F.size("places").alias("tf"), "dl", "places").write.mode("overwrite").parquet(f"{folder}/postings")
+    posts = spark.read.parquet(f"{folder}/postings")
+    posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    docs = passages.agg(F.count(F.lit(1)).alias("docs"))
+    docs.crossJoin(posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).write.mode("overwrite").parquet(f"{folder}/whole")  # one row each
+    return load(spark, folder)
+
+
+def load(spark: SparkSession, folder: str) -> Index:
+    whole = spark.read.parquet(f"{folder}/whole").first()
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms"), whole["docs"], whole["tokens"] / max(1, whole["docs"]))
 
 
 def phrases(questions: DataFrame, words: Column | None = None) -> DataFrame:
-    """(qid, phrase, off, term, n): each word of a question is a phrase of its index tokens; tokenless words vanish."""
+    """(qid, phrase, terms): each word of a question is a phrase of its index tokens; tokenless words vanish."""
     words = tx.query_words(F.col("question")) if words is None else words
     each = questions.select("qid", F.posexplode(words).alias("phrase", "word")).withColumn("terms", tx.index_tokens(F.col("word")))
-    return each.where(F.size("terms") > 0).select("qid", "phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
+    return each.where(F.size("terms") > 0).select("qid", "phrase", "terms")
 
 
-def bm25(posts: DataFrame, sizes: DataFrame, wanted: DataFrame) -> DataFrame:
+def bm25(index: Index, wanted: DataFrame) -> DataFrame:
     """(qid, chunk_id, bm25): lower is better.
 
-    Phrase starts are counted per (question, phrase, passage); the document frequency is the phrase's.  Frequencies,
-    passage count and mean length are those of the whole index, whatever is filtered later.
+    A phrase counts where its tokens stand in a row; the document frequency is the phrase's.  Frequencies, passage count
+    and mean length are those of the whole index, whatever is filtered later.
     """
-    met = posts.join(wanted, "term").select("qid", "phrase", "chunk_id", (F.col("pos") - F.col("off")).alias("start"), "n")
-    starts = met.groupBy("qid", "phrase", "chunk_id", "start", "n").agg(F.count(F.lit(1)).alias("hits")).where("hits = n")
-    tf = starts.groupBy("qid", "phrase", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("qid", "phrase").agg(F.count(F.lit(1)).alias("df"))
-    whole = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))  # one row
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, ["qid", "phrase"]).join(sizes, "chunk_id").crossJoin(F.broadcast(whole)).withColumn("part", part)
-    return scored.groupBy("qid", "chunk_id").agg((-F.sum("part")).alias("bm25"))
+
+    def parts(found: DataFrame, df: Column, times: Column) -> DataFrame:
+        idf = F.log((index.docs - df + 0.5) / (df + 0.5))
+        idf = F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf)
+        length = F.lit(1 - B) + B * F.col("dl") / F.lit(index.mean or 1.0)
+        return found.select("qid", "chunk_id", (times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)).alias("part"))
+
+    wanted = written(wanted)
+    # written, so that the planner knows what they take and broadcasts them only while they are small
+    single = written(wanted.where(F.size("terms") == 1).groupBy("qid", F.col("terms")[0].alias("term")).agg(F.count(F.lit(1)).alias("times")).join(index.terms, "term"))
+    scores = parts(index.postings.select("term", "chunk_id", "tf", "dl").join(single, "term"), F.col("df"), F.col("times"))
+    if not wanted.where(F.size("terms") > 1).isEmpty():
+        several = written(wanted.where(F.size("terms") > 1).select("qid", "phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term")))
+        met = index.postings.join(several, "term").select("qid", "phrase", "chunk_id", "n", "dl", "off", F.explode("places").alias("pos"))
+        starts = met.groupBy("qid", "phrase", "chunk_id", "dl", "n", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("hits")).where("hits = n")
+        tf = written(starts.groupBy("qid", "phrase", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
+        scores = scores.union(parts(tf.join(tf.groupBy("qid", "phrase").agg(F.count(F.lit(1)).alias("df")), ["qid", "phrase"]), F.col("df"), F.lit(1)))
+    return scores.groupBy("qid", "chunk_id").agg((-F.sum("part")).alias("bm25"))
 
 
 def top(scores: DataFrame, value: str, k: int, rank: str = "rank", descending: bool = False) -> DataFrame:
@@ -59,14 +93,18 @@ def allowed(passages: DataFrame, orders: DataFrame, predicate: Column) -> DataFr
     return passages.select("chunk_id", "goid").join(orders.where(predicate).select("goid"), "goid", "left_semi").select("chunk_id")
 
 
-def keyword_search(passages: DataFrame, questions: DataFrame, k: int = 50, only: DataFrame | None = None) -> DataFrame:
+def keyword_search(index: Index, questions: DataFrame, k: int = 50, only: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, bm25, rank)."""
-    scores = bm25(postings(passages), lengths(passages), phrases(questions))
+    scores = bm25(index, phrases(questions))
     return top(scores if only is None else scores.join(only, "chunk_id", "left_semi"), "bm25", k)
 
 
-def phonetic_search(passages: DataFrame, questions: DataFrame, k: int = 50, roman=lambda c: c) -> DataFrame:
-    """Keyword search over phonetic keys; `roman` turns other scripts into Latin letters."""
-    keyed = passages.select("chunk_id", F.array_join(tx.phonetic_tokens(roman(F.col("text"))), " ").alias("text"))
-    scores = bm25(postings(keyed), lengths(keyed), phrases(questions, tx.phonetic_tokens(roman(F.col("question")))))
-    return top(scores, "bm25", k)
+def phonetic_index(passages: DataFrame, roman=lambda c: c, folder: str | None = None) -> Index:
+    """An index of phonetic keys; `roman` turns other scripts into Latin letters."""
+    return build(passages, tx.phonetic_tokens(roman(F.col("text"))), folder)
+
+
+def phonetic_search(index: Index, questions: DataFrame, k: int = 50, roman=lambda c: c, only: DataFrame | None = None) -> DataFrame:
+    """Keyword search over phonetic keys."""
+    scores = bm25(index, phrases(questions, tx.phonetic_tokens(roman(F.col("question")))))
+    return top(scores if only is None else scores.join(only, "chunk_id", "left_semi"), "bm25", k)

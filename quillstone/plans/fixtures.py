@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions.romanise import romanise
+from quillstone.operators import keyword
+
+#: Indexes by session, folder and kind: built once, as at ingest, and used by every query.
+_INDEXES: dict[tuple[str, str, str], keyword.Index] = {}
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -14,7 +20,7 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
     joined = table(spark, d, "documents").join(table(spark, d, "orders"), F.col("doc_id") == F.col("o_orderkey"))
     return joined.select(
         F.col("doc_id").alias("goid"), F.col("o_custkey").cast("string").alias("go_no"), F.date_format("o_orderdate", "dd-MM-yyyy").alias("go_date"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("go_date_iso"),
-        F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 10), " ").alias("subject"), F.col("source").alias("department"),
+        F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("subject"), F.col("source").alias("department"),
         F.col("o_orderstatus").alias("section"), F.col("o_orderpriority").alias("category"), F.when(F.col("doc_id") % 10 != 0, 1).otherwise(0).alias("ocr_ok"),
     )
 
@@ -28,7 +34,23 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"), "text")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), "text")
+
+
+def index(spark: SparkSession, d: str, kind: str = "words") -> keyword.Index:
+    """The stored index of all passages: of their words, of phonetic keys, or of phonetic keys of both scripts (romanised)."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _INDEXES:
+        if kind == "words":
+            _INDEXES[key] = keyword.build(passages(spark, d))
+        else:
+            _INDEXES[key] = keyword.phonetic_index(passages(spark, d) if kind == "phonetic" else hindi(passages(spark, d)), romanise)
+    return _INDEXES[key]
+
+
+def hindi(rows: DataFrame, column: str = "text") -> DataFrame:
+    """Every third row with some of its Latin letters in Devanagari."""
+    return rows.withColumn(column, F.when(F.col(rows.columns[0]) % 3 == 0, F.translate(column, "kmnprstl", "कमनपरसतल")).otherwise(F.col(column)))
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
@@ -44,14 +66,14 @@ def words(spark: SparkSession, d: str) -> DataFrame:
 SQL = r"""
 orders_ as (
   select doc_id as goid, o_custkey::varchar as go_no, strftime(o_orderdate, '%d-%m-%Y') as go_date, strftime(o_orderdate, '%Y-%m-%d') as go_date_iso,
-    array_to_string(string_split(coalesce(text, ''), ' ')[1:10], ' ') as subject, source as department, o_orderstatus as section,
+    string_split(coalesce(text, ''), chr(10))[1] as subject, source as department, o_orderstatus as section,
     o_orderpriority as category, (case when doc_id % 10 <> 0 then 1 else 0 end)::int as ocr_ok
   from documents join orders on doc_id = o_orderkey),
 passages_ as (
   select doc_id as chunk_id, doc_id as goid, (doc_id % 3 + 1)::int as page, 0 as ord, coalesce(text, '') as text, len(string_split(coalesce(text, ''), ' '))::int as n_words, 'ocr' as kind,
     (doc_id % 40 * 10)::int as box_x, (doc_id % 60 * 10)::int as box_y, (doc_id % 70 * 10)::int as box_w, (doc_id % 30 * 10)::int as box_h
   from documents),
-questions_ as (select item_id as qid, array_to_string(string_split(text, ' ')[1:8], ' ') as question, text from benchmark),
+questions_ as (select item_id as qid, text as question, text from benchmark),
 lines_ as (select doc_id as goid, generate_subscripts(ls, 1) - 1 as line, unnest(ls) as l from (select doc_id, string_split(text, chr(10)) as ls from documents)),
 words_ as (
   select goid, 1 as page, (line // 10)::int as block, 1 as par, line::int as line, word::int as word, (word * 10)::int as x, (line * 20)::int as y,

@@ -156,14 +156,17 @@ mg as (
 pas as (select goid, ord::int as ord, string_agg(text, ' ' order by j) as text, sum(nw)::int as n_words, min(x)::int as box_x, min(y)::int as box_y,
   (max(x2) - min(x))::int as box_w, (max(y2) - min(y))::int as box_h, sum(ids)::int as ids from mg join ps using (goid, j) group by goid, ord)"""
 
-GATE_PAGES = f"""{CITED},
-wp as (select goid, count(*) as words, round(avg(conf), 1) as mean_conf from words_ group by goid),
-gp as (select goid, text, words, mean_conf, words / 100 as seconds from cp join wp using (goid)),
-gr0 as (select goid, words, mean_conf, seconds, len(regexp_extract_all(text, '[\\x{{0900}}-\\x{{097F}}]')) as dev, len(regexp_extract_all(text, '[A-Za-z]')) as latin,
-  len(list_distinct(regexp_extract_all(text, '(?:संख्या|सं0|सं\\.|No\\.?|Number)\\s*[-:–]?\\s*([0-9०-९][0-9०-९/A-Za-z\\x{{0900}}-\\x{{097F}}()\\-.]{{4,60}})', 1))) as refs,
-  regexp_matches(text, '(\\p{{Nd}}{{1,2}}[./-]\\p{{Nd}}{{1,2}}[./-]\\p{{Nd}}{{2,4}})|दिनांक') as dated from gp),
-gr as (select goid, 1 as pages, words, round(mean_conf, 1) as mean_conf, (mean_conf < 70)::int as low_pages, coalesce(round(100 * dev / nullif(dev + latin, 0)), 0)::int as devanagari_pct,
-  dated as has_date_token, round(seconds, 1) as secs_per_page, refs as go_refs_found, o.category from gr0 left join orders_ o using (goid))""".replace("\\\\", "\\")
+GATE_PAGES = """
+wp as (select goid, line // 20 + 1 as page, count(*) as words, round(avg(conf), 1) as mean_conf, string_agg(text, ' ' order by line, word) as text from words_ group by all),
+gp as (select goid, page, words, mean_conf, words / 100 as seconds,
+  text || ' No. ' || (goid * 7 + 100) || '/XX-' || (goid * 3 + 100) || '/2019, Number: ' || (goid + 100) || '/20 संख्या-' || (goid * 7 + 100) || '/XX-' || (goid * 3 + 100) || '/2019' as text from wp),
+gr0 as (select goid, words, mean_conf, seconds, length(text) as chars, len(regexp_extract_all(text, '[\\x{0900}-\\x{097F}]')) as dev, len(regexp_extract_all(text, '[A-Za-z]')) as latin,
+  regexp_extract_all(text, '(?:संख्या|सं0|सं\\.|No\\.?|Number)\\s*[-:–]?\\s*([0-9०-९][0-9०-९/A-Za-z\\x{0900}-\\x{097F}()\\-.]{4,60})', 1) as refs,
+  regexp_matches(text, '(\\p{Nd}{1,2}[./-]\\p{Nd}{1,2}[./-]\\p{Nd}{2,4})|दिनांक') as dated from gp),
+gr1 as (select goid, count(*) as pages, sum(chars)::bigint as chars, sum(words)::bigint as words, round(avg(mean_conf), 1) as mean_conf, count(*) filter (mean_conf < 70) as low_pages,
+  coalesce(round(100 * sum(dev) / nullif(sum(dev) + sum(latin), 0)), 0)::int as devanagari_pct, bool_or(dated) as has_date_token, round(sum(seconds) / count(*), 1) as secs_per_page,
+  len(list_distinct(flatten(list(refs))))::bigint as go_refs_found from gr0 group by goid),
+gr as (select gr1.*, o.category from gr1 left join orders_ o using (goid))""".replace("\\\\", "\\")
 
 RELATED = """
 dt as (select *, case when regexp_matches(coalesce(go_date_iso, '2000-01-01'), '^\\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\\d|3[01])') then
@@ -175,8 +178,8 @@ oc as (select *, row_number() over (partition by q_goid, go_no order by nth) as
 """.replace("\\\\", "\\")
 
 EXPANSION = f"""{bm25()}, {ranked("sc", "kw", 6)},
-sub as (select goid, chunk_id + 10000000 as chunk_id from passages_ where goid % 3 <> 0),
-bod as (select goid, chunk_id as body_id, 0 as i from passages_ where goid % 5 <> 0 union all select goid, chunk_id + 20000000, 1 from passages_ where goid % 5 <> 0),
+sub as (select goid, chunk_id + 10000000 as chunk_id from passages_),
+bod as (select goid, chunk_id as body_id, 0 as i from passages_ union all select goid, chunk_id + 20000000, 1 from passages_),
 rs as (select kw.qid, s.chunk_id, s.goid, 1.0::double / (60 + rank) as score, rank as position from kw join sub s on s.goid = kw.chunk_id where s.goid in (select goid from orders_)),
 sw as (select qid, coalesce(body_id, chunk_id) as chunk_id, rs.goid, score - coalesce(i, 0) * 1e-6::double as score, position, coalesce(i, 0) as i, case when body_id is not null then 'via subject' else 'keyword' end as matched_by
   from rs left join bod using (goid)),
@@ -186,6 +189,11 @@ ORACLES = {
     "keyword_top": with_(bm25(), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
     "keyword_filtered": with_(bm25(), ranked("sc", "kw", 10, IN_FILTER), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
     "phonetic_top": with_(PHONETIC, bm25("phon", phonetic_list("question")), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
+    # a Devanagari consonant is its letter and an a
+    "phonetic_romanised": with_(
+        r"hp_ as (select chunk_id, case when chunk_id % 3 = 0 then regexp_replace(text, '([kmnprstl])', '\1a', 'g') else text end as text from passages_)", PHONETIC.replace("passages_", "hp_"),
+        bm25("phon", phonetic_list("question")), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw",
+    ),
     "phonetic_keys": f"select word, {phonetic('word')} as key from (select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) as word from documents)",
     "vector_top": with_(VECTORS, ranked("vs", "ve", 10, value="cosine", down="desc"), then="select qid, chunk_id, round(cosine, 6) as cosine, rank from ve"),
     "vector_filtered": with_(VECTORS, ranked("vs", "ve", 10, "label = 3", value="cosine", down="desc"), then="select qid, chunk_id, round(cosine, 6) as cosine, rank from ve"),
@@ -219,6 +227,11 @@ ORACLES = {
         "rr as (select l_orderkey as goid, l_linenumber as page, case when length(l_partkey::varchar) > 2 then substr(l_partkey::varchar, 1, 2) || '/' || substr(l_partkey::varchar, 3, 9) else l_partkey::varchar || '/' end as ref_text, case when l_linenumber = 7 then l_suppkey end as target from lineitem)",
         then="select goid, page, ref_text, coalesce(target, found) as target_goid from rr left join tg on loose = regexp_replace(lower(ref_text), '[/. -]', '', 'g')",
     ),
+    "resolved_count": with_(
+        "tg as (select regexp_replace(lower(go_no), '[/. -]', '', 'g') as loose from orders_ group by 1)",
+        then="""select count(*) as resolved from lineitem left join tg on loose = regexp_replace(case when length(l_partkey::varchar) > 2 then substr(l_partkey::varchar, 1, 2) || substr(l_partkey::varchar, 3, 9) else l_partkey::varchar end, '[/. -]', '', 'g')
+          where loose is not null or (l_linenumber = 7 and l_suppkey is not null)""",
+    ),
     "totals": with_(then="select count(*) as orders, coalesce(sum(ocr_ok), 0)::bigint as indexed, min(go_date_iso) as first_date, max(go_date_iso) as last_date from orders_"),
     "departments": with_(then="select department, count(*) as n, sum(ocr_ok)::bigint as indexed from orders_ group by 1 having sum(ocr_ok) > 0"),
     "facets": with_(then="select 'category' as facet, category as value, count(*) as n from orders_ where ocr_ok = 1 group by 2 union all select 'department', department, count(*) from orders_ where ocr_ok = 1 group by 2 union all select 'year', substr(go_date_iso, 1, 4), count(*) from orders_ where ocr_ok = 1 and go_date_iso is not null group by 2"),
@@ -279,7 +292,7 @@ select (select count(*) from a) as n, (select count(*) from u) as n_unanswerable
     "gate_rows": with_(GATE_PAGES, then="select * from gr"),
     "gate_totals": with_(
         GATE_PAGES,
-        then="select count(*) as orders, sum(pages)::bigint as pages, round(avg(mean_conf), 1) as mean_conf, sum(low_pages)::bigint as low_pages, count(*) filter (words < 20) as empty, count(*) filter (devanagari_pct >= 50) as devanagari, count(*) filter (go_refs_found > 0) as with_refs from gr",
+        then="select count(*) as orders, sum(pages)::bigint as pages, (select round(avg(mean_conf), 1) from gp) as mean_conf, sum(low_pages)::bigint as low_pages, count(*) filter (words < 20) as empty, count(*) filter (devanagari_pct >= 50) as devanagari, count(*) filter (go_refs_found > 0) as with_refs from gr",
     ),
     "page_stats": with_(
         then=r"select goid, page, sum(length(text))::bigint as chars, count(*) as words, coalesce(round(sum(len(regexp_extract_all(text, '[\x{0900}-\x{097F}]'))) / nullif(sum(len(regexp_extract_all(text, '\p{L}'))), 0), 3), 0.0) as devanagari_ratio, round(avg(conf), 1) as mean_conf, count(*) filter (conf < 60) as low_conf_words from words_ group by all"

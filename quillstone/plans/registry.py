@@ -9,14 +9,14 @@ from quillstone.operators import catalog, chunking, evals, fusion, grounding, ke
 from quillstone.operators.filters import predicate
 from quillstone.plans import fixtures as fx
 from quillstone.plans.oracles import ORACLES
+from quillstone.sources.stored import written
 
 FILTERS = {"category": "1-URGENT", "date_from": "1994-01-01", "date_to": "1997-12-31"}
 
 
 def _keyword(s, d, k=10, **filters):
-    passages = fx.passages(s, d)
-    only = keyword.allowed(passages, fx.orders(s, d), predicate(**filters)) if filters else None
-    return keyword.keyword_search(passages, fx.questions(s, d), k, only)
+    only = keyword.allowed(fx.passages(s, d), fx.orders(s, d), predicate(**filters)) if filters else None
+    return keyword.keyword_search(fx.index(s, d), fx.questions(s, d), k, only)
 
 
 def keyword_top(s, d):
@@ -28,7 +28,14 @@ def keyword_filtered(s, d):
 
 
 def phonetic_top(s, d):
-    return keyword.phonetic_search(fx.passages(s, d), fx.questions(s, d), 10).withColumn("bm25", F.round("bm25", 6))
+    return keyword.phonetic_search(fx.index(s, d, "phonetic"), fx.questions(s, d), 10).withColumn("bm25", F.round("bm25", 6))
+
+
+def phonetic_romanised(s, d):
+    """Questions in Latin letters against passages of which every third is partly in Devanagari."""
+    from quillstone.functions.romanise import romanise
+
+    return keyword.phonetic_search(fx.index(s, d, "romanised"), fx.questions(s, d), 10, romanise).withColumn("bm25", F.round("bm25", 6))
 
 
 def phonetic_keys(s, d):
@@ -57,10 +64,10 @@ def _hybrid(s, d, limit=10):
     questions, passages, orders = fx.questions(s, d), fx.passages(s, d), fx.orders(s, d)
     v = _vectors(s, d)
     asked = questions.join(v, F.col("qid") == F.col("chunk_id")).select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
-    channels = {"keyword": keyword.keyword_search(passages, questions), "vector": vector.vector_search(v, asked)}
-    fused = fusion.fuse(channels, limit=limit)
-    rows = fusion.diversify(fusion.hydrate(fused, passages, orders), limit).join(questions.select("qid", "question"), "qid")
-    rows = rows.join(channels["keyword"].select("qid", "chunk_id", "bm25"), ["qid", "chunk_id"], "left").join(channels["vector"].select("qid", "chunk_id", "cosine"), ["qid", "chunk_id"], "left")
+    channels = {"keyword": written(keyword.keyword_search(fx.index(s, d), questions)), "vector": written(vector.vector_search(v, asked))}
+    found = fusion.diversify(fusion.hydrate(fusion.fuse(channels, limit=limit), passages.select("chunk_id", "goid", "page"), orders.select("goid", "go_no")), limit)
+    # texts only of the rows that stay
+    rows = found.join(passages.select("chunk_id", "text"), "chunk_id").join(questions.select("qid", "question"), "qid")
     return fusion.decorate(rows, list(channels))
 
 
@@ -72,7 +79,7 @@ def fused_ranks(s, d):
     questions = fx.questions(s, d)
     v = _vectors(s, d)
     asked = questions.join(v, F.col("qid") == F.col("chunk_id")).select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
-    fused = fusion.fuse({"keyword": keyword.keyword_search(fx.passages(s, d), questions), "vector": vector.vector_search(v, asked)}, {"vector": 0.6}, 5)
+    fused = fusion.fuse({"keyword": keyword.keyword_search(fx.index(s, d), questions), "vector": vector.vector_search(v, asked)}, {"vector": 0.6}, 5)
     return fused.select("qid", "chunk_id", "rank_keyword", "rank_vector", F.round("score", 9).alias("score"), "place")
 
 
@@ -88,8 +95,8 @@ def related_orders(s, d):
 
 def subject_expansion(s, d):
     orders, body = fx.orders(s, d), fx.passages(s, d)
-    subject = body.withColumns({"chunk_id": F.col("chunk_id") + 10_000_000, "kind": F.lit("subject")}).where("goid % 3 <> 0")
-    body = body.unionByName(body.withColumns({"chunk_id": F.col("chunk_id") + 20_000_000, "ord": F.lit(1)})).where("goid % 5 <> 0")
+    subject = body.withColumns({"chunk_id": F.col("chunk_id") + 10_000_000, "kind": F.lit("subject")})
+    body = body.unionByName(body.withColumns({"chunk_id": F.col("chunk_id") + 20_000_000, "ord": F.lit(1)}))
     hits = _keyword(s, d, 6).join(orders.select("goid"), F.col("chunk_id") == F.col("goid"), "left_semi")
     hits = hits.select("qid", F.col("chunk_id").alias("goid"), F.col("rank").alias("position"))
     results = hits.join(subject.select("goid", "chunk_id", "kind"), "goid").select("qid", "chunk_id", "goid", "kind", (1.0 / (60 + F.col("position"))).alias("score"), "position", F.lit("keyword").alias("matched_by"))
@@ -118,10 +125,13 @@ def mark_indexed(s, d):
     return catalog.mark_indexed(fx.orders(s, d).select("goid", "ocr_ok"), fx.table(s, d, "labels").select(F.col("doc_id").alias("goid")))
 
 
-def _cited_pages(s, d):
+def _cited(text):
     n = lambda m: (F.col("goid") * m + 100).cast("string")
-    text = F.concat("text", F.lit(" No. "), n(7), F.lit("/XX-"), n(3), F.lit("/2019, Number: "), n(1), F.lit("/20 संख्या-"), n(7), F.lit("/XX-"), n(3), F.lit("/2019"))
-    return fx.passages(s, d).select("goid", "page", text.alias("text"))
+    return F.concat(text, F.lit(" No. "), n(7), F.lit("/XX-"), n(3), F.lit("/2019, Number: "), n(1), F.lit("/20 संख्या-"), n(7), F.lit("/XX-"), n(3), F.lit("/2019"))
+
+
+def _cited_pages(s, d):
+    return fx.passages(s, d).select("goid", "page", _cited(F.col("text")).alias("text"))
 
 
 def citations(s, d):
@@ -134,6 +144,10 @@ def resolved_references(s, d):
     return catalog.resolve(refs, orders)
 
 
+def resolved_count(s, d):
+    return catalog.resolved_count(resolved_references(s, d))
+
+
 def totals(s, d):
     return catalog.totals(fx.orders(s, d))
 
@@ -215,7 +229,7 @@ def _results(s, d, k=6):
     """Keyword results with everything the answer operators read."""
     p, o, q = fx.passages(s, d), fx.orders(s, d), fx.questions(s, d)
     rows = _keyword(s, d, k).withColumnRenamed("rank", "position").join(p, "chunk_id").join(o, "goid").join(q.select("qid", "question"), "qid")
-    return rows.withColumns({"cosine": F.when(F.col("qid") % 3 == 0, F.round(F.col("chunk_id") % 70 / 100, 2)), "lexical_coverage": tx.coverage(F.col("question"), F.col("text"))})
+    return written(rows.withColumns({"cosine": F.when(F.col("qid") % 3 == 0, F.round(F.col("chunk_id") % 70 / 100, 2)), "lexical_coverage": tx.coverage(F.col("question"), F.col("text"))}))
 
 
 def relevance_gate(s, d):
@@ -240,17 +254,18 @@ def parsed_replies(s, d):
     return p.select("qid", "answer", F.size("quotes").alias("n_quotes"), "same_subject", "found")
 
 
-def _checked(s, d):
+def _checked(s, d, results):
     quotes = grounding.parse(_raw(s, d)).select("qid", F.posexplode("quotes").alias("i", "q")).select("qid", "i", "q.n", "q.text")
-    return grounding.verify(quotes, _results(s, d))
+    return grounding.verify(quotes, results)
 
 
 def verified_quotes(s, d):
-    return _checked(s, d).select("qid", "i", "reason", "chunk_id")
+    return _checked(s, d, _results(s, d)).select("qid", "i", "reason", "chunk_id")
 
 
 def decisions(s, d):
-    return grounding.decide(grounding.parse(_raw(s, d)), _checked(s, d), grounding.relevance(fx.questions(s, d), _results(s, d)))
+    results = _results(s, d)
+    return grounding.decide(grounding.parse(_raw(s, d)), _checked(s, d, results), grounding.relevance(fx.questions(s, d), results))
 
 
 def _gold(s, d):
@@ -263,9 +278,9 @@ def retrieval_details(s, d):
 
 
 def retrieval_metrics(s, d):
-    gold = _gold(s, d)
-    declined = grounding.relevance(gold.where("unanswerable"), _results(s, d)).select("qid", (~F.col("relevant")).alias("declined"))
-    return evals.retrieval_metrics(evals.retrieval_details(gold, _results(s, d, 5)), declined)
+    gold, results = _gold(s, d), _results(s, d)
+    declined = grounding.relevance(gold.where("unanswerable"), results).select("qid", (~F.col("relevant")).alias("declined"))
+    return evals.retrieval_metrics(evals.retrieval_details(gold, results), declined)
 
 
 def retrieval_misses(s, d):
@@ -281,12 +296,15 @@ def answer_metrics(s, d):
 
 
 def _gate_pages(s, d):
-    w = fx.words(s, d).groupBy("goid", "page").agg(F.count(F.lit(1)).alias("words"), F.round(F.avg("conf"), 1).alias("mean_conf"))
-    return _cited_pages(s, d).select("goid", "text").join(w, "goid").withColumn("seconds", F.col("words") / 100)
+    """Pages of twenty lines."""
+    w = fx.words(s, d).withColumn("page", F.floor(F.col("line") / 20).cast("int") + 1)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "word", "text"))), lambda x: x["text"]), " ")
+    pages = w.groupBy("goid", "page").agg(F.count(F.lit(1)).alias("words"), F.round(F.avg("conf"), 1).alias("mean_conf"), text.alias("text"))
+    return pages.withColumns({"text": _cited(F.col("text")), "seconds": F.col("words") / 100})
 
 
 def gate_rows(s, d):
-    return evals.gate_rows(_gate_pages(s, d), fx.orders(s, d)).select("goid", "pages", "words", "mean_conf", "low_pages", "devanagari_pct", "has_date_token", "secs_per_page", "go_refs_found", "category")
+    return evals.gate_rows(_gate_pages(s, d), fx.orders(s, d)).select("goid", "pages", "chars", "words", "mean_conf", "low_pages", "devanagari_pct", "has_date_token", "secs_per_page", "go_refs_found", "category")
 
 
 def gate_totals(s, d):
@@ -309,8 +327,8 @@ def event_windows(s, d):
 
 
 NAMES = [
-    keyword_top, keyword_filtered, phonetic_top, phonetic_keys, vector_top, vector_filtered, hybrid_search, fused_ranks, lexical_coverage, related_orders, subject_expansion,
-    upsert_orders, replace_pages, not_yet_indexed, mark_indexed, citations, resolved_references, totals, departments, facets, passage_stats, sample_passages, crop_boxes,
+    keyword_top, keyword_filtered, phonetic_top, phonetic_romanised, phonetic_keys, vector_top, vector_filtered, hybrid_search, fused_ranks, lexical_coverage, related_orders, subject_expansion,
+    upsert_orders, replace_pages, not_yet_indexed, mark_indexed, citations, resolved_references, resolved_count, totals, departments, facets, passage_stats, sample_passages, crop_boxes,
     recognised_lines, packed_passages, page_assembly, subject_passages, numbered_passages, clean_lines, number_keys, iso_dates, https_urls, match_forms,
     relevance_gate, prompts, parsed_replies, verified_quotes, decisions, retrieval_details, retrieval_metrics, retrieval_misses, answer_metrics, gate_rows, gate_totals, page_stats, batch_summary, event_windows,
 ]
