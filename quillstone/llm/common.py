@@ -98,7 +98,7 @@ class Keys:
         self.keys, self.first, self.back, self.count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         top = (self.keys >> U(64 - 8 * lead)).astype(np.int64)
         self.buckets, self.at = np.unique(top, return_index=True)
-        self.ends = np.append(self.at[1:], len(self.keys))
+        self.ends = np.append(self.at, len(self.keys))[1:]
 
     def rows(self, blk: int, stage: int, width: int) -> list[tuple]:
         """One row a bucket: its sorted keys, without the leading bytes, cut to `width` bytes."""

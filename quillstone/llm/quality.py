@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import durable, table, text_of
-from quillstone.llm.text import LOWERED, slices, utf8, word_hashes, words
+from quillstone.llm.text import LOWERCASE, slices, utf8, word_hashes, words
 
 MOST_LABELS, FEATURES, BINS, RIDGE, SEED = 40_000, 384, 400, 1e-3, 7
 _B = np.arange(256)
@@ -37,7 +37,7 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     share = counts / size[:, None]
     entropy = -(share * np.log(np.maximum(share, 1e-12))).sum(axis=1)
     start, end, doc = words(buf, off)
-    h = word_hashes(buf, start, end, LOWERED)
+    h = word_hashes(LOWERCASE[buf], start, end)
     per = lambda x: np.bincount(doc, weights=x, minlength=n)
     length = (end - start).astype(np.float64)
     nw = np.bincount(doc, minlength=n).astype(np.float64)

@@ -1,13 +1,13 @@
 """Whole-batch byte and word hashing on Arrow text columns.
 
-Texts are UTF-8 bytes; a null text counts as empty.  Every hash is a polynomial over Z/2^64 with an odd
-(hence invertible) base, so the hash of any slice comes from two prefix sums and no loop over documents,
-words or bytes is needed.
+Texts are UTF-8 bytes; a null text counts as empty.  Hashes chain a 64-bit finaliser over words and over doubling
+ranges of words or bytes, so no algebraic structure of a text carries over into them, and no loop over documents is needed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,65 @@ def slices(offsets: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, in
         lo = min(hi, n)
 
 
+#: A-Z become a-z, all other bytes stay.
+LOWERCASE = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: All ASCII bytes but letters and digits separate; bytes of longer characters do not.
+PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+
+def words(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of the runs of bytes outside 0x20 and 0x09-0x0D; runs end with their row."""
+    if not len(buf):
+        return (np.zeros(0, np.int64),) * 3
+    solid = ~space[buf]
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[off] = True
+    first = solid.copy()
+    first[1:] &= ~solid[:-1] | edge[1:-1]
+    last = solid.copy()
+    last[:-1] &= ~solid[1:] | edge[1:-1]
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(off, start, "right") - 1
+
+
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one little-endian number; behind the end stand zeros."""
+    return np.ndarray(len(buf), "<u8", np.append(buf, np.zeros(8, np.uint8)), strides=(1,))
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One hash a word, chained over its lanes; the first step keeps words of up to eight bytes apart for certain."""
+    size = end - start
+    lane, out = lanes(buf), mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+    at, k = np.flatnonzero(size <= LONG_WORD), 0
+    while len(at):
+        rest = size[at] - k
+        mask = np.where(rest >= 8, U(2**64 - 1), (U(1) << (U(8) * np.clip(rest, 0, 7).astype(U))) - U(1))
+        out[at] = mix(out[at] ^ (lane[start[at] + k] & mask))
+        at, k = at[rest > 8], k + 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def grams(x: np.ndarray, width: int, n: int = 1) -> np.ndarray:
+    """Hashes of all runs of `width` units, by start, from numbers that stand for `n` units: their range doubles until it is wide enough."""
+    h = mix(x + U(0x632BE59BD9B4E019))
+    while n < width:
+        step = min(n, width - n)
+        h = mix(h[: max(0, len(h) - step)] * U(0xD6E8FEB86659FD93) + mix(h[step:])) if len(h) > step else h[:0]
+        n += step
+    return h
+
+
+def byte_grams(buf: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` bytes (at least eight), by start."""
+    return grams(lanes(buf), width, 8)[: max(0, len(buf) - width + 1)]
+
+
 class Rolling:
     """Polynomial slice hashes with one odd base; powers are kept and grown as needed."""
 
@@ -82,26 +141,4 @@ def byte_values(seed: int) -> np.ndarray:
 BYTES = byte_values(1)
 #: The same values after A-Z become a-z.
 LOWERED = BYTES[np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))]
-SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: All ASCII bytes but letters and digits separate; bytes of longer characters do not.
-PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 ROLL, WORDS, GRAMS = Rolling(11), Rolling(23), Rolling(37)
-
-
-def words(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row numbers of the runs of bytes outside 0x20 and 0x09-0x0D; runs end with their row."""
-    if not len(buf):
-        return (np.zeros(0, np.int64),) * 3
-    solid = ~space[buf]
-    edge = np.zeros(len(buf) + 1, bool)
-    edge[off] = True
-    first = solid.copy()
-    first[1:] &= ~solid[:-1] | edge[1:-1]
-    last = solid.copy()
-    last[:-1] &= ~solid[1:] | edge[1:-1]
-    start = np.flatnonzero(first)
-    return start, np.flatnonzero(last) + 1, np.searchsorted(off, start, "right") - 1
-
-
-def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = BYTES) -> np.ndarray:
-    return WORDS.slice(WORDS.prefix(values[buf]), start, end)

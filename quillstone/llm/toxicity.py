@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import U, carried, durable, table, text_of
-from quillstone.llm.text import LOWERED, PLAIN, WORDS, mix, slices, utf8, words
+from quillstone.llm.text import LOWERCASE, PLAIN, mix, slices, utf8, word_hashes, words
 
 MOST_LABELS, TERMS, FOLDS, LEAST_Z, RIDGE = 20_000, 384, 3, 4.0, 1.0
 #: Bytes of word beginnings that count as terms beside the word itself.
@@ -33,11 +33,11 @@ CATEGORIES = (("unfit", "quality", 0), ("toxic", "toxic", 1))
 def terms_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(term hash, row) of every word and word beginning, repeated as they occur."""
     start, end, row = words(buf, off, PLAIN)
-    prefix = WORDS.prefix(LOWERED[buf])
-    hashes, rows = [WORDS.slice(prefix, start, end)], [row]
+    buf = LOWERCASE[buf]
+    hashes, rows = [word_hashes(buf, start, end)], [row]
     for n in BEGINNINGS:
         at = np.flatnonzero(end - start > n)
-        hashes.append(mix(WORDS.slice(prefix, start[at], start[at] + n) + U(n)))
+        hashes.append(mix(word_hashes(buf, start[at], start[at] + n) + U(n)))
         rows.append(row[at])
     return np.concatenate(hashes), np.concatenate(rows)
 
