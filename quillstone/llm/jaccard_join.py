@@ -9,10 +9,11 @@ segments instead of the dear signatures, as long as the cheap segments of two or
 up to one deletion (2q > H); where they don't, the remaining signatures are kept however dear, and sets of too many
 empty segments fall back on single shingles.  Sets of fewer than 32 shingles use single shingles as segments.
 
-Sets that are equal are one class; classes meet in stars (every member with the least class of a signature), each
-candidate pair is verified on the texts.  Sets of signatures whose members are still in different components then meet
-in single shingles, rarest first: linked sets share one within the few that each could lack, and its places in both bound
-the overlap, so heavily edited members of a large family are not compared with the whole family.
+Sets that are equal are one class; classes meet in stars (every member with the most central member of a signature: what
+a family of copies was made from is linked with most of it), each candidate pair is verified on the texts.  Only sets that
+then still share a signature with another component are compared further.  To spare a family's outliers the comparison
+with the whole family, candidates must also share a shingle within the few rarest that each could lack, and its places in
+both bound the overlap; outliers meet the most central member of each component first, and then what is still apart.
 
 Defined cases: words are runs of bytes outside 0x20 and 0x09-0x0D after A-Z became a-z; fewer than five words are one
 shingle; null texts and texts without words have no shingle and are linked with nothing; repeated rows are linked;
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import PACKED, U, Keys, carried, durable, holders_of, in_blocks, in_order, judged, packed_table, prefix_bytes, table, written
 from quillstone.llm.graph import components
-from quillstone.llm.text import GRAMS, LOWERED, mix, utf8, word_hashes, words
+from quillstone.llm.text import LOWERCASE, grams, mix, utf8, word_hashes, words
 
 WIDTH, NUM, DEN = 5, 75, 100
 SMALL, RATIO = 32, 16 / 9
@@ -64,13 +65,13 @@ class Sets:
         buf, off = utf8(texts)
         start, end, row = words(buf, off)
         docs = len(off) - 1
-        prefix = GRAMS.prefix(word_hashes(buf, start, end, LOWERED))
+        word = word_hashes(LOWERCASE[buf], start, end)
         at = np.searchsorted(row, np.arange(docs + 1))
         n_words = np.diff(at)
         i = np.flatnonzero(row[: max(0, len(row) - WIDTH + 1)] == row[WIDTH - 1 :]) if len(row) >= WIDTH else np.zeros(0, np.int64)
-        few = np.flatnonzero((n_words > 0) & (n_words < WIDTH))
-        h = np.concatenate([GRAMS.slice(prefix, i, i + WIDTH), GRAMS.slice(prefix, at[few], at[few + 1])])
-        doc = np.concatenate([row[i], few])
+        few = [np.flatnonzero(n_words == n) for n in range(1, WIDTH)]
+        h = np.concatenate([grams(word, WIDTH)[i], *[grams(word, n)[at[d]] for n, d in enumerate(few, 1)]])
+        doc = np.concatenate([row[i], *few])
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
@@ -113,6 +114,13 @@ class Sets:
     def classes(self) -> Keys:
         return Keys(self.cls, self.lead)
 
+    def central(self, cost: np.ndarray) -> np.ndarray:
+        """For every document how many blocks hold its signatures on the average, in thousandths: most for what a family was made from."""
+        total, count = np.zeros(len(self.n)), np.zeros(len(self.n))
+        np.add.at(total, self.inst_doc[self.inst], cost)
+        np.add.at(count, self.inst_doc[self.inst], 1)
+        return (1000 * total / np.maximum(1, count)).astype(np.int64)
+
     def allocate(self, cost: np.ndarray, shared: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(signature, document) to index, of the documents wanted."""
         sigs, docs = [], []
@@ -149,7 +157,7 @@ class Sets:
 
 
 def profiles(docs: DataFrame, text: str) -> DataFrame:
-    """One row per document: row, rest, cls, n_shingles, and for the first holder of a class with something to meet also sigs and text."""
+    """One row per document: row, rest, cls, n_shingles, central, and for the first holder of a class with something to meet also sigs and text."""
     blocks, total = in_blocks(docs, text)
     lead = prefix_bytes(total)
 
@@ -175,13 +183,13 @@ def profiles(docs: DataFrame, text: str) -> DataFrame:
         sigs = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(sig))
         texts = block["text"].combine_chunks()
         return pa.table({
-            "row": block["row"], "rest": carried(block["rest"]), "cls": pa.array(s.cls.view(np.int64)), "n_shingles": pa.array(s.n, pa.int64()),
+            "row": block["row"], "rest": carried(block["rest"]), "cls": pa.array(s.cls.view(np.int64)), "n_shingles": pa.array(s.n, pa.int64()), "central": pa.array(s.central(cost)),
             "sigs": sigs, "text": pc.if_else(pa.array(has), texts, pa.scalar(None, texts.type)),
         })
 
     dealt = blocks.groupBy("blk")
     answers = judged(dealt.applyInArrow(first, PACKED), holders=True)
-    schema = f"row long, rest {blocks.schema['rest'].dataType.simpleString()}, cls long, n_shingles long, sigs array<long>, text string"
+    schema = f"row long, rest {blocks.schema['rest'].dataType.simpleString()}, cls long, n_shingles long, central long, sigs array<long>, text string"
     return written(dealt.cogroup(answers.groupBy("blk")).applyInArrow(last, schema), "profiles")
 
 
@@ -210,26 +218,23 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def stars(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of every member of a signature with the signature's first member in the order of this turn."""
-    by = F.struct((F.xxhash64("cls", F.lit(turn)) if turn else F.col("cls")).alias("by"), F.col("cls").alias("a"), F.col("root").alias("root_a"))
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs of every member of a signature with the signature's most central member."""
+    by = F.struct("central", F.col("cls").alias("a"))
     # a reread table has no partitioning, so that both sides are dealt anew and a signature of many members can be split
-    lead = written(members.groupBy("sig").agg(F.min(by).alias("lead")), "leads")
-    pairs = members.join(lead, "sig").select(F.col("lead.a").alias("a"), F.col("lead.root_a").alias("root_a"), F.col("cls").alias("b"), "root")
-    return pairs.where("a <> b and root <> root_a").select("a", "b").distinct()
+    lead = written(members.groupBy("sig").agg(F.max(by)["a"].alias("a")), "leads")
+    return members.join(lead, "sig").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
 
 
-def opened(members: DataFrame, links: DataFrame) -> DataFrame:
-    """sig, cls, root, main of the signatures whose members are in several components; main is the one of most members."""
-    roots = components(links).withColumnRenamed("node", "cls")
-    rooted = written(members.drop("root").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
-    parts = rooted.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
-    kinds = parts.groupBy("sig").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return written(rooted.join(written(kinds.drop("k"), "kinds"), "sig"), "opened")
+def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The classes that share a signature with a class of another component."""
+    rooted = written(members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")).select("sig", "cls", "root"), "rooted")
+    mixed = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return rooted.join(written(mixed.select("sig"), "mixed"), "sig").select("cls").distinct()
 
 
 def rare_first(docs: DataFrame) -> DataFrame:
-    """key, probe, cls, root, stray, n, pos: what each open set must share with a linked set, its rarest shingles first.
+    """key, probe, cls, central, n, pos: what each open set must share with a linked set, its rarest shingles first.
 
     A set of n and a smaller one of at least l, if linked, share at least 3/7 (n + l) shingles, so they meet in the first
     n + 1 - 3/7 (n + l) of the one and in the first n / 7 + 1 of the other, in any order common to both.  Sizes
@@ -241,7 +246,7 @@ def rare_first(docs: DataFrame) -> DataFrame:
 
     def first(block: pa.Table) -> pa.Table:
         s = Sets(block["text"], lead)
-        return packed_table(Keys(s.h, lead).rows(block["blk"][0].as_py(), 1, 4))
+        return packed_table(Keys(s.h, lead).rows(block["blk"][0].as_py(), 1, 8 - lead))
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         s = Sets(left["text"], lead)
@@ -262,38 +267,48 @@ def rare_first(docs: DataFrame) -> DataFrame:
         row = pa.array(s.doc[at])
         return pa.table({
             "key": np.concatenate([f[0] for f in found]), "probe": np.concatenate([f[1] for f in found]), "cls": left["cls"].take(row),
-            "root": left["root"].take(row), "stray": left["stray"].take(row), "n": n[at], "pos": pos[at],
+            "central": left["central"].take(row), "n": n[at], "pos": pos[at],
         })
 
     dealt = blocks.groupBy("blk")
     answers = judged(dealt.applyInArrow(first, PACKED), holders=True)
-    schema = "key long, probe boolean, cls long, root long, stray boolean, n long, pos long"
+    schema = "key long, probe boolean, cls long, central long, n long, pos long"
     return dealt.cogroup(answers.groupBy("blk")).applyInArrow(last, schema)
 
 
-def strays_with_all(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components, one of them a stray, that the places of a shared shingle do not rule out."""
-    side = lambda probe, c: rows.where(F.col("probe") == probe).select("key", *[F.col(x).alias(f"{x}_{c}") for x in ("cls", "root", "stray", "n", "pos")])
-    a, b = side(False, "a"), side(True, "b")
+def crossing(rare: DataFrame, roots: DataFrame, leads_only: bool) -> DataFrame:
+    """Pairs (a, b) of different components that the places of a shared shingle do not rule out.
+
+    Of the components that share a shingle, the one of most members is not paired with itself; with `leads_only`, members
+    of the others meet only the most central member of each component.
+    """
+    rows = rare.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    kinds = parts.groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    rows = written(rows.join(kinds.drop("k"), "key"), "crossing")
+    strays, others = rows.where("root <> main"), rows.where("root = main")
+    if leads_only:
+        others = rows.groupBy("key", "probe", "root").agg(F.max(F.struct("central", "cls", "n", "pos")).alias("r")).select("key", "probe", "root", "r.cls", "r.n", "r.pos")
+    side = lambda df, probe, c: df.where(F.col("probe") == probe).select("key", *[F.col(x).alias(f"{x}_{c}") for x in ("cls", "root", "n", "pos")])
     # of two linked sets, the first shared shingle has the rest of the overlap behind it in both
     may = f"root_a <> root_b and (n_a < n_b or (n_a = n_b and cls_a < cls_b)) and {DEN + NUM} * least(n_a - pos_a, n_b - pos_b) >= {NUM} * (n_a + n_b)"
-    both = [x.join(y, "key").where(may).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")) for x, y in ((a.where("stray_a"), b), (a.where("not stray_a"), b.where("stray_b")))]
-    return both[0].union(both[1]).distinct()
+    meet = lambda x, y: side(x, False, "a").join(side(y, True, "b"), "key").where(may).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+    return meet(strays, others if leads_only else rows).union(meet(others, strays)).distinct()
 
 
-def linked_classes(profile: DataFrame, turns: int = 2) -> DataFrame:
-    """(node, root) of the classes that have a link, and nothing of others."""
-    texts = profile.where("text is not null").select("cls", "n_shingles", "text")
-    members = profile.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "cls").withColumn("root", F.col("cls"))
-    links = durable(verified(stars(members, 0), texts))
-    for turn in range(1, turns + 1):
-        members = opened(members, links)
-        open_ = members.groupBy("cls").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("stray"))
-        texts = written(texts.select("cls", "n_shingles", "text").join(open_, "cls"), "open")
-        members = members.drop("main")
-        pairs = stars(members, turn) if turn < turns else strays_with_all(written(rare_first(texts), "rare"))
-        links = durable(links.union(verified(pairs, texts)))
-    return components(links)
+def linked_classes(profile: DataFrame) -> DataFrame:
+    """(cls, root) of the classes that have a link, and nothing of others."""
+    texts = profile.where("text is not null").select("cls", "n_shingles", "central", "text")
+    members = profile.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "cls", "central")
+    links = written(verified(stars(members), texts), "links")
+    rooted = lambda: components(links).withColumnRenamed("node", "cls")
+    roots = rooted()
+    texts = written(texts.join(still_open(members, roots), "cls"), "open")
+    rare = written(rare_first(texts), "rare")
+    for leads_only in (True, False):
+        links = written(links.union(verified(crossing(rare, roots, leads_only), texts)), "links")
+        roots = rooted()
+    return roots
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", root: bool = False) -> DataFrame:
@@ -303,7 +318,7 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", root: bo
     member = profile.select("row", F.col(f"rest.`{doc_id}`").alias("doc_id"), "cls", "n_shingles")
     lone = member.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     classes = member.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    classes = durable(classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    classes = durable(classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     names = durable(classes.groupBy("root").agg(F.min("first").alias("component_id")))
     named = durable(classes.join(names, "root").select("cls", "component_id", *["root"] * root))
     return member.where("n_shingles > 0").join(named, "cls").unionByName(lone, allowMissingColumns=root)
