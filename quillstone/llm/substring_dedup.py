@@ -1,13 +1,13 @@
 """Substring deduplication over a log-structured index of word-window fingerprints.
 
-A window is `width` consecutive words of one document, its fingerprint the least hash of its 8-word grams (equal
-windows have equal fingerprints, and neighbours mostly share one, so about 7 windows in 100 add a fingerprint).  The
-index holds immutable Parquet runs of (fingerprint, block, windows), each sorted by fingerprint.  A new batch is sorted,
-merge-joined with the runs of the batches before it, and appended as a run; when `fanout` runs have gathered, they are
-merged into one.  The join yields the fingerprints that have become shared.  Windows with a shared fingerprint are then
-verified by a hash of all their words over all blocks, so that sharing a gram alone removes nothing.  An index that the
-caller gives also keeps the texts of its loads, a fraction of what their windows' hashes would take: of earlier loads the
-blocks that hold a fingerprint of the new one are hashed again, so a new window equal to an old one is found.
+A window is `width` consecutive words of one document, its fingerprint the least hash of its 8-word grams.  Neighbours
+mostly share the gram, and such a run of windows adds one fingerprint (about 7 windows in 100 do).  The index holds
+immutable Parquet runs of (fingerprint, block, n), each bucketed and sorted by fingerprint, so a new batch is dealt and
+sorted once and merge-joined with the runs before it without moving them; when `fanout` runs have gathered, they are
+merged into one.  The join yields the fingerprints that have become shared.  The words around these are then compared
+themselves, so sharing a gram or a hash removes nothing.  An index that the caller gives also keeps the texts of its
+loads: of earlier loads the blocks that hold a fingerprint of the new one send their words again, so a new window equal
+to an old one is found.
 
 Defined cases: words are runs of bytes outside 0x20 and 0x09-0x0D, unchanged; null and empty texts have none; texts
 of fewer words than a window lose none; a text that occurs twice loses all its words in both places.  What an earlier
@@ -27,39 +27,31 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import PACKED, Keys, carried, durable, in_blocks, in_order, judged, packed_table, prefix_bytes, scratch, table
-from quillstone.llm.text import GRAMS, slices, utf8, word_hashes, words
+from quillstone.llm.anchors import SHIPPED, Runs, settled, tied_words
+from quillstone.llm.common import carried, durable, in_blocks, in_order, scratch, table
+from quillstone.llm.text import grams, slices, utf8, word_hashes, words
 
 GRAM = 8
 RUN = "fp long, blk long, n long"
 TEXTS = "blk long, row long, text string"
-STATE = "loads long, width long, bytes long, runs array<string>, texts array<string>"
+STATE = "loads long, width long, bytes long, parts int, runs array<string>, texts array<string>"
+#: Bytes of words around its fingerprints that a bucket is meant to hold.
+BUCKET_BYTES = 1_000_000
 #: A block's number within its load has so many bits; the load's number stands above them.
 BLOCK_BITS = 40
 
 
 class Windows:
-    """Word windows of consecutive rows: their starts (as word numbers), fingerprints and full hashes."""
+    """Word windows of consecutive rows, in runs that hang on the same gram."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, width: int):
         self.buf, self.off, self.width = buf, off, width
         self.start, self.end, self.row = words(buf, off)
-        self.hash = GRAMS.prefix(word_hashes(buf, self.start, self.end))
-        n = len(self.row) - width + 1
-        self.at = np.flatnonzero(self.row[: max(n, 0)] == self.row[width - 1 :]) if n > 0 else np.zeros(0, np.int64)
-
-    def fingerprints(self) -> np.ndarray:
-        """The least gram hash of each window, by repeated doubling of the range it is taken over."""
-        if not len(self.at):
-            return np.zeros(0, np.int64)
-        least, span, most = GRAMS.every(self.hash, GRAM), 1, self.width - GRAM + 1
-        while span < most:
-            step = min(span, most - span)
-            least, span = np.minimum(least[: len(least) - step], least[step:]), span + step
-        return least[self.at].view(np.int64)
-
-    def full(self, at: np.ndarray) -> np.ndarray:
-        return GRAMS.slice(self.hash, at, at + self.width)
+        self.runs = Runs(grams(word_hashes(buf, self.start, self.end), GRAM), self.row, width, GRAM)
+
+    def string(self, first: int, end: int) -> bytes:
+        """The words of a range, joined by one space."""
+        return b" ".join(self.buf[self.start[first] : self.end[end - 1]].tobytes().split())
 
     def kept(self, gone: np.ndarray) -> list[bytes]:
         """Per row the words that stay, joined by one space."""
@@ -75,7 +67,7 @@ class Windows:
 
 
 def fingerprints(blocks: DataFrame, width: int) -> DataFrame:
-    """(fp, blk, n) of every block that an Arrow batch touches, without moving the texts."""
+    """(fp, blk, n runs) of every block that an Arrow batch touches, without moving the texts."""
 
     def scan(batches):
         for batch in batches:
@@ -83,8 +75,8 @@ def fingerprints(blocks: DataFrame, width: int) -> DataFrame:
             blk = batch.column("blk").to_numpy()
             for lo, hi in slices(off):
                 w = Windows(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], width)
-                if len(w.at):
-                    pairs = np.stack([w.fingerprints(), blk[lo:hi][w.row[w.at]]], axis=1)
+                if len(w.runs.fp):
+                    pairs = np.stack([w.runs.fp.view(np.int64), blk[lo:hi][w.row[w.runs.first]]], axis=1)
                     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
                     pairs = pairs[order]
                     new = np.flatnonzero(np.append(True, (np.diff(pairs, axis=0) != 0).any(axis=1)))
@@ -100,8 +92,10 @@ class FingerprintIndex:
     A folder that is given outlives the session: every load ends with a row of its manifest, whose last row is read again.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 4):
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 4, parts: int | None = None):
         self.spark, self.fanout = spark, fanout
+        #: Buckets of each run; a folder that is read again keeps its own.
+        self.parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = folder or f"{scratch(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.runs: list[str] = []
         self.found: list[str] = []
@@ -118,7 +112,7 @@ class FingerprintIndex:
                 raise
             return
         if last:
-            self.loads, self.width, self.bytes = last["loads"], last["width"], last["bytes"]
+            self.loads, self.width, self.bytes, self.parts = last["loads"], last["width"], last["bytes"], last["parts"]
             self.runs, self.texts = ([f"{self.folder}/{x}" for x in last[c]] for c in ("runs", "texts"))
 
     @contextmanager
@@ -130,7 +124,7 @@ class FingerprintIndex:
         try:
             yield self.loads << BLOCK_BITS
             names = [[x.rpartition("/")[2] for x in paths] for paths in (self.runs, self.texts)]
-            state = (self.loads + 1, width, self.bytes + size, *names)
+            state = (self.loads + 1, width, self.bytes + size, self.parts, *names)
             self.spark.createDataFrame([state], STATE).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
         except BaseException:
             self.runs, self.texts = runs, texts
@@ -140,8 +134,17 @@ class FingerprintIndex:
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def history(self) -> DataFrame:
-        return self._read(self.runs, RUN)
+    def _run(self, path: str) -> DataFrame:
+        """A run as a table bucketed by fingerprint, so that joins and groups on it need no shuffle."""
+        name = path.rpartition("/")[2].replace("-", "_")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(f'`{x[0]}` {x[1]}' for x in map(str.split, RUN.split(', ')))}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.parts} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _new_run(self, rows: DataFrame) -> str:
+        path = f"{self.folder}/run-{uuid.uuid4().hex}"
+        name = path.rpartition("/")[2].replace("-", "_")
+        rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(self.parts, "fp").sortBy("fp").saveAsTable(name)
+        return path
 
     def keep(self, blocks: DataFrame) -> None:
         """Keeps a load's texts, for later loads to verify their windows against."""
@@ -160,27 +163,36 @@ class FingerprintIndex:
         df.write.option("compression", "zstd").parquet(path)
         return path
 
+    def fresh(self, run: str) -> DataFrame:
+        """Fingerprints of a run that it has twice or that an earlier run has."""
+        found = self._run(run).groupBy("fp").agg(F.sum("n").alias("n"))
+        for i, earlier in enumerate(self.runs):
+            seen = self._run(earlier).groupBy("fp").agg(F.first(F.lit(True)).alias(f"seen{i}"))
+            found = found.join(seen.hint("merge"), "fp", "left")
+        return found.where(" or ".join(["n > 1", *[f"seen{i}" for i in range(len(self.runs))]])).select("fp")
+
     def add(self, batch: DataFrame) -> None:
         """Appends the batch as a sorted run and records what it shares with the runs before, or within itself."""
-        run = self._write(batch.repartition("fp").sortWithinPartitions("fp"), "run")
-        fresh = self._read([run], RUN).groupBy("fp").agg(F.sum("n").alias("n"))
-        if self.runs:
-            seen = self.history().select("fp").distinct().withColumn("seen", F.lit(True))
-            fresh = fresh.join(seen.hint("merge"), "fp", "left").where((F.col("n") > 1) | F.col("seen"))
-        else:
-            fresh = fresh.where("n > 1")
-        self.found.append(self._write(fresh.select("fp"), "shared"))
+        run = self._new_run(batch.repartition(self.parts, "fp"))
+        self.found.append(self._write(self.fresh(run), "shared"))
         self.runs.append(run)
         if len(self.runs) >= self.fanout:
             self.compact()
 
     def compact(self) -> None:
         """Merges all runs into one; the old runs stay untouched for readers that still hold them."""
-        self.runs = [self._write(self.history().repartition("fp").sortWithinPartitions("fp"), "run")]
+        merged = self._run(self.runs[0])
+        for run in self.runs[1:]:
+            merged = merged.union(self._run(run))
+        self.runs = [self._new_run(merged.repartition(self.parts, "fp"))]
 
     def holders(self) -> DataFrame:
         """(blk, fps): the shared fingerprints of each block, at most as many as the block has windows."""
-        return self.history().join(self.shared().hint("merge"), "fp").groupBy("blk").agg(F.collect_list("fp").alias("fps"))
+        shared = durable(self.shared())
+        held = [self._run(run).join(shared.hint("merge"), "fp").select("blk", "fp") for run in self.runs]
+        for more in held[1:]:
+            held[0] = held[0].union(more)
+        return held[0].groupBy("blk").agg(F.collect_set("fp").alias("fps"))
 
 
 def repeated_windows(docs: DataFrame, width: int = 35, batches: int = 5, text: str = "text", index: FingerprintIndex | None = None) -> DataFrame:
@@ -192,7 +204,7 @@ def repeated_windows(docs: DataFrame, width: int = 35, batches: int = 5, text: s
     """
     blocks, total = in_blocks(docs, text)
     given, index = index is not None, index or FingerprintIndex(docs.sparkSession)
-    lead = prefix_bytes(total + index.bytes)
+    buckets = (total + index.bytes) // BUCKET_BYTES + 1
     old = index.earlier() if index.texts else None
     with index.load(width, total) as base:
         blocks = blocks.withColumn("blk", F.col("blk") + F.lit(base))
@@ -201,24 +213,20 @@ def repeated_windows(docs: DataFrame, width: int = 35, batches: int = 5, text: s
         if given:
             index.keep(blocks)
 
-    def candidates(block: pa.Table, answer: pa.Table) -> tuple[pa.Table, Windows, np.ndarray]:
-        block = in_order(block)
+    def ship(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = in_order(left)
         w = Windows(*utf8(block["text"]), width)
-        known = pc.list_flatten(answer.filter(pc.is_valid(answer["fps"]))["fps"]).to_numpy()
-        return block, w, w.at[np.isin(w.fingerprints(), known)]
-
-    def emit(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return packed_table([])
-        block, w, at = candidates(left, right)
-        return packed_table(Keys(w.full(at), lead).rows(block["blk"][0].as_py(), 1, 8 - lead))
+        known = pc.list_flatten(right["fps"]).to_numpy()
+        blk = block["blk"][0].as_py() if len(block) else 0
+        return w.runs.shipped(np.flatnonzero(np.isin(w.runs.fp.view(np.int64), known)), w.string, blk, buckets)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
-        block, w, at = candidates(left, right)
-        shared, _ = Keys(w.full(at), lead).flags(right.filter(pc.is_valid(right["shared"])))
+        block = in_order(left)
+        w = Windows(*utf8(block["text"]), width)
+        starts = w.runs.starts(right, w.string)
         step = np.zeros(len(w.row) + 1, np.int64)
-        np.add.at(step, at[shared], 1)
-        np.add.at(step, at[shared] + width, -1)
+        np.add.at(step, starts, 1)
+        np.add.at(step, starts + width, -1)
         gone = np.cumsum(step)[:-1] > 0
         at_row = np.searchsorted(w.row, np.arange(len(w.off)))
         n, removed = np.diff(at_row), np.diff(np.concatenate([[0], np.cumsum(gone)])[at_row])
@@ -233,11 +241,11 @@ def repeated_windows(docs: DataFrame, width: int = 35, batches: int = 5, text: s
     held = index.holders()
     if old is not None:
         held = durable(held)
-    keys = dealt.cogroup(held.groupBy("blk")).applyInArrow(emit, PACKED)
+    shipped = dealt.cogroup(held.groupBy("blk")).applyInArrow(ship, SHIPPED)
     if old is not None:
         met = old.join(held.select("blk"), "blk", "left_semi").groupBy("blk")
-        keys = keys.union(met.cogroup(held.groupBy("blk")).applyInArrow(emit, PACKED))
-    answers = held.unionByName(judged(keys), allowMissingColumns=True).where(F.col("blk") >= base)
+        shipped = shipped.union(met.cogroup(held.groupBy("blk")).applyInArrow(ship, SHIPPED))
+    answers = settled(shipped, width, tied_words, lambda s: s.count(b" ") + 1).where(F.col("blk") >= base)
     schema = f"rest {blocks.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, kept string, spans array<struct<start:bigint,end:bigint>>"
     return dealt.cogroup(answers.groupBy("blk")).applyInArrow(last, schema)
 

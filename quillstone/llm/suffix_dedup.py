@@ -1,15 +1,15 @@
 """Suffix-array deduplication of long repeated byte strings.
 
-Method: blockwise suffix sorting with a difference cover.  The positions whose offset in their document lies in a
-difference cover modulo 273 (17 residues; any two positions have a common distance below 273 at which both are in
-the cover) are ranked first, by the 128 bytes that must agree there if two 400-byte strings agree.  Suffixes that
-start within a period before a shared cover rank can be repeated, all others cannot.  Long ties are then resolved by
-cover positions: if the string of 400 + 273 bytes at a cover position is repeated, so is every 400-byte string that
-starts in that period, and one holder stands for all in the last step.  The suffixes left are cut into buckets by the
-leading bytes of their key and one bucket at a time is sorted, so memory is bounded by a bucket.
+Method: blockwise suffix sorting, one bucket of suffixes at a time, with long ties settled by the ranks of a sample.
+Only suffixes whose first `min_bytes` bytes may occur elsewhere are sorted: those whose anchor (the least gram hash in
+these bytes) occurs at a second place.  A bucket holds all suffixes with one anchor; each is cut where its last such
+window ends, and equal cuts come once.  In a bucket, suffixes are sorted by their characters up to the next sample
+place, then by the rank of the sample suffix, which was computed beforehand; a suffix with a neighbour of equal
+distance to the anchor and at least `min_bytes` common bytes is repeated.
 
-Where the textbook construction compares characters, suffixes here are ordered by 64-bit fingerprints of their first
-400 bytes: only equality matters for removal, and fingerprints make buckets even whatever the text.
+A difference cover serves to give any two suffixes sample places at equal distances.  Here the anchor does that: places
+are counted from it, so the cover of one residue is enough, and a bucket needs only the text around its anchor instead
+of the whole corpus.  Hashes choose what meets; only characters decide what is equal.
 
 Defined cases: null and empty texts have no bytes and lose none; texts below the length lose none; a text that
 occurs twice is removed whole in both places; repeated rows count as different documents.
@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.anchors import SHIPPED, Runs, settled, tied_bytes
 from quillstone.llm.common import PACKED, Keys, carried, in_blocks, in_order, judged, packed_table, prefix_bytes, table
-from quillstone.llm.text import BYTES, ROLL, utf8
+from quillstone.llm.text import byte_grams, utf8
 
-PERIOD = 273
-#: A perfect difference set modulo 273: closed under doubling, from 1, 91 and 117.
-COVER = np.isin(np.arange(PERIOD), [g * pow(2, i, PERIOD) % PERIOD for g in (1, 91, 117) for i in range(12)])
+#: Bytes of text around its anchors that a bucket of suffixes is meant to hold.
+BUCKET_BYTES = 1_000_000
 
 
-def covered(starts: np.ndarray, length: int | np.ndarray, n: int) -> np.ndarray:
+def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n places lie in [start, start + length) of any start."""
     step = np.zeros(n + 1, np.int64)
     np.add.at(step, starts, 1)
@@ -39,52 +39,21 @@ def covered(starts: np.ndarray, length: int | np.ndarray, n: int) -> np.ndarray:
 
 
 class Suffixes:
-    """One block of documents and the keys of its suffixes, stage by stage."""
+    """One block of documents, and the runs of its suffixes that have a window of `length` bytes."""
 
-    def __init__(self, block: pa.Table, length: int, lead: int):
-        self.block, self.length, self.lead = in_order(block), length, lead
+    def __init__(self, block: pa.Table, length: int):
+        self.block, self.length = in_order(block), length
         self.blk = self.block["blk"][0].as_py() if len(block) else 0
         self.buf, self.off = utf8(self.block["text"])
-        self.n = len(self.buf)
-        self.hash = ROLL.prefix(BYTES[self.buf])
-        sizes = np.diff(self.off)
-        place = np.arange(self.n) - np.repeat(self.off[:-1], sizes)
-        self.left = np.repeat(sizes, sizes) - place
-        sample = np.flatnonzero(COVER[place % PERIOD] & (self.left >= length - PERIOD + 1))
-        self.sample, self.back = sample, place[sample]
-
-    def key(self, at: np.ndarray, length: int) -> np.ndarray:
-        return ROLL.slice(self.hash, at, at + length)
-
-    def names(self) -> Keys:
-        return Keys(self.key(self.sample, self.length - PERIOD + 1), self.lead)
-
-    def long_ties(self, answers: pa.Table) -> Keys:
-        """Cover positions with a shared rank, by the string that holds a whole period of suffixes."""
-        shared, _ = self.names().flags(only(answers, 1))
-        at, back = self.sample[shared], self.back[shared]
-        from_ = at - np.minimum(back, PERIOD - 1)
-        self.maybe = covered(from_, at - from_ + 1, self.n) & (self.left >= self.length)
-        self.long = at[self.left[at] >= self.length + PERIOD]
-        return Keys(self.key(self.long, self.length + PERIOD), self.lead)
-
-    def ends(self, answers: pa.Table) -> Keys:
-        """The suffixes not settled by a long tie, and those of one holder of each long tie."""
-        shared, leads = self.long_ties(answers).flags(only(answers, 2))
-        self.settled = covered(self.long[shared], PERIOD + 1, self.n)
-        stands = covered(self.long[shared & leads], PERIOD + 1, self.n)
-        self.start = np.flatnonzero(self.maybe & (~self.settled | stands))
-        return Keys(self.key(self.start, self.length), self.lead)
-
-    def removed(self, answers: pa.Table) -> np.ndarray:
-        shared, _ = self.ends(answers).flags(only(answers, 3))
-        starts = self.settled
-        starts[self.start[shared]] = True
-        return covered(np.flatnonzero(starts), self.length, self.n)
-
-
-def only(answers: pa.Table, stage: int) -> pa.Table:
-    return answers.filter(pa.compute.equal(answers["stage"], stage))
+        row = np.repeat(np.arange(len(self.off) - 1, dtype=np.int32), np.diff(self.off))
+        gram = min(64, length // 4)
+        self.runs = Runs(byte_grams(self.buf, gram), row, length, gram)
+
+    def string(self, start: int, end: int) -> bytes:
+        return self.buf[start:end].tobytes()
+
+    def removed(self, answer: pa.Table) -> np.ndarray:
+        return covered(self.runs.starts(answer, self.string), self.length, len(self.buf))
 
 
 def whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -99,28 +68,23 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400, text: str = "text", ch
     A span is a maximal run of bytes covered by `min_bytes`-byte strings that start anywhere else as well; with
     `characters`, widened to whole characters.
     """
-    if min_bytes < PERIOD + 32:
-        raise ValueError(f"min_bytes must be at least {PERIOD + 32}")
+    if min_bytes < 64:
+        raise ValueError("min_bytes must be at least 64")
     blocks, total = in_blocks(docs, text)
-    lead = prefix_bytes(total)
-
-    def first(key: tuple, block: pa.Table) -> pa.Table:
-        s = Suffixes(block, min_bytes, lead)
-        return packed_table(s.names().rows(s.blk, 1, 4))
+    lead, buckets = prefix_bytes(total), total // BUCKET_BYTES + 1
 
-    def later(stage: int):
-        def emit(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not len(left):
-                return packed_table([])
-            s = Suffixes(left, min_bytes, lead)
-            keys = s.long_ties(right) if stage == 2 else s.ends(right)
-            return packed_table(keys.rows(s.blk, stage, 8 - lead))
+    def first(block: pa.Table) -> pa.Table:
+        s = Suffixes(block, min_bytes)
+        return packed_table(Keys(s.runs.fp, lead).rows(s.blk, 1, 8 - lead))
 
-        return emit
+    def ship(left: pa.Table, right: pa.Table) -> pa.Table:
+        s = Suffixes(left, min_bytes)
+        shared, _ = Keys(s.runs.fp, lead).flags(right)
+        return s.runs.shipped(np.flatnonzero(shared), s.string, s.blk, buckets)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
-        s = Suffixes(left, min_bytes, lead)
-        gone = s.removed(right) if s.n else np.zeros(0, bool)
+        s = Suffixes(left, min_bytes)
+        gone = s.removed(right)
         gone = whole_characters(s.buf, gone) if characters else gone
         kept, spans = [], []
         for a, b in zip(s.off[:-1], s.off[1:], strict=True):
@@ -132,11 +96,10 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400, text: str = "text", ch
         return pa.table({"rest": carried(s.block["rest"]), "n_bytes": pa.array(np.diff(s.off), pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind)})
 
     dealt = blocks.groupBy("blk")
-    flags = judged(dealt.applyInArrow(first, PACKED))
-    for stage in (2, 3):
-        flags = flags.union(judged(dealt.cogroup(flags.groupBy("blk")).applyInArrow(later(stage), PACKED)))
+    shared = judged(dealt.applyInArrow(first, PACKED))
+    answers = settled(dealt.cogroup(shared.groupBy("blk")).applyInArrow(ship, SHIPPED), min_bytes, tied_bytes, len)
     schema = f"rest {blocks.schema['rest'].dataType.simpleString()}, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>"
-    return dealt.cogroup(flags.groupBy("blk")).applyInArrow(last, schema)
+    return dealt.cogroup(answers.groupBy("blk")).applyInArrow(last, schema)
 
 
 def drop_repeats(docs: DataFrame, min_bytes: int = 400, text: str = "text") -> DataFrame:

@@ -103,42 +103,3 @@ def grams(x: np.ndarray, width: int, n: int = 1) -> np.ndarray:
 def byte_grams(buf: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of `width` bytes (at least eight), by start."""
     return grams(lanes(buf), width, 8)[: max(0, len(buf) - width + 1)]
-
-
-class Rolling:
-    """Polynomial slice hashes with one odd base; powers are kept and grown as needed."""
-
-    def __init__(self, seed: int):
-        self.base = int(mix(np.array([seed * 2 + 1], U))[0]) | 1
-        self.inverse = pow(self.base, -1, 2**64)
-        self.up = self.down = np.ones(1, U)
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            fill = lambda b: np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, b, U)]))
-            self.up, self.down = fill(self.base), fill(self.inverse)
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        self.grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, U)
-        np.cumsum(values * self.up[: len(values)], out=out[1:])
-        return out
-
-    def slice(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * self.down[start])
-
-    def every(self, prefix: np.ndarray, length: int) -> np.ndarray:
-        """Hashes of all slices of one length, by start."""
-        n = max(0, len(prefix) - length)
-        return mix((prefix[length:] - prefix[:n]) * self.down[:n])
-
-
-def byte_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed))
-
-
-BYTES = byte_values(1)
-#: The same values after A-Z become a-z.
-LOWERED = BYTES[np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))]
-ROLL, WORDS, GRAMS = Rolling(11), Rolling(23), Rolling(37)
