@@ -33,7 +33,7 @@ class Tokens:
     """The ids of a byte-level BPE file.
 
     The file's merges run in tiktoken, about four times as fast as in tokenizers; both are compared on probe strings
-    in every worker, and texts that tiktoken refuses go to tokenizers.  Special tokens in a text are ordinary text.
+    in every worker, and texts that hold an added token of the file, or that tiktoken refuses, go to tokenizers.
     """
 
     def __init__(self, path: str):
@@ -41,20 +41,19 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             stated = json.load(f)
-        special = {x["content"] for x in stated.get("added_tokens", [])}
+        self.added = {x["content"] for x in stated.get("added_tokens", [])}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        ranks = {bytes(letters[c] for c in t): i for t, i in stated["model"]["vocab"].items() if t not in special}
+        ranks = {bytes(letters[c] for c in t): i for t, i in stated["model"]["vocab"].items() if t not in self.added}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        if any(self.fast.encode_ordinary(x) != self.slow.encode(x, add_special_tokens=False).ids for x in PROBES):
+        if any(self.ids(x) != self.slow.encode(x, add_special_tokens=False).ids for x in PROBES):
             self.fast = None
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None:
+        if self.fast is not None and not any(x in text for x in self.added):
             try:
                 return self.fast.encode_ordinary(text)
             except BaseException as e:  # the Rust side panics on some extreme texts
