@@ -1,13 +1,14 @@
 """Exact top-k inner products by No-Random-Access aggregation over sorted component lists.
 
-Method: every block of vectors has one list per component, sorted by value.  A query reads each list from its good end
-(largest values for a positive weight, smallest for a negative one) to growing depths.  At each depth a candidate has an
-upper bound (read contributions, and the list's frontier for those not read yet) and a lower bound (read contributions,
-and the list's worst value for the rest).  Reading stops for a query once at most a few candidates' upper bounds
-reach the k-th best lower bound; the scores of those that can still qualify are then resolved.  The bounds of all candidates of
-a block come as matrix products of clamped lists, so a round is a handful of BLAS calls.
+Method: every block of vectors has one list per component, sorted by value.  A query reads each list in sequence from its
+good end (largest values for a positive weight, smallest for a negative one), to the depths STOPS.  What has been read adds to
+a candidate's bounds: below, every unread component counts as its list's worst value, above, as the list's frontier;
+a candidate not seen at all is bounded by the frontiers alone.  Reading stops for a query once at most a few candidates'
+upper bounds reach the k-th best lower bound or the k-th best score of earlier blocks, and only these are resolved.  Queries of
+a block read together, so an entry that is read serves all of them in one vector operation, and unread ones are not touched.
 
-Blocks of queries meet blocks of vectors; each pair keeps k rows a query, and a query's rows merge by rank.
+Large blocks of queries meet large blocks of vectors (`query_block`, `block`), so that neither side is repeated often; each
+such pair keeps k rows a query, and a query's rows merge by rank.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of different
 length never meet; equal scores go to the smaller id; a query never meets rows with its own id; fewer than k
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import table
 
-DEPTHS = (0.05, 0.2, 0.5, 1.0)
+#: Shares of the lists after which the bounds are compared; vectors that have lists of their own; queries that read together.
+STOPS, LISTED, TOGETHER = (0.02, 0.1, 0.3, 0.6, 0.8, 0.9, 0.95, 1.0), 4096, 128
 
 
 def integers(vectors: DataFrame, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -41,60 +43,81 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 class SortedLists:
     """The component lists of one block of vectors; sums are exact in the number type chosen."""
 
-    def __init__(self, v: np.ndarray, most_query: int):
-        bound = v.shape[1] * max(1, int(np.abs(v).max(initial=0))) * max(1, most_query)
-        self.kind = np.float32 if bound < 2**23 else np.float64 if bound < 2**52 else object
-        self.v = v.astype(self.kind)
-        self.sorted = np.sort(self.v, axis=0) if self.kind is not object else np.sort(v, axis=0).astype(object)
-
-    def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds (queries x vectors) after `depth` entries of each list have been read."""
-        n = len(self.v)
-        high, low = self.sorted[n - depth], self.sorted[depth - 1]
-        upper = up @ np.maximum(self.v, high).T + down @ np.minimum(self.v, low).T
-        worst_up, worst_down = np.where(self.v >= high, self.v, self.sorted[0]), np.where(self.v <= low, self.v, self.sorted[-1])
-        return up @ worst_up.T + down @ worst_down.T, upper
-
-
-def best(queries: np.ndarray, query_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query row, vector row, score) of each query's k best in one block, ties to the smaller id."""
-    lists = SortedLists(v, int(np.abs(queries).max(initial=0)))
-    q = queries.astype(lists.kind)
-    n, out, open_ = len(v), [], np.arange(len(q))
-    for depth in sorted({max(1, int(np.ceil(n * d))) for d in DEPTHS}):
-        lower, upper = lists.bounds(np.maximum(q[open_], 0), np.minimum(q[open_], 0), depth)
-        own = query_ids[open_][:, None] == ids[None, :]
-        floor = lists.kind(-np.inf) if lists.kind is not object else -(2**200)
-        lower[own], upper[own] = floor, floor
-        held = min(k, n)
-        kth = np.sort(lower, axis=1)[:, n - held] if lists.kind is object else np.partition(lower, n - held, axis=1)[:, n - held]
-        able = (upper >= kth[:, None]) & ~own
-        done = (able.sum(axis=1) <= 4 * k) | (depth == n)
-        for i in np.flatnonzero(done):
-            rows = np.flatnonzero(able[i])
-            score = (v[rows].astype(object) @ queries[open_[i]].astype(object)) if lists.kind is object else v[rows] @ queries[open_[i]]
-            for j in np.lexsort((ids[rows], -score))[:k] if lists.kind is not object else sorted(range(len(rows)), key=lambda j: (-score[j], ids[rows[j]]))[:k]:
-                out.append((int(open_[i]), int(rows[j]), int(score[j])))
-        open_ = open_[~done]
-        if not len(open_):
-            break
-    return out
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 8192, query_block: int = 1024) -> DataFrame:
+    def __init__(self, v: np.ndarray, ids: np.ndarray, most_query: int):
+        bound = 4 * v.shape[1] * max(1, int(np.abs(v).max(initial=0))) * max(1, most_query)
+        self.kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
+        self.whole, self.v, self.ids = v, v.astype(self.kind), ids
+        self.order = np.argsort(v, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.v, self.order, axis=0)
+        #: Entries read so far, and entries that there were to read.
+        self.read, self.there = 0, 0
+
+    def best(self, queries: np.ndarray, query_ids: np.ndarray, k: int, known: list) -> None:
+        """Merges into `known`, of every query, its k best (-score, id)."""
+        n, least = len(self.v), -float("inf") if self.kind is not object else -(2**200)
+        up, down = np.maximum(queries, 0).astype(self.kind), np.minimum(queries, 0).astype(self.kind)
+        low, high = self.sorted[0], self.sorted[-1]
+        open_, lower, done = np.arange(len(queries)), np.tile(up @ low + down @ high, (n, 1)), 0
+        for depth in sorted({int(np.ceil(x * n)) for x in STOPS}):
+            up_, down_ = up[open_], down[open_]
+            front, back = self.sorted[n - depth], self.sorted[depth - 1]
+            upper = np.tile(up_ @ front + down_ @ back, (n, 1))
+            for j in range(queries.shape[1]):
+                for w, read, fresh, frontier, worst in ((up_[:, j], slice(n - depth, n), slice(n - depth, n - done), front[j], low[j]), (down_[:, j], slice(0, depth), slice(done, depth), back[j], high[j])):
+                    some = np.flatnonzero(w)
+                    if not len(some):
+                        continue
+                    at, value, new = self.order[read, j], self.sorted[read, j], self.order[fresh, j]
+                    upper[at] += (value - frontier)[:, None] * w
+                    lower[new] += (self.sorted[fresh, j] - worst)[:, None] * w
+                    self.read += len(new) * len(some)
+            own = self.ids[:, None] == query_ids[open_][None, :]
+            lower[own], upper[own] = least, least
+            held = min(k, n)
+            reach = np.partition(lower, n - held, axis=0)[n - held] if self.kind is not object else np.sort(lower, axis=0)[n - held]
+            if n < k:
+                reach = np.full(len(open_), least)
+            reach = np.array([max(r, -known[i][-1][0]) if len(known[i]) == k else r for i, r in zip(open_, reach, strict=True)])
+            able = (upper >= reach) & ~own
+            stop = (able.sum(axis=0) <= 4 * k) | (depth == n)
+            for c in np.flatnonzero(stop):
+                i, rows = open_[c], np.flatnonzero(able[:, c])
+                score = self.v[rows] @ queries[i].astype(self.kind)
+                known[i] = sorted([*known[i], *((-int(x), int(y)) for x, y in zip(score, self.ids[rows], strict=True))])[:k]
+            self.there += int(stop.sum()) * n * queries.shape[1]
+            open_, lower, done = open_[~stop], lower[:, ~stop], depth
+            if not len(open_):
+                break
+
+
+def best(queries: np.ndarray, query_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[list], float]:
+    """The k best (-score, id) of each query, ties to the smaller id, and the share of list entries read."""
+    known: list[list] = [[] for _ in queries]
+    most, read, there = int(np.abs(queries).max(initial=0)), 0, 0
+    for a in range(0, len(v), LISTED):
+        lists = SortedLists(v[a : a + LISTED], ids[a : a + LISTED], most)
+        for b in range(0, len(queries), TOGETHER):
+            part = known[b : b + TOGETHER]
+            lists.best(queries[b : b + TOGETHER], query_ids[b : b + TOGETHER], k, part)
+            known[b : b + TOGETHER] = part
+        read, there = read + lists.read, there + lists.there
+    return known, read / max(1, there)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 65_536, query_block: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score, from (vec_id, v) tables; `block` and `query_block` bound a task's memory."""
     n, m = vectors.count() // block + 1, queries.count() // query_block + 1
     deal = lambda df, own, other, parts, others: df.select("*", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
     left, right = deal(queries, "qb", "vb", m, n), deal(vectors, "vb", "qb", n, m)
 
     def meet(key: tuple, qs: pa.Table, vs: pa.Table) -> pa.Table:
-        rows: list = []
-        qid, vid = qs["vec_id"].to_numpy(), vs["vec_id"].to_numpy()
+        qid, vid, rows = qs["vec_id"].to_numpy(), vs["vec_id"].to_numpy(), []
         if len(qid) and len(vid):
             dim = key[0].as_py()
-            rows = best(matrix(qs["v"], dim), qid, matrix(vs["v"], dim), vid, k)
+            known, _ = best(matrix(qs["v"], dim), qid, matrix(vs["v"], dim), vid, k)
+            rows = [(int(q), i, -s) for q, own in zip(qid, known, strict=True) for s, i in own]
         at = np.array(rows, dtype=np.int64).reshape(-1, 3)
-        return pa.table({"query_id": pa.array(qid[at[:, 0]], pa.int64()), "vec_id": pa.array(vid[at[:, 1]], pa.int64()), "score": pa.array(at[:, 2], pa.int64())})
+        return pa.table({"query_id": pa.array(at[:, 0]), "vec_id": pa.array(at[:, 1]), "score": pa.array(at[:, 2])})
 
     met = left.groupBy("dim", "qb", "vb").cogroup(right.groupBy("dim", "qb", "vb")).applyInArrow(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
