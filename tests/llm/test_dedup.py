@@ -2,14 +2,17 @@
 
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillstone.llm import jaccard_join, substring_dedup, suffix_dedup
+from quillstone.llm import anchors, jaccard_join, substring_dedup, suffix_dedup
 from quillstone.llm.common import table
+from quillstone.llm.text import byte_grams
 from tests.llm import brute
 from tests.llm.cases import CLASHES, empty, frame, odd_texts, prose
 from tests.sessions import SMALL
@@ -56,6 +59,17 @@ def test_words_removed_across_calls(spark, tmp_path):
         substring_dedup.repeated_windows(frame(spark, new), 40, index=substring_dedup.FingerprintIndex(spark, folder))
 
 
+def test_history_is_joined_where_it_lies(spark):
+    """A new run is dealt once, when it is written; runs before it are neither shuffled nor gathered."""
+    index = substring_dedup.FingerprintIndex(spark, fanout=9)
+    for part in (odd_texts()[10:14], odd_texts()[11:20], odd_texts()[5:30]):
+        index.add(substring_dedup.fingerprints(frame(spark, part).selectExpr("doc_id as blk", "text"), 35))
+    earlier, run = index.runs[:-1], index.runs[-1]
+    index.runs = earlier
+    plan = index.fresh(run)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3 and "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_index_merges_runs_and_keeps_old_ones(spark):
     index = substring_dedup.FingerprintIndex(spark, fanout=2)
     first = substring_dedup.fingerprints(frame(spark, odd_texts()[10:11]).selectExpr("doc_id as blk", "text"), 35)
@@ -134,9 +148,10 @@ def test_pairs_of_open_sets_miss_no_link(spark):
             copy[at : at + draw.choice([0, 1, 2])] = [f"edit{draw.randrange(9)}"]
         texts.append(" ".join(copy))
     sets = [brute.shingles(t) for t in texts]
-    rows = [(i, len(s), t, i, True) for i, (s, t) in enumerate(zip(sets, texts, strict=True))]
-    docs = spark.createDataFrame(rows, "cls long, n_shingles long, text string, root long, stray boolean")
-    got = {frozenset((r["a"], r["b"])) for r in jaccard_join.strays_with_all(jaccard_join.rare_first(docs)).collect()}
+    rows = [(i, len(s), t, 0) for i, (s, t) in enumerate(zip(sets, texts, strict=True))]
+    docs = spark.createDataFrame(rows, "cls long, n_shingles long, text string, central long")
+    roots = spark.createDataFrame([], "cls long, root long")
+    got = {frozenset((r["a"], r["b"])) for r in jaccard_join.crossing(jaccard_join.rare_first(docs), roots, False).collect()}
     want = {frozenset((i, j)) for i in range(60) for j in range(i) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     assert want and want <= {p for p in got}
 
@@ -156,6 +171,72 @@ def test_one_row_stays_of_repeated_and_null_ids(spark):
     assert sorted((i or 0, (t or "")[:20]) for i, t, _ in kept) == sorted([(1, a[:20]), (1, c[:20]), (0, b[:20]), (3, ""), (3, "")])
 
 
+SHORT = [["one", "two words", None], ["", None], ["a b c d e", "a b c d e"], ["x"] * 4]
+
+
+@pytest.mark.parametrize("texts", SHORT)
+def test_tables_of_short_texts(spark, texts):
+    docs = frame(spark, texts)
+    words = by_id(substring_dedup.repeated_windows(docs).selectExpr("rest.doc_id", "n_words", "n_removed", "sha2(kept, 256) as h"), "n_words", "n_removed", "h")
+    assert words == dict(enumerate(brute.removed_words(texts)))
+    spans = by_id(suffix_dedup.repeated_spans(docs).select("rest.doc_id", "n_bytes", F.size("spans").alias("n")), "n_bytes", "n")
+    assert spans == {i: (len((t or "").encode()), 0) for i, t in enumerate(texts)}
+    assert by_id(jaccard_join.groups(docs), "component_id") == {i: (r,) for i, r in enumerate(brute.linked(texts))}
+
+
+def swapped_words(letters: int = 1024) -> tuple[str, str]:
+    """Two words that polynomial hashes modulo a power of two confuse."""
+    s, t = "a", "b"
+    while len(s) < letters:
+        s, t = s + t, t + s
+    return s, t
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    s, t = swapped_words()
+    head, tail = prose(20, 40), prose(20, 41)
+    texts = [f"{head} {s} {tail}", f"{head} {t} {tail}", "z" * 100_000, "z" * 100_000 + "y", s * 3, t * 3]
+    words = by_id(substring_dedup.repeated_windows(frame(spark, texts)).selectExpr("rest.doc_id", "n_words", "n_removed", "sha2(kept, 256) as h"), "n_words", "n_removed", "h")
+    assert words == dict(enumerate(brute.removed_words(texts))) and words[0][1] == words[1][1] == 0
+    assert by_id(jaccard_join.groups(frame(spark, texts)), "component_id") == {i: (r,) for i, r in enumerate(brute.linked(texts))}
+    spans = by_id(suffix_dedup.repeated_spans(frame(spark, texts)).select("rest.doc_id", "kept"), "kept")
+    assert {i: bytes(k) for i, (k,) in spans.items()} == {i: p[3] for i, p in enumerate(brute.removed_bytes(texts))}
+
+
+def fake_frame(block):
+    """What groupBy().applyInArrow() does with one group."""
+
+    class One:
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, f, _):
+            return f(block)
+
+    return One()
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_windows_settled_by_characters(seed):
+    """Texts of two letters, periodic ones and edited copies: everything hangs on few anchors."""
+    draw, width, gram = random.Random(seed), (64, 80, 150)[seed % 3], (16, 24, 32)[seed % 3]
+    base = bytes(draw.choice(b"ab") for _ in range(400))
+    docs = [b"a" * 300, b"ab" * 150, b""]
+    for _ in range(6):
+        copy = bytearray(base)
+        for _ in range(draw.randrange(4)):
+            at = draw.randrange(len(copy))
+            copy[at : at + draw.randrange(5)] = bytes(draw.choice(b"abc") for _ in range(draw.randrange(3)))
+        docs.append(bytes(copy))
+    buf, sizes = np.frombuffer(b"".join(docs), np.uint8), [len(d) for d in docs]
+    runs = anchors.Runs(byte_grams(buf, gram), np.repeat(np.arange(len(docs)), sizes), width, gram)
+    cut = lambda a, b: buf[a:b].tobytes()
+    answers = anchors.settled(fake_frame(runs.shipped(np.arange(len(runs.fp)), cut, 0, 1)), width, anchors.tied_bytes, len)
+    got, off = set(runs.starts(answers, cut).tolist()), np.cumsum([0, *sizes])
+    seen = Counter(d[i : i + width] for d in docs for i in range(len(d) - width + 1))
+    assert got == {int(off[k]) + i for k, d in enumerate(docs) for i in range(len(d) - width + 1) if seen[d[i : i + width]] > 1}
+
+
 def test_empty_tables(spark):
     docs = empty(spark)
     assert substring_dedup.repeated_windows(docs).count() == 0

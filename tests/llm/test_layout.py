@@ -6,6 +6,7 @@ from array import array
 from itertools import groupby
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -115,10 +116,42 @@ def test_shards_of_odd_rows(spark):
     assert sharding.shards(empty(spark), 3).count() == 0
 
 
+def test_shards_of_hot_and_odd_ids(spark):
+    """One id holds half of the rows, and ids may be strings or null."""
+    rows = [(7 if i % 2 else i, "text " * (i % 9)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for own in (docs, docs.withColumn("doc_id", F.col("doc_id").cast("string")), docs.withColumn("doc_id", F.nullif("doc_id", F.lit(7)))):
+        done = sharding.shards(own, 5)
+        got = done.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+        assert sum(r["n"] for r in got) == 4000 and all(r["n"] == r["slots"] == r["last"] + 1 for r in got)
+        total = sum(r["bytes"] for r in got)
+        assert all(abs(r["bytes"] - total / 5) <= 61 for r in got)
+
+
+def test_lists_are_not_read_to_their_ends(spark):
+    rows = [(r["vec_id"], r["v"]) for r in topk.integers(table(spark, "/root/testdata/sf0.1", "embeddings")).collect()]
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
+    asked = ids % 50 == 0
+    known, share = topk.best(v[asked], ids[asked], v, ids, 5)
+    assert share < 0.95
+    score = v[asked] @ v.T
+    for q, own, found in zip(ids[asked], score, known, strict=True):
+        assert found == sorted((-int(s), int(i)) for s, i in zip(own, ids, strict=True) if i != q)[:5]
+
+
+@pytest.mark.parametrize("most", [3, 200, 10**6, 2**45])
+def test_top_k_in_every_number_type(most):
+    draw = np.random.default_rng(most % 97)
+    v, ids = draw.integers(-most, most + 1, (90, 7)), draw.permutation(90)
+    known, _ = topk.best(v[:6], ids[:6], v, ids, 5)
+    for i in range(6):
+        plain = sorted((-sum(int(a) * int(b) for a, b in zip(v[i], x, strict=True)), int(j)) for x, j in zip(v, ids, strict=True) if j != ids[i])
+        assert known[i] == plain[:5]
+
+
 def held_together(rows, texts, capacity=1024):
     """Pieces are those of the tokenizer, sequences are gapless and hold at most `capacity`."""
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for i, own in groupby(sorted(rows, key=lambda r: (r["doc_id"], r["piece"])), key=lambda r: r["doc_id"]):
         own, ids = list(own), t.encode(texts[i] or "", add_special_tokens=False).ids + [2]
         assert [r["piece"] for r in own] == list(range(-(-len(ids) // capacity)))
