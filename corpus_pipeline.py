@@ -13,6 +13,10 @@ from quillstone.llm import decontaminate, jaccard_join, packing, suffix_dedup, t
 from quillstone.llm.common import table, written
 
 
+#: Passages of 51 words have 155 bytes and more in the languages of `documents`; shorter repeats stay.
+MIN_REPEAT = 150
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
@@ -23,7 +27,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long repeated strings are cut out of the texts; n_chars follows the text, and no document goes."""
-    return suffix_dedup.drop_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return suffix_dedup.drop_repeats(docs, MIN_REPEAT).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
