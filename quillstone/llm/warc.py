@@ -1,6 +1,6 @@
 """WARC archives as a PySpark Python data source.
 
-Reading: files are planned into partitions of about `partitionBytes`; equality and IN predicates on record_type,
+Reading: files are planned into partitions of about `partitionBytes`, and at least `minPartitions` if there are files enough; equality and IN predicates on record_type,
 record_id, target_uri, payload_digest and refers_to are pushed to the reader, which parses each record's header block
 first and steps over the body of records that fail them by their Content-Length.  Bodies are decoded only for records
 that pass, and not at all with option payload=false.  Plain .warc files and .warc.gz (one gzip member a record) are
@@ -123,6 +123,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = str(options.get("payload", "true")).lower() == "true"
         self.most = int(options.get("partitionbytes", options.get("partitionBytes", 128_000_000)))
+        self.parts = int(options.get("minpartitions", options.get("minPartitions", 1)))
         self.wanted: dict[str, set[str]] = {}
 
     def pushFilters(self, filters):
@@ -152,11 +153,11 @@ class WarcReader(DataSourceReader):
         if missing:
             raise FileNotFoundError(f"{len(missing)} files that manifests list, the first: {missing[0]}")
         found = {p: n for p, n in found.items() if p.endswith((".warc", ".warc.gz")) and p in named.get(folder(p), {p})}
-        plan, room = [], 0
+        plan, room, most = [], 0, min(self.most, sum(found.values()) // self.parts + 1)
         for p, n in sorted(found.items()):
             if not plan or room < n:
                 plan.append([])
-                room = self.most
+                room = most
             plan[-1].append(p)
             room -= n
         return [Files(x) for x in plan or [[]]]
@@ -298,16 +299,12 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     register(spark)
     path = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
     records_of(table(spark, sf_dir, "pages").select("page_id", "url", "html")).write.format("warc").mode("append").save(path)
-    read = spark.read.format("warc").load(path)
-    page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1)
-    revisit = F.col("record_type") == "revisit"
-    return read.select(
-        F.expr("try_cast(regexp_extract(record_id, '^urn:page:(-?[0-9]+)$', 1) as bigint)").alias("page_id"),
-        F.when(revisit, F.col("payload_length")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),
-        F.when(revisit, F.col("payload_digest")).otherwise(F.sha1("payload")).alias("payload_digest"),
-        "record_type",
-        F.when(revisit, page("refers_to").cast("long")).alias("refers_to"),
-    )
+    read = lambda payload: spark.read.format("warc").option("minPartitions", spark.sparkContext.defaultParallelism).option("payload", payload).load(path)
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^urn:page:(-?[0-9]+)$', 1) as bigint)")
+    # revisits are told by their headers alone; payloads are decoded of the others only, and digested anew
+    whole = read("true").where("record_type = 'response'").select(page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    again = read("false").where("record_type = 'revisit'").select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    return whole.unionByName(again)
 
 
 SQL = """
