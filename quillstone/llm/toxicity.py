@@ -54,14 +54,19 @@ def counted(buf: np.ndarray, off: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return np.log1p(out)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last column of x is the constant."""
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 12, rows: int = 2048) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, `rows` at a time; the last column of x is the constant."""
     w = np.zeros(x.shape[1])
     pull = np.full(x.shape[1], RIDGE)
     pull[-1] = 1e-3
     for _ in range(rounds):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (y - p) - pull * w)
+        slope, bend = -pull * w, np.diag(pull)
+        for a in range(0, len(x), rows):
+            part = x[a : a + rows].astype(np.float64)
+            p = sigmoid(part @ w)
+            slope += part.T @ (y[a : a + rows] - p)
+            bend += (part * (p * (1 - p))[:, None]).T @ part
+        step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -73,7 +78,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def inputs(x: np.ndarray, earlier: list[np.ndarray]) -> np.ndarray:
-    return np.column_stack([x, *earlier, np.ones(len(x))])
+    return np.column_stack([x, *[e.astype(x.dtype) for e in earlier], np.ones(len(x), x.dtype)])
 
 
 class Chain:
@@ -153,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_labels
 
     def fit(batches):
         parts = [b for b in batches if len(b)]
-        x = np.array([np.frombuffer(v, np.float32) for b in parts for v in b.column("x").to_pylist()], np.float64).reshape(sum(map(len, parts)), len(chain.terms))
+        x = np.frombuffer(b"".join(v for b in parts for v in b.column("x").to_pylist()), np.float32).reshape(sum(map(len, parts)), len(chain.terms))
         y = np.array([v for b in parts for v in b.column("y").to_pylist()], np.float64).reshape(-1, len(names))
         fold = np.array([v for b in parts for v in b.column("fold").to_pylist()], np.int64)
         chain.fit(x, y, fold)
