@@ -19,9 +19,9 @@ from quillstone.llm.text import U
 
 #: Low bits of a hash that give way to its place, so that a minimum tells both.
 PLACE = 20
-CHUNK = 1 << 18
-SHIPPED = "bucket int, blk long, part long, fp long, back int, n long, run binary"
-ANSWER = "blk long, part long, flags binary"
+CHUNK = 1 << 15
+SHIPPED = "kind int, bucket int, blk long, part long, fp long, back int, n long, run binary"
+ANSWER = "kind int, blk long, part long, flags binary"
 #: Bytes from one sample place to the next.
 STRIDE = 16
 
@@ -60,12 +60,12 @@ class Runs:
             out.setdefault((int(self.fp[i]), int(back[i]), string(int(self.first[i]), int(self.last[i]) + self.width)), []).append(i)
         return out
 
-    def shipped(self, chosen: np.ndarray, string: Callable[[int, int], bytes], blk: int, buckets: int) -> pa.Table:
-        """One row for each different string of the block; `part` is its first run."""
+    def shipped(self, chosen: np.ndarray, string: Callable[[int, int], bytes], blk: int, buckets: int, kind: int = 0) -> pa.Table:
+        """One row for each different string of the block; `part` is its first run, `kind` the number of the width."""
         found = self.parts(chosen, string)
         fp = np.array([k[0] for k in found], U)
         return pa.table({
-            "bucket": pa.array((fp % U(buckets)).astype(np.int32)), "blk": pa.array([blk] * len(found), pa.int64()), "part": pa.array([v[0] for v in found.values()], pa.int64()),
+            "kind": pa.array([kind] * len(found), pa.int32()), "bucket": pa.array((fp % U(buckets)).astype(np.int32)), "blk": pa.array([blk] * len(found), pa.int64()), "part": pa.array([v[0] for v in found.values()], pa.int64()),
             "fp": pa.array(fp.view(np.int64)), "back": pa.array([k[1] for k in found], pa.int32()), "n": pa.array([len(v) for v in found.values()], pa.int64()), "run": pa.array([k[2] for k in found], pa.binary()),
         })
 
@@ -151,14 +151,15 @@ def tied_words(runs: list[bytes], group: np.ndarray, back: np.ndarray, width: in
     return np.split(tied(np.repeat(group, starts) * (4 * width) + (k - np.repeat(back, starts)) + 2 * width, rank[np.repeat(ends - size, starts) + k]), stop[:-1])
 
 
-def settled(shipped: DataFrame, width: int, compare: Callable, units: Callable[[bytes], int]) -> DataFrame:
-    """(blk, part, flags): which windows of a string start elsewhere too, for the strings that have such.
+def settled(shipped: DataFrame, widths: list[int], compare: Callable, units: Callable[[bytes], int]) -> DataFrame:
+    """(kind, blk, part, flags): which windows of a string start elsewhere too, for the strings that have such.
 
     `compare` is tied_bytes or tied_words, `units` the length of a string in such.  Every block sends a string once, so text that fills a third of the corpus comes once a block; a bucket holds the
     different texts around its anchors.
     """
 
     def solve(bucket: pa.Table) -> pa.Table:
+        width = widths[bucket["kind"][0].as_py()]
         strings = bucket["run"].combine_chunks().dictionary_encode()
         if isinstance(strings, pa.ChunkedArray):
             strings = strings.combine_chunks()
@@ -181,6 +182,6 @@ def settled(shipped: DataFrame, width: int, compare: Callable, units: Callable[[
                 if flags[i] is None and found.any():
                     flags[i] = np.packbits(found).tobytes()
         told = np.flatnonzero(np.array([f is not None for f in flags])[kind])
-        return pa.table({"blk": bucket["blk"].take(pa.array(told)), "part": bucket["part"].take(pa.array(told)), "flags": pa.array([flags[i] for i in kind[told]], pa.binary())})
+        return pa.table({"kind": bucket["kind"].take(pa.array(told)), "blk": bucket["blk"].take(pa.array(told)), "part": bucket["part"].take(pa.array(told)), "flags": pa.array([flags[i] for i in kind[told]], pa.binary())})
 
-    return shipped.groupBy("bucket").applyInArrow(solve, ANSWER)
+    return shipped.groupBy("kind", "bucket").applyInArrow(solve, ANSWER)

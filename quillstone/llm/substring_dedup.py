@@ -245,7 +245,7 @@ def repeated_windows(docs: DataFrame, width: int = 35, batches: int = 5, text: s
     if old is not None:
         met = old.join(held.select("blk"), "blk", "left_semi").groupBy("blk")
         shipped = shipped.union(met.cogroup(held.groupBy("blk")).applyInArrow(ship, SHIPPED))
-    answers = settled(shipped, width, tied_words, lambda s: s.count(b" ") + 1).where(F.col("blk") >= base)
+    answers = settled(shipped, [width], tied_words, lambda s: s.count(b" ") + 1).where(F.col("blk") >= base)
     schema = f"rest {blocks.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, kept string, spans array<struct<start:bigint,end:bigint>>"
     return dealt.cogroup(answers.groupBy("blk")).applyInArrow(last, schema)
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,21 +40,22 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
 
 
 class Suffixes:
-    """One block of documents, and the runs of its suffixes that have a window of `length` bytes."""
+    """One block of documents, and for every length the runs of its suffixes that have so many bytes."""
 
-    def __init__(self, block: pa.Table, length: int):
-        self.block, self.length = in_order(block), length
+    def __init__(self, block: pa.Table, lengths: list[int]):
+        self.block, self.lengths = in_order(block), lengths
         self.blk = self.block["blk"][0].as_py() if len(block) else 0
         self.buf, self.off = utf8(self.block["text"])
         row = np.repeat(np.arange(len(self.off) - 1, dtype=np.int32), np.diff(self.off))
-        gram = min(64, length // 4)
-        self.runs = Runs(byte_grams(self.buf, gram), row, length, gram)
+        self.runs = [Runs(byte_grams(self.buf, gram), row, n, gram) for n in lengths for gram in [min(64, n // 4)]]
 
     def string(self, start: int, end: int) -> bytes:
         return self.buf[start:end].tobytes()
 
-    def removed(self, answer: pa.Table) -> np.ndarray:
-        return covered(self.runs.starts(answer, self.string), self.length, len(self.buf))
+    def repeated(self, answer: pa.Table, kind: int) -> np.ndarray:
+        """Which bytes lie in strings of one length that start elsewhere too."""
+        own = answer.filter(pc.equal(answer["kind"], kind))
+        return covered(self.runs[kind].starts(own, self.string), self.lengths[kind], len(self.buf))
 
 
 def whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -62,29 +64,34 @@ def whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(np.logical_or.reduceat(gone, lead), np.diff(np.append(lead, len(buf)))) if len(buf) else gone
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = 400, text: str = "text", characters: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_bytes: int = 400, text: str = "text", characters: bool = False, also: int | None = None) -> DataFrame:
     """Every column of `docs` but the text in `rest`, then n_bytes, kept (binary) and spans (array of start, end).
 
     A span is a maximal run of bytes covered by `min_bytes`-byte strings that start anywhere else as well; with
-    `characters`, widened to whole characters.
+    `characters`, widened to whole characters.  With `also`, n_also tells how many bytes lie in repeats of that many bytes
+    and more; they stay.
     """
-    if min_bytes < 64:
-        raise ValueError("min_bytes must be at least 64")
+    lengths = [n for n in (min_bytes, also) if n is not None]
+    if min(lengths) < 64:
+        raise ValueError("repeats have at least 64 bytes")
     blocks, total = in_blocks(docs, text)
     lead, buckets = prefix_bytes(total), total // BUCKET_BYTES + 1
 
     def first(block: pa.Table) -> pa.Table:
-        s = Suffixes(block, min_bytes)
-        return packed_table(Keys(s.runs.fp, lead).rows(s.blk, 1, 8 - lead))
+        s = Suffixes(block, lengths)
+        return packed_table([r for k, own in enumerate(s.runs) for r in Keys(own.fp, lead).rows(s.blk, k, 8 - lead)])
 
     def ship(left: pa.Table, right: pa.Table) -> pa.Table:
-        s = Suffixes(left, min_bytes)
-        shared, _ = Keys(s.runs.fp, lead).flags(right)
-        return s.runs.shipped(np.flatnonzero(shared), s.string, s.blk, buckets)
+        s, parts = Suffixes(left, lengths), []
+        for k, own in enumerate(s.runs):
+            shared, _ = Keys(own.fp, lead).flags(right.filter(pc.equal(right["stage"], k)))
+            parts.append(own.shipped(np.flatnonzero(shared), s.string, s.blk, buckets, k))
+        return pa.concat_tables(parts)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
-        s = Suffixes(left, min_bytes)
-        gone = s.removed(right)
+        s = Suffixes(left, lengths)
+        gone = s.repeated(right, 0)
+        more = np.concatenate([[0], np.cumsum(s.repeated(right, 1))])[s.off] if also else s.off * 0
         gone = whole_characters(s.buf, gone) if characters else gone
         kept, spans = [], []
         for a, b in zip(s.off[:-1], s.off[1:], strict=True):
@@ -93,13 +100,14 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400, text: str = "text", ch
             kept.append(s.buf[a:b][~out].tobytes() if len(edge) else s.buf[a:b].tobytes())
             spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"rest": carried(s.block["rest"]), "n_bytes": pa.array(np.diff(s.off), pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind)})
+        return pa.table({"rest": carried(s.block["rest"]), "n_bytes": pa.array(np.diff(s.off), pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind), "n_also": pa.array(np.diff(more), pa.int64())})
 
     dealt = blocks.groupBy("blk")
     shared = judged(dealt.applyInArrow(first, PACKED))
-    answers = settled(dealt.cogroup(shared.groupBy("blk")).applyInArrow(ship, SHIPPED), min_bytes, tied_bytes, len)
-    schema = f"rest {blocks.schema['rest'].dataType.simpleString()}, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>"
-    return dealt.cogroup(answers.groupBy("blk")).applyInArrow(last, schema)
+    answers = settled(dealt.cogroup(shared.groupBy("blk")).applyInArrow(ship, SHIPPED), lengths, tied_bytes, len)
+    schema = f"rest {blocks.schema['rest'].dataType.simpleString()}, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>, n_also long"
+    done = dealt.cogroup(answers.groupBy("blk")).applyInArrow(last, schema)
+    return done if also else done.drop("n_also")
 
 
 def drop_repeats(docs: DataFrame, min_bytes: int = 400, text: str = "text") -> DataFrame:
@@ -111,7 +119,15 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 400, text: str = "text") -> D
     return done.select(*[(F.col("kept").cast("string") if c == text else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
+#: Bytes of the shortest passages of over 50 words, which are counted but not cut.
+PASSAGE = 150
+
+
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    done = repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Beside the columns of repeats of 400 bytes, n_passage: bytes in repeats of PASSAGE bytes and more."""
+    done = repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), also=PASSAGE)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return done.select(F.col("rest.doc_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select(
+        F.col("rest.doc_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.col("n_also").alias("n_passage"),
+    )

@@ -92,6 +92,14 @@ def test_bytes_removed_from_odd_texts(spark):
     assert {i: (a, n, bytes(k)) for i, (a, n, k) in got.items()} == {i: (p[0], p[2], p[3]) for i, p in enumerate(brute.removed_bytes(texts))}
 
 
+def test_shorter_passages_are_counted_beside_long_ones(spark):
+    texts = odd_texts()
+    got = by_id(suffix_dedup.repeated_spans(frame(spark, texts), also=150).select("rest.doc_id", F.size("spans").alias("n"), "kept", "n_also"), "n", "kept", "n_also")
+    long, short = brute.removed_bytes(texts), brute.removed_bytes(texts, 150)
+    assert {i: (n, bytes(k), a) for i, (n, k, a) in got.items()} == {i: (p[2], p[3], q[1]) for i, (p, q) in enumerate(zip(long, short, strict=True))}
+    assert any(q[1] > p[1] for p, q in zip(long, short, strict=True))
+
+
 def test_cut_texts_are_whole_characters(spark):
     kept = suffix_dedup.drop_repeats(frame(spark, odd_texts()))
     assert kept.columns == frame(spark, []).columns
@@ -231,7 +239,7 @@ def test_windows_settled_by_characters(seed):
     buf, sizes = np.frombuffer(b"".join(docs), np.uint8), [len(d) for d in docs]
     runs = anchors.Runs(byte_grams(buf, gram), np.repeat(np.arange(len(docs)), sizes), width, gram)
     cut = lambda a, b: buf[a:b].tobytes()
-    answers = anchors.settled(fake_frame(runs.shipped(np.arange(len(runs.fp)), cut, 0, 1)), width, anchors.tied_bytes, len)
+    answers = anchors.settled(fake_frame(runs.shipped(np.arange(len(runs.fp)), cut, 0, 1)), [width], anchors.tied_bytes, len)
     got, off = set(runs.starts(answers, cut).tolist()), np.cumsum([0, *sizes])
     seen = Counter(d[i : i + width] for d in docs for i in range(len(d) - width + 1))
     assert got == {int(off[k]) + i for k, d in enumerate(docs) for i in range(len(d) - width + 1) if seen[d[i : i + width]] > 1}
