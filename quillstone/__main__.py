@@ -1,4 +1,4 @@
-"""python -m quillstone build|search|ask|eval: the stages from the command line."""
+"""python -m quillstone build|search|ask|eval|answers|summary|facets: the stages from the command line."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ def build(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def main() -> None:
     p = argparse.ArgumentParser(prog="quillstone")
-    p.add_argument("command", choices=["build", "search", "ask", "eval", "facets"])
+    p.add_argument("command", choices=["build", "search", "ask", "eval", "answers", "summary", "facets"])
     p.add_argument("text", nargs="*")
     p.add_argument("--folder", default="data")
     p.add_argument("--metadata", default="data/meta/dept-*.json")
@@ -41,6 +41,7 @@ def main() -> None:
     p.add_argument("--base-url", default="https://example.org")
     p.add_argument("--gold", default="eval/gold.json")
     p.add_argument("--limit", type=int, default=10)
+    p.add_argument("--questions", type=int, default=0, help="gold questions to ask, by id (0: all)")
     for f in ("category", "department", "date_from", "date_to", "go_no"):
         p.add_argument(f"--{f.replace('_', '-')}")
     args = p.parse_args()
@@ -53,8 +54,12 @@ def main() -> None:
         engine.search(args.text, args.limit, **filters).orderBy("qid", "position").show(truncate=80)
     elif args.command == "ask":
         engine.ask(args.text, **filters).show(truncate=120)
-    elif args.command == "eval":
-        engine.evaluate(readers.gold(spark, args.gold)).show()
+    elif args.command in ("eval", "answers"):
+        gold = readers.gold(spark, args.gold, args.questions)
+        sinks.results(engine.evaluate(gold) if args.command == "eval" else engine.evaluate_answers(gold), f"{args.folder}/{args.command}.json")
+        spark.read.json(f"{args.folder}/{args.command}.json").show()
+    elif args.command == "summary":  # of the last evaluation, as it was stored
+        spark.read.json(f"{args.folder}/eval.json").show()
     else:
         engine.facets().orderBy("facet", F.desc("n"), "value").show(100)
 

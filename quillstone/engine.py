@@ -81,18 +81,38 @@ class Engine:
         rows = rows if "vector" in channels else rows.withColumn("cosine", F.lit(None).cast("double"))
         return fusion.decorate(rows, list(channels))
 
-    def ask(self, questions: DataFrame | str | list[str], limit: int = 6, provider: grounding.Provider = grounding.extractive, **filters) -> DataFrame:
-        """Grounded answers or refusals; the provider sees only questions that pass the relevance gate."""
-        questions = questions if isinstance(questions, DataFrame) else self.questions(questions)
+    def _answered(self, questions: DataFrame, limit: int, provider: grounding.Provider, **filters) -> tuple[DataFrame, DataFrame]:
+        """The decisions, and the checked quotes behind them."""
         results = written(self.search(questions, limit, **filters))
         if self.config.expand_subjects:
             swapped = fusion.expand_subjects(results, self.passages, limit).select("qid", F.col("place").alias("position"), "chunk_id")
             results = results.drop("position", "chunk_id", "text", "kind", "page").dropDuplicates(["qid", "goid"]).join(swapped.join(self.passages.select("chunk_id", "goid", "text", "kind", "page"), "chunk_id"), ["qid", "goid"])
         gate = grounding.relevance(questions, results, min_cosine=self.config.min_cosine, min_coverage=self.config.min_coverage)
         asked = grounding.prompts(questions.join(gate.where("relevant"), "qid", "left_semi"), results)
-        parsed = grounding.parse(grounding.ask(asked, provider))
+        parsed = written(grounding.parse(grounding.ask(asked, provider)))  # a provider is asked once
         quotes = parsed.select("qid", F.posexplode("quotes").alias("i", "q")).select("qid", "i", "q.n", "q.text")
-        return grounding.decide(parsed, grounding.verify(quotes, results), gate)
+        checked = grounding.verify(quotes, results)
+        return grounding.decide(parsed, checked, gate), checked
+
+    def ask(self, questions: DataFrame | str | list[str], limit: int = 6, provider: grounding.Provider = grounding.extractive, **filters) -> DataFrame:
+        """Grounded answers or refusals; the provider sees only questions that pass the relevance gate."""
+        questions = questions if isinstance(questions, DataFrame) else self.questions(questions)
+        return self._answered(questions, limit, provider, **filters)[0]
+
+    def answer_details(self, gold: DataFrame, provider: grounding.Provider = grounding.extractive, limit: int = 6) -> DataFrame:
+        """(qid, language, unanswerable, found, n_quotes, n_dropped, cited_expected_order, cited, answer) of gold questions, asked as one batch."""
+        decided, checked = self._answered(gold.select("qid", "question"), limit, provider)
+        cited = checked.where("reason is null").groupBy("qid").agg(F.array_sort(F.collect_set("goid")).alias("cited"))
+        accept = F.coalesce("accept_goids", F.array("expect_goid"))
+        rows = gold.join(decided, "qid").join(cited, "qid", "left").withColumn("cited", F.when(F.col("found"), F.coalesce("cited", F.array().cast("array<long>"))).otherwise(F.array().cast("array<long>")))
+        return rows.select(
+            "qid", "language", "unanswerable", "found", F.col("kept").alias("n_quotes"), F.col("dropped").alias("n_dropped"),
+            F.coalesce(F.arrays_overlap("cited", accept), F.lit(False)).alias("cited_expected_order"), "cited", "answer",
+        )
+
+    def evaluate_answers(self, gold: DataFrame, provider: grounding.Provider = grounding.extractive) -> DataFrame:
+        """Answer metrics of gold questions; a batch has no time of its own for each, so the median time is null."""
+        return evals.answer_metrics(self.answer_details(gold, provider).withColumns({"error": F.lit(None).cast("string"), "seconds": F.lit(None).cast("double")}))
 
     def order(self, goid: int) -> dict[str, DataFrame]:
         own = F.col("goid") == goid

@@ -87,6 +87,10 @@ def test_answers_order_facets_and_evaluation(spark, built):
     gold = spark.createDataFrame([(1, TOPICS[0], "en", 100, 1, False, [100, 104]), (2, "zzz", "hi", None, None, True, None)], "qid long, question string, language string, expect_goid long, expect_page int, unanswerable boolean, accept_goids array<long>")
     metrics = engine.evaluate(gold).first()
     assert metrics["n"] == 1 and metrics["hit_at_1"] == 1.0 and metrics["declined_correctly"] == 1.0
+    details = {r["qid"]: r for r in engine.answer_details(gold).collect()}
+    assert details[1]["found"] and details[1]["cited_expected_order"] and set(details[1]["cited"]) <= {100, 104} and not details[2]["found"]
+    answers = engine.evaluate_answers(gold).first()
+    assert answers["answered"] == 1.0 and answers["cited_expected_order"] == 1.0 and answers["declined_unanswerable"] == 1.0 and answers["median_seconds"] is None
 
 
 def test_index_of_phrases_and_odd_passages(spark, tmp_path):
