@@ -42,16 +42,19 @@ def terms_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def counted(buf: np.ndarray, off: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """Rows x terms: log(1 + occurrences); `terms` are sorted hashes."""
-    n = len(off) - 1
-    out = np.zeros((n, len(terms)))
+def occurrences(buf: np.ndarray, off: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Rows x terms: how often each of the sorted hashes `terms` occurs, up to 65535."""
+    out = np.zeros((len(off) - 1, len(terms)), np.int32)
     if len(terms):
         h, row = terms_of(buf, off)
         at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
         hit = terms[at] == h
-        np.add.at(out, (row[hit], at[hit]), 1.0)
-    return np.log1p(out)
+        np.add.at(out, (row[hit], at[hit]), 1)
+    return np.minimum(out, 65535).astype(np.uint16)
+
+
+def damped(counts: np.ndarray) -> np.ndarray:
+    return np.log1p(counts, dtype=np.float32)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 12, rows: int = 2048) -> np.ndarray:
@@ -153,12 +156,12 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_labels
         for b in batches:
             buf, off = utf8(b.column("text"))
             for lo, hi in slices(off):
-                x = counted(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], chain.terms).astype(np.float32)
+                x = occurrences(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], chain.terms)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column("y").slice(lo, hi - lo), b.column("fold").slice(lo, hi - lo)], names=["x", "y", "fold"])
 
     def fit(batches):
         parts = [b for b in batches if len(b)]
-        x = np.frombuffer(b"".join(v for b in parts for v in b.column("x").to_pylist()), np.float32).reshape(sum(map(len, parts)), len(chain.terms))
+        x = damped(np.frombuffer(b"".join(v for b in parts for v in b.column("x").to_pylist()), np.uint16).reshape(sum(map(len, parts)), len(chain.terms)))
         y = np.array([v for b in parts for v in b.column("y").to_pylist()], np.float64).reshape(-1, len(names))
         fold = np.array([v for b in parts for v in b.column("fold").to_pylist()], np.int64)
         chain.fit(x, y, fold)
@@ -177,7 +180,7 @@ def scored(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     def score(batches):
         for b in batches:
             buf, off = utf8(b.column("text"))
-            p = [chain.predict(counted(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], chain.terms)) for lo, hi in slices(off)]
+            p = [chain.predict(damped(occurrences(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], chain.terms))) for lo, hi in slices(off)]
             yield pa.RecordBatch.from_arrays([carried(b.column("rest")), pa.array(list(np.concatenate(p)) if p else [], pa.list_(pa.float64()))], names=["rest", "p"])
 
     return whole.mapInArrow(score, f"rest {whole.schema['rest'].dataType.simpleString()}, p array<double>")
