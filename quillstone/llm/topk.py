@@ -1,7 +1,7 @@
 """Exact top-k inner products by No-Random-Access aggregation over sorted component lists.
 
 Method: every block of vectors has one list per component, sorted by value.  A query reads each list in sequence from its
-good end (largest values for a positive weight, smallest for a negative one), to the depths STOPS.  What has been read adds to
+good end (largest values for a positive weight, smallest for a negative one), to the depths STOPS or LATER.  What has been read adds to
 a candidate's bounds: below, every unread component counts as its list's worst value, above, as the list's frontier;
 a candidate not seen at all is bounded by the frontiers alone.  Reading stops for a query once at most a few candidates'
 upper bounds reach the k-th best lower bound or the k-th best score of earlier blocks, and only these are resolved.  Queries of
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import table
 
-#: Shares of the lists after which the bounds are compared; vectors that have lists of their own; queries that read together.
-STOPS, LISTED, TOGETHER = (0.02, 0.1, 0.3, 0.6, 0.8, 0.9, 0.95, 1.0), 4096, 128
+#: Shares of the lists after which the bounds are compared, for queries without and with k scores from earlier blocks; vectors
+#: that have lists of their own; queries that read together.
+STOPS, LATER, LISTED, TOGETHER = (0.1, 0.6, 0.9, 1.0), (0.6, 0.75, 0.9, 1.0), 1024, 128
 
 
 def integers(vectors: DataFrame, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -57,8 +58,11 @@ class SortedLists:
         n, least = len(self.v), -float("inf") if self.kind is not object else -(2**200)
         up, down = np.maximum(queries, 0).astype(self.kind), np.minimum(queries, 0).astype(self.kind)
         low, high = self.sorted[0], self.sorted[-1]
-        open_, lower, done = np.arange(len(queries)), np.tile(up @ low + down @ high, (n, 1)), 0
-        for depth in sorted({int(np.ceil(x * n)) for x in STOPS}):
+        # lower bounds serve to find a k-th best; where earlier blocks have one, only upper bounds are read
+        full = n < k or all(len(x) == k for x in known)
+        open_, done = np.arange(len(queries)), 0
+        lower = np.tile(up @ low + down @ high, (1 if full else n, 1))
+        for depth in sorted({int(np.ceil(x * n)) for x in (LATER if full else STOPS)}):
             up_, down_ = up[open_], down[open_]
             front, back = self.sorted[n - depth], self.sorted[depth - 1]
             upper = np.tile(up_ @ front + down_ @ back, (n, 1))
@@ -69,14 +73,16 @@ class SortedLists:
                         continue
                     at, value, new = self.order[read, j], self.sorted[read, j], self.order[fresh, j]
                     upper[at] += (value - frontier)[:, None] * w
-                    lower[new] += (self.sorted[fresh, j] - worst)[:, None] * w
+                    if not full:
+                        lower[new] += (self.sorted[fresh, j] - worst)[:, None] * w
                     self.read += len(new) * len(some)
             own = self.ids[:, None] == query_ids[open_][None, :]
-            lower[own], upper[own] = least, least
-            held = min(k, n)
-            reach = np.partition(lower, n - held, axis=0)[n - held] if self.kind is not object else np.sort(lower, axis=0)[n - held]
-            if n < k:
+            upper[own] = least
+            if full:
                 reach = np.full(len(open_), least)
+            else:
+                lower[own] = least
+                reach = np.partition(lower, n - k, axis=0)[n - k] if self.kind is not object else np.sort(lower, axis=0)[n - k]
             reach = np.array([max(r, -known[i][-1][0]) if len(known[i]) == k else r for i, r in zip(open_, reach, strict=True)])
             able = (upper >= reach) & ~own
             stop = (able.sum(axis=0) <= 4 * k) | (depth == n)
@@ -104,7 +110,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, v: np.ndarray, ids: np.ndar
     return known, read / max(1, there)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 65_536, query_block: int = 16_384) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16_384, query_block: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score, from (vec_id, v) tables; `block` and `query_block` bound a task's memory."""
     n, m = vectors.count() // block + 1, queries.count() // query_block + 1
     deal = lambda df, own, other, parts, others: df.select("*", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
