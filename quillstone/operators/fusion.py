@@ -85,18 +85,20 @@ def expand_subjects(results: DataFrame, passages: DataFrame, limit: int = 6, per
     return once.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("qid", "place", "chunk_id", "goid", "score", "matched_by")
 
 
-def related(orders: DataFrame, of: DataFrame, limit: int = 5) -> DataFrame:
+def related(orders: DataFrame, of: DataFrame, limit: int = 5, salts: int = 16) -> DataFrame:
     """(goid, related_goid, gap, place): orders of the same category or section, nearest in time first.
 
-    Two equi-joins instead of one with OR; the queried orders' side is the small one.  Only indexed orders are candidates;
+    Two equi-joins instead of one with OR; the queried orders' side is the small one, and repeated for `salts` parts of the
+    candidates, as a category or section may hold a third of them.  Only indexed orders are candidates;
     order numbers equal to the queried one's are left out, and of equal numbers the nearest of 4 * limit stays.
     """
     day = F.when(F.col("go_date_iso").isNull(), F.lit("2000-01-01")).otherwise(F.col("go_date_iso"))
     part = lambda a, n: F.expr(f"try_cast(substring(d, {a}, {n}) as int)")
     dated = lambda df: df.withColumn("d", day).withColumn("day", F.when((part(9, 2) >= 1) & (part(9, 2) <= 31) & (part(6, 2) >= 1) & (part(6, 2) <= 12), F.date_add(F.expr("make_date(cast(substring(d, 1, 4) as int), cast(substring(d, 6, 2) as int), 1)"), part(9, 2) - 1)))
-    q = dated(of).select(F.col("goid").alias("q_goid"), F.coalesce("go_no", F.lit("")).alias("q_no"), F.col("day").alias("q_day"), F.col("category").alias("q_category"), F.col("section").alias("q_section"))
-    c = dated(orders.where("ocr_ok = 1")).select("goid", F.coalesce("go_no", F.lit("")).alias("no"), "day", "category", "section")
-    same = c.join(q, c["category"] == q["q_category"]).unionByName(c.join(q, (c["section"] == q["q_section"]) & ~c["category"].eqNullSafe(q["q_category"])))
+    q = dated(of).select(F.col("goid").alias("q_goid"), F.coalesce("go_no", F.lit("")).alias("q_no"), F.col("day").alias("q_day"), F.col("category").alias("q_category"), F.col("section").alias("q_section"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("q_salt"))
+    c = dated(orders.where("ocr_ok = 1")).select("goid", F.coalesce("go_no", F.lit("")).alias("no"), "day", "category", "section", F.pmod(F.xxhash64("goid"), F.lit(salts)).cast("int").alias("salt"))
+    part_of = c["salt"] == q["q_salt"]
+    same = c.join(q, (c["category"] == q["q_category"]) & part_of).unionByName(c.join(q, (c["section"] == q["q_section"]) & part_of & ~c["category"].eqNullSafe(q["q_category"])))
     met = same.where("goid <> q_goid and no <> q_no").select("q_goid", "goid", tx.number_key(F.col("no")).alias("number"), F.abs(F.datediff("day", "q_day")).alias("gap"))
     near = Window.partitionBy("q_goid").orderBy(F.col("gap").asc_nulls_first(), "goid")
     met = met.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= 4 * limit)
