@@ -32,11 +32,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes `df` as Parquet in the shared checkpoint folder and reads it back."""
+def stored(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """Writes `df` as Parquet in the shared checkpoint folder; the table read back, and its folder."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Writes `df` as Parquet in the shared checkpoint folder and reads it back."""
+    return stored(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str | None) -> None:
+    """Removes the folder of a table of `stored` that nothing reads any more."""
+    if path is not None:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def text_of(column: str = "text") -> Column:
