@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontaminate, jaccard_join, packing, quality, sharding, substring_dedup, suffix_dedup, topk, toxicity, warc
+from quillstone.llm import centroids, decontaminate, jaccard_join, packing, quality, sharding, simhash, substring_dedup, suffix_dedup, topk, toxicity, vector_codes, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_sharding": sharding.op9_sharding,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_centroid_clustering": centroids.op11_centroid_clustering,
+        "op12_vector_code_compression": vector_codes.op12_vector_code_compression,
+        "op13_simhash_near_dedup": simhash.op13_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": topk.SQL, "op6_warc": warc.SQL}
+    return {"op1_exact_topk": topk.SQL, "op6_warc": warc.SQL, "op11_centroid_clustering": centroids.SQL, "op12_vector_code_compression": vector_codes.SQL}
