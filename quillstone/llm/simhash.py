@@ -34,8 +34,9 @@ from quillstone.llm.common import U, table, written
 from quillstone.llm.graph import components
 
 BITS, WIDTH, DIFFER, SEED = 64, 4, 4, 42
-#: What a comparison within a bucket costs, in probes that are sent; bits of a unit at most; shingles hashed at a time.
-COMPARE, UNIT, TOGETHER = 1 / 50, 11, 1 << 16
+#: What a comparison within a bucket costs, in probes that are sent; bits of a unit at most; shingles hashed at a time;
+#: sums in a row.
+COMPARE, UNIT, TOGETHER, SENT = 1 / 50, 11, 1 << 16, 64
 #: Numbers of parts that are weighed against each other.
 PARTS = (2, 3, 4, 5)
 
@@ -82,19 +83,21 @@ def bit(fp: np.ndarray, place: int) -> np.ndarray:
 
 
 def summed(rows: DataFrame, work, n: int) -> np.ndarray:
-    """The sum over tasks of what `work` makes of a task's fingerprints: n numbers, of which a task sends those that are not zero."""
+    """The sum over tasks of what `work` makes of a task's fingerprints: n numbers, sent in rows of SENT of them, those of zeros left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n, np.int64)
+        total = np.zeros(-(-n // SENT) * SENT, np.int64)
         for b in batches:
-            total += work(b.column("fp").to_numpy().view(U))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["i", "s"])
-
-    out = np.zeros(n, np.int64)
-    for r in rows.select("fp").mapInArrow(run, "i int, s long").groupBy("i").agg(F.sum("s").alias("s")).collect():
+            total[:n] += work(b.column("fp").to_numpy().view(U))
+        sent = total.reshape(-1, SENT)
+        some = np.flatnonzero(sent.any(axis=1))
+        edges = pa.array(np.arange(len(some) + 1, dtype=np.int32) * SENT)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.ListArray.from_arrays(edges, pa.array(sent[some].ravel()))], names=["i", "s"])
+
+    out = np.zeros((-(-n // SENT), SENT), np.int64)
+    for r in rows.select("fp").mapInArrow(run, "i int, s array<long>").groupBy("i").agg(F.array(*[F.sum(F.col("s")[j]) for j in range(SENT)]).alias("s")).collect():
         out[r["i"]] = r["s"]
-    return out
+    return out.ravel()[:n]
 
 
 def set_together(fp: np.ndarray) -> np.ndarray:
