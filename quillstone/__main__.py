@@ -1,4 +1,4 @@
-"""python -m quillstone build|search|ask|eval|answers|summary|facets: the stages from the command line."""
+"""python -m quillstone build|ingest|search|ask|eval|answers|summary|facets: the stages from the command line."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.engine import Engine
+from quillstone.engine import Engine, summary
 from quillstone.functions import embed as em
 from quillstone.functions.romanise import romanise
 from quillstone.operators import catalog, chunking, keyword
 from quillstone.sources import readers, sinks
+from quillstone.streaming import maintain
 
 
 def build(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -31,13 +32,22 @@ def build(spark: SparkSession, args: argparse.Namespace) -> None:
     sinks.vectors(passages.withColumn("embedding", em.embed(F.col("text"), em.hashing())), f"{args.folder}/vectors")
 
 
+def ingest(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Takes in the pages of orders that are new, leaving everything else as it is."""
+    orders = catalog.upsert_orders(readers.metadata(spark, args.metadata, args.base_url))
+    maintain.start(maintain.page_files(spark, args.incoming, args.files), args.folder, f"{args.folder}/stream", orders, em.hashing()).awaitTermination()
+    sinks.relation(catalog.mark_indexed(orders, spark.read.parquet(f"{args.folder}/passages")), f"{args.folder}/orders")
+
+
 def main() -> None:
     p = argparse.ArgumentParser(prog="quillstone")
-    p.add_argument("command", choices=["build", "search", "ask", "eval", "answers", "summary", "facets"])
+    p.add_argument("command", choices=["build", "ingest", "search", "ask", "eval", "answers", "summary", "facets"])
     p.add_argument("text", nargs="*")
     p.add_argument("--folder", default="data")
     p.add_argument("--metadata", default="data/meta/dept-*.json")
     p.add_argument("--words", default="data/ocr/*/page-*.tsv")
+    p.add_argument("--incoming", default="data/ocr", help="folder of page files to ingest")
+    p.add_argument("--files", type=int, default=None, help="page files a micro-batch")
     p.add_argument("--base-url", default="https://example.org")
     p.add_argument("--gold", default="eval/gold.json")
     p.add_argument("--limit", type=int, default=10)
@@ -48,6 +58,8 @@ def main() -> None:
     spark = SparkSession.builder.appName("quillstone").getOrCreate()
     if args.command == "build":
         return build(spark, args)
+    if args.command == "ingest":
+        return ingest(spark, args)
     engine = Engine.load(spark, args.folder)
     filters = {f: getattr(args, f) for f in ("category", "department", "date_from", "date_to", "go_no")}
     if args.command == "search":
@@ -58,8 +70,8 @@ def main() -> None:
         gold = readers.gold(spark, args.gold, args.questions)
         sinks.results(engine.evaluate(gold) if args.command == "eval" else engine.evaluate_answers(gold), f"{args.folder}/{args.command}.json")
         spark.read.json(f"{args.folder}/{args.command}.json").show()
-    elif args.command == "summary":  # of the last evaluation, as it was stored
-        spark.read.json(f"{args.folder}/eval.json").show()
+    elif args.command == "summary":  # of the last evaluations, as they were stored
+        summary(spark, args.folder).show(truncate=False)
     else:
         engine.facets().orderBy("facet", F.desc("n"), "value").show(100)
 

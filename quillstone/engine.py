@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,9 +52,14 @@ class Engine:
         self._phonetic = self._phonetic or keyword.phonetic_index(self.passages, romanise)
         return self._phonetic
 
+    @cached_property
+    def _strays(self) -> bool:
+        """Whether there are passages without an order, which no search may find; looked up once."""
+        return not self.passages.join(self.orders.select("goid"), "goid", "left_anti").isEmpty()
+
     @classmethod
     def load(cls, spark: SparkSession, folder: str, **more) -> Engine:
-        read = lambda n: spark.read.parquet(f"{folder}/{n}")
+        read = lambda n: spark.read.parquet(f"{folder}/{n}").drop("batch")
         indexes = {"words": keyword.load(spark, f"{folder}/words"), "phonetic": keyword.load(spark, f"{folder}/phonetic")}
         return cls(spark, read("orders"), read("passages"), read("pages"), read("references"), readers.vectors(spark, f"{folder}/vectors"), **indexes, **more)
 
@@ -64,7 +70,7 @@ class Engine:
     def search(self, questions: DataFrame | str | list[str], limit: int = 10, **filters) -> DataFrame:
         """Hybrid search: position, passage and order columns, score, bm25, cosine, lexical_coverage, matched_by per question."""
         questions = questions if isinstance(questions, DataFrame) else self.questions(questions)
-        only = keyword.allowed(self.passages, self.orders, predicate(**filters)) if any(filters.values()) else self.passages.join(self.orders.select("goid"), "goid", "left_semi").select("chunk_id")
+        only = keyword.allowed(self.passages, self.orders, predicate(**filters) if any(filters.values()) else F.lit(True)) if any(filters.values()) or self._strays else None
         depth = self.config.channel_depth
         channels = {"keyword": written(keyword.keyword_search(self.words, questions, depth, only))}
         if self.vectors is not None:
@@ -81,27 +87,28 @@ class Engine:
         rows = rows if "vector" in channels else rows.withColumn("cosine", F.lit(None).cast("double"))
         return fusion.decorate(rows, list(channels))
 
-    def _answered(self, questions: DataFrame, limit: int, provider: grounding.Provider, **filters) -> tuple[DataFrame, DataFrame]:
-        """The decisions, and the checked quotes behind them."""
+    def _answered(self, questions: DataFrame, limit: int, provider: grounding.Provider, **filters) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The decisions, the checked quotes behind them, and the passages that were shown."""
         results = written(self.search(questions, limit, **filters))
         if self.config.expand_subjects:
             swapped = fusion.expand_subjects(results, self.passages, limit).select("qid", F.col("place").alias("position"), "chunk_id")
-            results = results.drop("position", "chunk_id", "text", "kind", "page").dropDuplicates(["qid", "goid"]).join(swapped.join(self.passages.select("chunk_id", "goid", "text", "kind", "page"), "chunk_id"), ["qid", "goid"])
+            own = [c for c in self.passages.columns if c in results.columns]
+            results = results.drop("position", *[c for c in own if c != "goid"]).dropDuplicates(["qid", "goid"]).join(swapped.join(self.passages.select(*own), "chunk_id"), ["qid", "goid"])
         gate = grounding.relevance(questions, results, min_cosine=self.config.min_cosine, min_coverage=self.config.min_coverage)
         asked = grounding.prompts(questions.join(gate.where("relevant"), "qid", "left_semi"), results)
         parsed = written(grounding.parse(grounding.ask(asked, provider)))  # a provider is asked once
         quotes = parsed.select("qid", F.posexplode("quotes").alias("i", "q")).select("qid", "i", "q.n", "q.text")
         checked = grounding.verify(quotes, results)
-        return grounding.decide(parsed, checked, gate), checked
+        return grounding.decide(parsed, checked, gate), checked, results
 
     def ask(self, questions: DataFrame | str | list[str], limit: int = 6, provider: grounding.Provider = grounding.extractive, **filters) -> DataFrame:
-        """Grounded answers or refusals; the provider sees only questions that pass the relevance gate."""
+        """Grounded answers with their quotes, dropped quotes and passages, or refusals; the provider sees only questions that pass the relevance gate."""
         questions = questions if isinstance(questions, DataFrame) else self.questions(questions)
-        return self._answered(questions, limit, provider, **filters)[0]
+        return grounding.answered(*self._answered(questions, limit, provider, **filters)).withColumn("provider", F.lit(provider.__name__))
 
     def answer_details(self, gold: DataFrame, provider: grounding.Provider = grounding.extractive, limit: int = 6) -> DataFrame:
         """(qid, language, unanswerable, found, n_quotes, n_dropped, cited_expected_order, cited, answer) of gold questions, asked as one batch."""
-        decided, checked = self._answered(gold.select("qid", "question"), limit, provider)
+        decided, checked, _ = self._answered(gold.select("qid", "question"), limit, provider)
         cited = checked.where("reason is null").groupBy("qid").agg(F.array_sort(F.collect_set("goid")).alias("cited"))
         accept = F.coalesce("accept_goids", F.array("expect_goid"))
         rows = gold.join(decided, "qid").join(cited, "qid", "left").withColumn("cited", F.when(F.col("found"), F.coalesce("cited", F.array().cast("array<long>"))).otherwise(F.array().cast("array<long>")))
@@ -132,3 +139,15 @@ class Engine:
         able, unable = gold.where("not unanswerable").select("qid", "question"), gold.where("unanswerable").select("qid", "question")
         declined = grounding.relevance(unable, self.search(unable, 6), min_cosine=self.config.min_cosine, min_coverage=self.config.min_coverage).select("qid", (~F.col("relevant")).alias("declined"))
         return evals.retrieval_metrics(evals.retrieval_details(gold, self.search(able, 5)), declined)
+
+
+def summary(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: whether retrieval has been evaluated (ran) with its metrics, and the metrics of answers as a struct, null if never asked."""
+    metrics, answers = (readers.stored_json(spark, f"{folder}/{n}.json") for n in ("eval", "answers"))
+    whole = spark.range(1).select(F.lit(metrics is not None).alias("ran"))
+    if metrics is not None:
+        whole = whole.crossJoin(metrics.drop("details"))  # one row each
+    if answers is None:
+        return whole.withColumn("answers", F.lit(None).cast("struct<n:long>"))
+    answers = answers.drop("details")
+    return whole.crossJoin(answers.select(F.struct(*answers.columns).alias("answers")))

@@ -35,6 +35,7 @@ def clean_line(c: Column) -> Column:
 
 def is_furniture(c: Column) -> Column:
     """Office headers, bare file numbers, and lines of at most six punctuation marks."""
+    # fixed values: the three patterns
     header = c.rlike(r"^[A-Z]{2,}-[A-Z0-9/]+-[A-Z]+--?[A-Za-z ]+Department(?U:\s)*$")
     number = c.rlike(r"^[A-Z]?/?\p{Nd}{3,}/\p{Nd}{4}(?U:\s)*$")
     return header | number | c.rlike(r"^[^\p{L}\p{N}]{0,6}$")
@@ -98,6 +99,7 @@ def phonetic_key(c: Column) -> Column:
     # fixed values: aspirates and what they become, in this order
     for old, new in (("ph", "f"), ("kh", "k"), ("gh", "g"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("ch", "c")):
         w = F.replace(w, F.lit(old), F.lit(new))
+    # fixed values: letters that sound alike
     w = F.replace(F.translate(w, "cqwzm", "kkvjn"), F.lit("x"), F.lit("ks"))
     return F.regexp_replace(F.translate(w, "aeiouy", ""), r"(.)\1+", "$1")
 
@@ -108,7 +110,7 @@ def phonetic_tokens(roman: Column, least: int = 2) -> Column:
     return F.array_distinct(F.filter(F.transform(words, phonetic_key), lambda k: F.char_length(k) >= least))
 
 
-#: What a citation of another order looks like: a word for "number", then the number itself.
+#: Fixed value: what a citation of another order looks like, a word for "number", then the number itself.
 CITATION = r"(?:शासनादेश\s*)?(?:संख्या|सं0|सं\.|क्रमांक|No\.?|Number)\s*[-:–—]?\s*([0-9][0-9A-Za-z\x{0900}-\x{097F}()/\-.]{5,60})"
 
 

@@ -15,6 +15,7 @@ MIN_COSINE, MIN_COVERAGE = 0.40, 0.20
 OFF_TOPIC = "The orders that matched are about a different matter than this question."
 UNSUPPORTED = "No passage in these orders supported an answer to this question."
 NOT_FOUND = "The indexed orders do not appear to cover this."
+BOX = ("box_x", "box_y", "box_w", "box_h")
 REPLY = "answer string, quotes array<struct<n:string,text:string>>, same_subject boolean, found boolean"
 
 
@@ -77,16 +78,17 @@ def parse(raw: DataFrame) -> DataFrame:
 
 
 def verify(quotes: DataFrame, results: DataFrame) -> DataFrame:
-    """Quotes (qid, i, n, text) with reason: null if the cited result has the quote's words in their order."""
+    """Quotes (qid, i, n, text) with reason: null if the cited result has the quote's words in their order, and then where that is."""
     counts = results.groupBy("qid").agg(F.count(F.lit(1)).alias("held"))
     n = F.expr("try_cast(n as int)")
-    cited = results.select("qid", F.col("position").alias("cited"), "chunk_id", "goid", "page", "go_no", "go_date", tx.match_form(F.col("text")).alias("hay"))
+    cited = results.select("qid", F.col("position").alias("cited"), "chunk_id", "goid", "page", "go_no", "go_date", *[c for c in BOX if c in results.columns], tx.match_form(F.col("text")).alias("hay"))
     rows = quotes.withColumn("cited", n).join(counts, "qid", "left").join(cited, ["qid", "cited"], "left").withColumn("needle", tx.match_form(F.col("text")))
     reason = (
         F.when(F.col("cited").isNull(), "no excerpt number").when((F.col("cited") < 1) | (F.col("cited") > F.coalesce("held", F.lit(0))), "excerpt number out of range")
         .when(F.char_length(F.replace("needle", F.lit(" "))) < 8, "quote too short to verify").when(~F.contains("hay", "needle"), "not found verbatim in the cited excerpt")
     )
-    return rows.select("qid", "i", "text", reason.alias("reason"), *[F.when(reason.isNull(), F.col(c)).alias(c) for c in ("chunk_id", "goid", "page", "go_no", "go_date")])
+    where = [c for c in ("chunk_id", "goid", "page", "go_no", "go_date", *BOX) if c in cited.columns]
+    return rows.select("qid", "i", "n", "text", reason.alias("reason"), *[F.when(reason.isNull(), F.col(c)).alias(c) for c in where])
 
 
 def decide(parsed: DataFrame, checked: DataFrame, gate: DataFrame) -> DataFrame:
@@ -101,3 +103,19 @@ def decide(parsed: DataFrame, checked: DataFrame, gate: DataFrame) -> DataFrame:
         F.when(~F.col("relevant") | found, F.col("reason")).when(off, "the closest orders are about a different subject").otherwise("the model produced no quote that survived verification").alias("reason"),
         F.when(found, kept).otherwise(0).alias("kept"), F.coalesce("dropped", F.lit(0)).alias("dropped"), off.alias("off_topic"),
     )
+
+
+def answered(decided: DataFrame, checked: DataFrame, results: DataFrame) -> DataFrame:
+    """The decisions with what they rest on: quotes (with passage, order, page, date and box), dropped_quotes (with reason), passages.
+
+    Quotes are given where an answer was found, dropped ones and the passages always, in their order.
+    """
+    in_order = lambda by, value: F.transform(F.sort_array(F.collect_list(F.struct(by, value.alias("q")))), lambda s: s["q"])
+    box = F.array(*[F.col(c) for c in BOX]) if set(BOX) <= set(checked.columns) else F.lit(None).cast("array<int>")
+    kept = checked.where("reason is null").groupBy("qid").agg(in_order("i", F.struct("chunk_id", "goid", "page", "go_no", "go_date", "text", box.alias("box"))).alias("quotes"))
+    dropped = checked.where("reason is not null").groupBy("qid").agg(in_order("i", F.struct("n", "text", "reason")).alias("dropped_quotes"))
+    passages = results.groupBy("qid").agg(in_order("position", F.struct(*[c for c in results.columns if c not in ("qid", "question")])).alias("passages"))
+    rows = decided.join(kept, "qid", "left").join(dropped, "qid", "left").join(passages, "qid", "left")
+    none = lambda df, c: F.coalesce(c, F.array().cast(df.schema[c].dataType))
+    quotes = F.when(F.col("found"), none(kept, "quotes")).otherwise(F.array().cast(kept.schema["quotes"].dataType))
+    return rows.withColumns({"quotes": quotes, "dropped_quotes": none(dropped, "dropped_quotes"), "passages": none(passages, "passages")})

@@ -1,51 +1,26 @@
-"""Inverted index and BM25 keyword search for batches of questions.
+"""BM25 keyword search for batches of questions, by block-max pruning over the stored index.
 
-The index is built once, at ingest, and stored: postings (term, chunk_id, tf, dl, places) lie together by passage, so a batch of
-questions, which is the small side, is joined where the postings are read, and a question's words meet in a passage before
-anything is shuffled.  Places are read only for words of several index tokens.
+From the greatest impact of every block of a question's words follows what each span of passages can score at most.
+The spans of highest bound are scored first; of the others only those whose bound reaches the k-th score found
+there.  Bounds are never below a true score, so what is left out could not have come among the k best.  The sum of many
+words' bounds rules little out, so questions of more than LONG words are scored in one pass.  Places are read only for words of
+several index tokens, whose phrases are counted first and then bounded and scored like other words.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
-from quillstone.sources.stored import scratch, written
-
-K1, B, FLOOR = 1.2, 0.75, 1e-6
-
-
-@dataclass(frozen=True)
-class Index:
-    """Postings, (term, df) of all terms, and the number and mean length of all passages, also those without tokens."""
-
-    postings: DataFrame
-    terms: DataFrame
-    docs: int
-    mean: float
-
+from quillstone.operators.index import SPAN, Index, build, impact, load  # noqa: F401
+from quillstone.sources.stored import written
 
-def build(passages: DataFrame, tokens: Column | None = None, folder: str | None = None) -> Index:
-    """Writes the index of (chunk_id, text) passages; `tokens` is an array of index tokens in place of those of the text."""
-    spark, folder = passages.sparkSession, folder or scratch(passages.sparkSession)
-    tokens = tx.index_tokens(F.col("text")) if tokens is None else tokens
-    each = passages.repartition("chunk_id").select("chunk_id", tokens.alias("ts")).select("chunk_id", F.size("ts").alias("dl"), F.posexplode("ts").alias("pos", "term"))
-    # dealt by passage, so the terms of a passage are counted where it lies
-    rows = each.groupBy("chunk_id", "term", "dl").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    rows.select("term", "chunk_id", F.size("places").alias("tf"), "dl", "places").write.mode("overwrite").parquet(f"{folder}/postings")
-    posts = spark.read.parquet(f"{folder}/postings")
-    posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
-    docs = passages.agg(F.count(F.lit(1)).alias("docs"))
-    docs.crossJoin(posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).write.mode("overwrite").parquet(f"{folder}/whole")  # one row each
-    return load(spark, folder)
-
-
-def load(spark: SparkSession, folder: str) -> Index:
-    whole = spark.read.parquet(f"{folder}/whole").first()
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms"), whole["docs"], whole["tokens"] / max(1, whole["docs"]))
+FLOOR = 1e-6
+#: Spans that are scored before others are ruled out, terms that are named to the scan, and words of a question that is bounded.
+FIRST, NAMED, LONG = 8, 200, 12
+#: What a bound may fall short of a score that adds the same numbers in another order, and of one that is rounded to nine digits.
+SLACK = 1e-8
 
 
 def phrases(questions: DataFrame, words: Column | None = None) -> DataFrame:
@@ -55,30 +30,84 @@ def phrases(questions: DataFrame, words: Column | None = None) -> DataFrame:
     return each.where(F.size("terms") > 0).select("qid", "phrase", "terms")
 
 
-def bm25(index: Index, wanted: DataFrame) -> DataFrame:
-    """(qid, chunk_id, bm25): lower is better.
-
-    A phrase counts where its tokens stand in a row; the document frequency is the phrase's.  Frequencies, passage count
-    and mean length are those of the whole index, whatever is filtered later.
-    """
-
-    def parts(found: DataFrame, df: Column, times: Column) -> DataFrame:
-        idf = F.log((index.docs - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf)
-        length = F.lit(1 - B) + B * F.col("dl") / F.lit(index.mean or 1.0)
-        return found.select("qid", "chunk_id", (times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)).alias("part"))
-
-    wanted = written(wanted)
-    # written, so that the planner knows what they take and broadcasts them only while they are small
-    single = written(wanted.where(F.size("terms") == 1).groupBy("qid", F.col("terms")[0].alias("term")).agg(F.count(F.lit(1)).alias("times")).join(index.terms, "term"))
-    scores = parts(index.postings.select("term", "chunk_id", "tf", "dl").join(single, "term"), F.col("df"), F.col("times"))
-    if not wanted.where(F.size("terms") > 1).isEmpty():
-        several = written(wanted.where(F.size("terms") > 1).select("qid", "phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term")))
-        met = index.postings.join(several, "term").select("qid", "phrase", "chunk_id", "n", "dl", "off", F.explode("places").alias("pos"))
-        starts = met.groupBy("qid", "phrase", "chunk_id", "dl", "n", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("hits")).where("hits = n")
-        tf = written(starts.groupBy("qid", "phrase", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
-        scores = scores.union(parts(tf.join(tf.groupBy("qid", "phrase").agg(F.count(F.lit(1)).alias("df")), ["qid", "phrase"]), F.col("df"), F.lit(1)))
-    return scores.groupBy("qid", "chunk_id").agg((-F.sum("part")).alias("bm25"))
+class Lists:
+    """What the words of a batch of questions find in an index: (qid, times, df) of each term, and counted phrases."""
+
+    def __init__(self, index: Index, wanted: DataFrame):
+        self.index = index
+        few_spans = index.docs <= FIRST * SPAN  # nothing could be ruled out
+        size = wanted.groupBy("qid").agg(((F.count(F.lit(1)) > LONG) | F.lit(few_spans)).alias("long"))
+        wanted = written(wanted.join(size, "qid"))
+        terms = wanted.select(F.explode("terms").alias("term")).distinct()
+        few = [r[0] for r in terms.limit(NAMED + 1).collect()]
+        # more words than that are in every folder
+        self.blocks = index.holding(few) if len(few) <= NAMED else index.blocks.join(terms, "term", "left_semi")
+        kinds = wanted.agg(F.bool_or("long"), F.bool_or(~F.col("long")), F.bool_or(F.size("terms") > 1)).first()
+        self.some_long, self.some_short, several = (bool(x) for x in kinds)
+        df = index.frequencies(self.blocks.select("term", "n"))
+        # written, so that the planner knows what they take and broadcasts them only while they are small
+        self.single = written(wanted.where(F.size("terms") == 1).groupBy("qid", "long", F.col("terms")[0].alias("term")).agg(F.count(F.lit(1)).alias("times")).join(df, "term"))
+        self.phrases = None
+        if several:
+            tf = written(self._phrases(wanted))
+            self.phrases = tf.join(tf.groupBy("qid", "phrase").agg(F.count(F.lit(1)).alias("df")), ["qid", "phrase"])
+
+    def _phrases(self, wanted: DataFrame) -> DataFrame:
+        """(qid, long, phrase, chunk_id, dl, tf): starts at which all tokens of a phrase stand in a row."""
+        several = written(wanted.where(F.size("terms") > 1).select("qid", "long", "phrase", F.size("terms").alias("m"), F.posexplode("terms").alias("off", "term")))
+        posts = self.blocks.join(several.select("term").distinct(), "term", "left_semi").select("term", "segment", F.explode(F.arrays_zip("ids", "dls", "places")).alias("p"))
+        posts = self.index.live(posts.select("term", "segment", F.col("p.ids").alias("chunk_id"), F.col("p.dls").alias("dl"), F.col("p.places").alias("places")))
+        met = posts.join(several, "term").select("qid", "long", "phrase", "chunk_id", "m", "dl", "off", F.explode("places").alias("pos"))
+        starts = met.groupBy("qid", "long", "phrase", "chunk_id", "dl", "m", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("hits")).where("hits = m")
+        return starts.groupBy("qid", "long", "phrase", "chunk_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+
+    def _weight(self) -> Column:
+        idf = F.log((self.index.docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        return F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf)
+
+    def _part(self, times: Column | int) -> Column:
+        """What tf occurrences in a passage of dl tokens add."""
+        return times * self._weight() * impact(F.col("tf"), F.col("dl"), self.index.mean)
+
+    def bounds(self) -> DataFrame:
+        """(qid, span, bound) of short questions: no passage of the span scores higher."""
+        # blocks of several segments may share a span; a passage lies in one of them, so the greatest bound holds
+        blocks = self.blocks.groupBy("term", "span").agg(F.max(self.index.bound(F.col("most"), F.col("segment"))).alias("most"))
+        found = blocks.join(self.single.where(~F.col("long")), "term").select("qid", "span", (F.col("times") * self._weight() * F.col("most")).alias("part"))
+        if self.phrases is not None:
+            each = self.phrases.where(~F.col("long")).select("qid", "phrase", F.expr(f"chunk_id div {SPAN}").alias("span"), self._part(F.lit(1)).alias("part"))
+            found = found.union(each.groupBy("qid", "phrase", "span").agg(F.max("part").alias("part")).select("qid", "span", "part"))
+        return found.groupBy("qid", "span").agg(F.sum("part").alias("bound"))
+
+    def scores(self, spans: DataFrame | None) -> DataFrame:
+        """(qid, chunk_id, bm25), lower is better: of short questions in some spans (qid, span), or of long ones everywhere."""
+        within = lambda df: df.where("long") if spans is None else df.join(spans, ["qid", "span"])
+        met = within(self.blocks.join(self.single, "term")).select("qid", "times", "df", "segment", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+        posts = self.index.live(met.select("qid", "times", "df", "segment", F.col("p.ids").alias("chunk_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")))
+        found = posts.select("qid", "chunk_id", self._part(F.col("times")).alias("part"))
+        if self.phrases is not None:
+            held = within(self.phrases.withColumn("span", F.expr(f"chunk_id div {SPAN}")))
+            found = found.union(held.select("qid", "chunk_id", self._part(F.lit(1)).alias("part")))
+        return found.groupBy("qid", "chunk_id").agg((-F.sum("part")).alias("bm25"))
+
+    def best(self, k: int, only: DataFrame | None = None) -> DataFrame:
+        """(qid, chunk_id, bm25, rank): the k best of every question, of those in `only` (chunk_id) if given."""
+
+        def kept(spans: DataFrame | None) -> DataFrame:
+            found = self.scores(spans)
+            return top(found if only is None else found.join(only, "chunk_id", "left_semi"), "bm25", k)
+
+        self.spans = self.rest = None
+        if not self.some_short:
+            return kept(None)
+        nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "span"))
+        self.spans = written(self.bounds().withColumn("nth", nth))
+        first = written(kept(self.spans.where(F.col("nth") <= FIRST).select("qid", "span")))
+        reached = first.groupBy("qid").agg(F.count(F.lit(1)).alias("found"), F.max("bm25").alias("worst")).where(F.col("found") == k)
+        rest = self.spans.where(F.col("nth") > FIRST).join(reached, "qid", "left").where(F.col("worst").isNull() | (F.col("bound") >= -F.col("worst") - SLACK))
+        self.rest = written(rest.select("qid", "span"))
+        found = top(first.drop("rank").union(kept(self.rest).drop("rank")), "bm25", k)
+        return found.union(kept(None)) if self.some_long else found
 
 
 def top(scores: DataFrame, value: str, k: int, rank: str = "rank", descending: bool = False) -> DataFrame:
@@ -95,8 +124,7 @@ def allowed(passages: DataFrame, orders: DataFrame, predicate: Column) -> DataFr
 
 def keyword_search(index: Index, questions: DataFrame, k: int = 50, only: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, bm25, rank)."""
-    scores = bm25(index, phrases(questions))
-    return top(scores if only is None else scores.join(only, "chunk_id", "left_semi"), "bm25", k)
+    return Lists(index, phrases(questions)).best(k, only)
 
 
 def phonetic_index(passages: DataFrame, roman=lambda c: c, folder: str | None = None) -> Index:
@@ -106,5 +134,4 @@ def phonetic_index(passages: DataFrame, roman=lambda c: c, folder: str | None =
 
 def phonetic_search(index: Index, questions: DataFrame, k: int = 50, roman=lambda c: c, only: DataFrame | None = None) -> DataFrame:
     """Keyword search over phonetic keys."""
-    scores = bm25(index, phrases(questions, tx.phonetic_tokens(roman(F.col("question")))))
-    return top(scores if only is None else scores.join(only, "chunk_id", "left_semi"), "bm25", k)
+    return Lists(index, phrases(questions, tx.phonetic_tokens(roman(F.col("question"))))).best(k, only)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.romanise import romanise
 from quillstone.operators import keyword
+from quillstone.operators import index as stored_index
+from quillstone.sources.stored import scratch
 
 #: Indexes by session, folder and kind: built once, as at ingest, and used by every query.
 _INDEXES: dict[tuple[str, str, str], keyword.Index] = {}
@@ -48,6 +50,26 @@ def index(spark: SparkSession, d: str, kind: str = "words") -> keyword.Index:
     return _INDEXES[key]
 
 
+def maintained(spark: SparkSession, d: str) -> keyword.Index:
+    """An index grown in five loads; then a tenth of the passages is replaced under their ids, and a tenth is taken out."""
+    key = (spark.sparkContext.applicationId, d, "maintained")
+    if key not in _INDEXES:
+        rows, folder = passages(spark, d).select("chunk_id", "text"), scratch(spark)
+        for step in range(5):
+            stored_index.change(spark, folder, rows.where(F.col("chunk_id") % 5 == step), batch=step)
+        old = rows.where("chunk_id % 10 = 3")
+        stored_index.change(spark, folder, old.withColumn("text", F.concat("text", F.lit(" amended by a later order"))), old, batch=5)
+        _INDEXES[key] = stored_index.change(spark, folder, gone=rows.where("chunk_id % 10 = 7"), batch=6)
+    return _INDEXES[key]
+
+
+def page_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The recognised words as whole TSV pages (goid, page, value)."""
+    line = F.concat_ws("\t", F.lit("5"), "page", "block", "par", "line", "word", "x", "y", "w", "h", "conf", "text")
+    made = words(spark, d).withColumn("words", F.struct("line", "word", line.alias("l")))
+    return made.groupBy("goid", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list("words")), lambda s: s["l"]), "\n").alias("value"))
+
+
 def hindi(rows: DataFrame, column: str = "text") -> DataFrame:
     """Every third row with some of its Latin letters in Devanagari."""
     return rows.withColumn(column, F.when(F.col(rows.columns[0]) % 3 == 0, F.translate(column, "kmnprstl", "कमनपरसतल")).otherwise(F.col(column)))

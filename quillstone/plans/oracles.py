@@ -79,6 +79,8 @@ def ranked(scores: str, name: str, k: int, where: str = "true", value: str = "bm
     return f"{name} as (select * from (select *, row_number() over (partition by qid order by round({value}, 9) {down}, chunk_id)::int as rank from {scores} where {where}) where rank <= {k})"
 
 
+#: Passages after the loads of `fixtures.maintained`.
+MAINTAINED = "held_ as (select chunk_id, text || case when chunk_id % 10 = 3 then ' amended by a later order' else '' end as text from passages_ where chunk_id % 10 <> 7)"
 IN_FILTER = "chunk_id in (select chunk_id from passages_ join orders_ using (goid) where category = '1-URGENT' and go_date_iso >= '1994-01-01' and go_date_iso <= '1997-12-31')"
 COSINE = "list_inner_product(q.embedding::double[], v.embedding::double[])"
 VECTORS = f"vs as (select q.vec_id as qid, v.vec_id as chunk_id, {COSINE} as cosine, v.label from embeddings q join embeddings v on q.vec_id % 50 = 0)"
@@ -188,6 +190,12 @@ on_ as (select *, row_number() over (partition by qid, chunk_id order by positio
 ORACLES = {
     "keyword_top": with_(bm25(), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
     "keyword_filtered": with_(bm25(), ranked("sc", "kw", 10, IN_FILTER), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
+    "keyword_of_long_words": with_(
+        "asked_ as (select qid, array_to_string(list_filter(string_split(question, ' '), lambda w: length(w) >= 9), ' ') as question from questions_)",
+        bm25().replace("questions_", "asked_"), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw",
+    ),
+    "maintained_search": with_(MAINTAINED, bm25("held_"), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
+    "maintained_terms": with_(MAINTAINED, then=f"select term, count(*) as df from (select distinct chunk_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) as term from held_) group by term"),
     "phonetic_top": with_(PHONETIC, bm25("phon", phonetic_list("question")), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
     # a Devanagari consonant is its letter and an a
     "phonetic_romanised": with_(
@@ -247,6 +255,8 @@ ORACLES = {
     "subject_passages": with_(
         r"sb as (select goid, trim(regexp_replace(subject, '[\s\x{A0}]+', ' ', 'g')) as text from orders_)", then="select goid, text, len(string_split(text, ' '))::int as n_words, 'subject' as kind from sb where len(string_split(text, ' ')) >= 3"
     ),
+    "streamed_passages": with_(PASSAGES, then="select * exclude (ids) from pas"),
+    "persistent_ids": with_(then="select row_number() over (order by goid % 3, goid::varchar, page, ord) as chunk_id, goid from passages_"),
     "numbered_passages": with_("both_ as (select goid, page, ord, 'ocr' as kind from passages_ union all select goid, page, ord, 'subject' from passages_ where goid % 2 = 0)", then="select row_number() over (order by goid::varchar, kind, page, ord) as chunk_id, goid, kind from both_"),
     "clean_lines": with_(f"cl as (select goid, line, {cleaned('l')} as c, l from lines_)", then=rf"select goid, line::int as line, c as cleaned, {FURNITURE} as furniture, case when regexp_matches(l, '[\x{{0900}}-\x{{097F}}]') then 'hi' else 'en' end as language from cl"),
     "number_keys": with_(
@@ -266,6 +276,21 @@ select page_id, case when u = '' then null when page_id % 4 in (1, 2) then 'http
     ),
     "parsed_replies": with_(REPLIES, then="select qid, answer, quoted::int as n_quotes, same_subject, true as found from rep"),
     "verified_quotes": with_(RESULTS, REPLIES, CHECKED, then="select qid, i, reason, case when reason is null then cited end as chunk_id from chk"),
+    "answers": with_(
+        RESULTS, GATE, REPLIES, CHECKED,
+        """qt as (select chk.qid, chk.reason, res.chunk_id, res.goid, res.page, res.go_no, res.go_date, p.box_x, p.box_y, p.box_w, p.box_h, replace(rep.quote, 'ẞ', 'SS') as quote,
+          case when rep.qid % 11 = 5 then 'none' when rep.qid % 13 = 6 then '99' else '1' end as n
+          from chk join rep using (qid) left join res on res.qid = chk.qid and res.position = rep.n left join passages_ p on p.chunk_id = res.chunk_id)""",
+        "sh as (select qid, string_agg(chunk_id::varchar, ',' order by position) as passages from res group by qid)",
+        """de as (select gate.qid, relevant, coalesce(same_subject = false, false) as off_topic, rep.answer as said, qt.reason is null and qt.qid is not null as kept, qt.qid is not null as quoted
+          from gate left join rep using (qid) left join qt using (qid))""",
+        then="""select de.qid, relevant and kept and not off_topic as found, off_topic,
+          case when not relevant then 'The indexed orders do not appear to cover this.' when kept and not off_topic then trim(said)
+            when off_topic then 'The orders that matched are about a different matter than this question.' else 'No passage in these orders supported an answer to this question.' end as answer,
+          case when relevant and kept and not off_topic then chunk_id || '|' || goid || '|' || page || '|' || go_no || '|' || go_date || '|' || box_x || ',' || box_y || ',' || box_w || ',' || box_h || '|' || quote else '' end as quotes,
+          case when quoted and not kept then n || '|' || reason || '|' || quote else '' end as dropped_quotes, coalesce(passages, '') as passages
+          from de left join qt using (qid) left join sh on sh.qid = de.qid""",
+    ),
     "decisions": with_(
         RESULTS, GATE, REPLIES, CHECKED,
         "al as (select g.qid, g.relevant, g.reason, r.answer, coalesce(not r.same_subject, false) as off, coalesce(c.reason is null and c.qid is not null, false) as kept, coalesce(c.reason is not null, false) as dropped from gate g left join rep r using (qid) left join chk c using (qid))",

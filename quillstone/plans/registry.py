@@ -27,6 +27,21 @@ def keyword_filtered(s, d):
     return _keyword(s, d, **FILTERS).withColumn("bm25", F.round("bm25", 6))
 
 
+def maintained_search(s, d):
+    """The index grown by increments, against passages as they are in the end."""
+    return keyword.keyword_search(fx.maintained(s, d), fx.questions(s, d), 10).withColumn("bm25", F.round("bm25", 6))
+
+
+def maintained_terms(s, d):
+    return fx.maintained(s, d).terms
+
+
+def keyword_of_long_words(s, d):
+    """Questions of a text's long words alone: mostly few enough for bounds to rule spans out."""
+    asked = fx.questions(s, d).select("qid", F.array_join(F.filter(F.split("question", " "), lambda w: F.char_length(w) >= 9), " ").alias("question"))
+    return keyword.keyword_search(fx.index(s, d), asked, 10).withColumn("bm25", F.round("bm25", 6))
+
+
 def phonetic_top(s, d):
     return keyword.phonetic_search(fx.index(s, d, "phonetic"), fx.questions(s, d), 10).withColumn("bm25", F.round("bm25", 6))
 
@@ -198,6 +213,29 @@ def numbered_passages(s, d):
     return chunking.number(both).select("chunk_id", "goid", "kind")
 
 
+def persistent_ids(s, d):
+    """Passages numbered in three loads, the second of which is repeated."""
+    from quillstone.operators import ids
+    from quillstone.sources.stored import scratch
+
+    made, folder = fx.passages(s, d).drop("chunk_id"), scratch(s)
+    loads = [ids.numbered(made.where(F.col("goid") % 3 == b), folder, b) for b in (0, 1, 1, 2)]
+    return loads[0].unionByName(loads[2]).unionByName(loads[3]).select("chunk_id", "goid")
+
+
+def streamed_passages(s, d):
+    """Passages as the maintaining stream leaves them, after pages have come in several micro-batches and some of them twice."""
+    from quillstone.sources.stored import scratch
+    from quillstone.streaming import maintain
+
+    incoming, folder = scratch(s), scratch(s)
+    pages = fx.page_rows(s, d)
+    for part in (F.col("goid") % 2 == 0, F.lit(True)):
+        pages.where(part).write.mode("append").parquet(incoming)
+        maintain.start(s.readStream.schema(maintain.PAGES).parquet(incoming), f"{folder}/data", f"{folder}/stream").awaitTermination()
+    return s.read.parquet(f"{folder}/data/passages").select("goid", "ord", "text", "n_words", "box_x", "box_y", "box_w", "box_h")
+
+
 def clean_lines(s, d):
     line = fx.table(s, d, "documents").select(F.col("doc_id").alias("goid"), F.posexplode(F.split("text", "\n")).alias("line", "l"))
     return line.select("goid", "line", tx.clean_line(F.col("l")).alias("cleaned"), tx.is_furniture(tx.clean_line(F.col("l"))).alias("furniture"), tx.language(F.col("l")).alias("language"))
@@ -268,6 +306,19 @@ def decisions(s, d):
     return grounding.decide(grounding.parse(_raw(s, d)), _checked(s, d, results), grounding.relevance(fx.questions(s, d), results))
 
 
+def answers(s, d):
+    """Whole answers: cited quotes with their boxes, dropped quotes with reasons, and the passages shown."""
+    results = _results(s, d)
+    checked = _checked(s, d, results)
+    rows = grounding.answered(grounding.decide(grounding.parse(_raw(s, d)), checked, grounding.relevance(fx.questions(s, d), results)), checked, results)
+    quote = lambda q: F.concat_ws("|", q["chunk_id"], q["goid"], q["page"], q["go_no"], q["go_date"], F.array_join(q["box"], ","), q["text"])
+    lost = lambda q: F.concat_ws("|", q["n"], q["reason"], q["text"])
+    return rows.select(
+        "qid", "found", "answer", "off_topic", F.array_join(F.transform("quotes", quote), ";").alias("quotes"), F.array_join(F.transform("dropped_quotes", lost), ";").alias("dropped_quotes"),
+        F.array_join(F.transform("passages", lambda p: p["chunk_id"].cast("string")), ",").alias("passages"),
+    )
+
+
 def _gold(s, d):
     q = fx.questions(s, d)
     return q.select("qid", "question", F.when(F.col("qid") % 3 == 0, "hi").otherwise("en").alias("language"), (F.col("qid") * 3).alias("expect_goid"), (F.col("qid") % 3 + 1).cast("int").alias("expect_page"), (F.col("qid") % 5 == 0).alias("unanswerable"), F.when(F.col("qid") % 2 == 0, F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.col("qid") + i * 17)).alias("accept_goids"))
@@ -327,10 +378,10 @@ def event_windows(s, d):
 
 
 NAMES = [
-    keyword_top, keyword_filtered, phonetic_top, phonetic_romanised, phonetic_keys, vector_top, vector_filtered, hybrid_search, fused_ranks, lexical_coverage, related_orders, subject_expansion,
+    keyword_top, keyword_filtered, keyword_of_long_words, maintained_search, maintained_terms, phonetic_top, phonetic_romanised, phonetic_keys, vector_top, vector_filtered, hybrid_search, fused_ranks, lexical_coverage, related_orders, subject_expansion,
     upsert_orders, replace_pages, not_yet_indexed, mark_indexed, citations, resolved_references, resolved_count, totals, departments, facets, passage_stats, sample_passages, crop_boxes,
-    recognised_lines, packed_passages, page_assembly, subject_passages, numbered_passages, clean_lines, number_keys, iso_dates, https_urls, match_forms,
-    relevance_gate, prompts, parsed_replies, verified_quotes, decisions, retrieval_details, retrieval_metrics, retrieval_misses, answer_metrics, gate_rows, gate_totals, page_stats, batch_summary, event_windows,
+    recognised_lines, packed_passages, page_assembly, subject_passages, numbered_passages, persistent_ids, streamed_passages, clean_lines, number_keys, iso_dates, https_urls, match_forms,
+    relevance_gate, prompts, parsed_replies, verified_quotes, decisions, answers, retrieval_details, retrieval_metrics, retrieval_misses, answer_metrics, gate_rows, gate_totals, page_stats, batch_summary, event_windows,
 ]
 
 

@@ -1,4 +1,7 @@
-"""Tables written on the way: in a folder that is given, or in the session's checkpoint folder, which all executors share."""
+"""Tables written on the way: in a folder that is given, or in the session's checkpoint folder, which all executors share.
+
+Those in the checkpoint folder live as long as the application: they are removed when it ends.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """A new folder below spark.checkpoint.dir; where none is set, a temporary one on a local master only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    return path
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:

@@ -79,6 +79,11 @@ def test_answers_order_facets_and_evaluation(spark, built):
     engine = Engine.load(spark, f"{built}/data", config=Config(expand_subjects=True))
     said = {r["qid"]: r for r in engine.ask(["pension rules for retired teachers", "zzz qqq"]).collect()}
     assert said[0]["found"] and said[0]["kept"] == 1 and not said[1]["found"]
+    quote, shown = said[0]["quotes"][0], said[0]["passages"]
+    source = engine.passages.where(F.col("chunk_id") == quote["chunk_id"]).first()
+    assert quote["text"].split() == source["text"].split()[:12] and quote["box"] == [source[c] for c in grounding.BOX] and quote["go_no"] and quote["page"] == source["page"]
+    assert shown[0]["chunk_id"] == quote["chunk_id"] and len(shown) <= 6 and said[0]["dropped_quotes"] == [] and said[0]["provider"] == "extractive"
+    assert said[1]["quotes"] == [] and said[1]["passages"] is not None
     strict = Engine.load(spark, f"{built}/data", config=Config(min_cosine=2.0, min_coverage=2.0))
     assert not strict.ask("pension rules for retired teachers").first()["found"]
     own = engine.order(103)
@@ -173,7 +178,7 @@ def test_readers_and_sinks(spark, tmp_path):
     sinks.vectors(spark.createDataFrame([(1, [0.5, 0.25])], "chunk_id long, embedding array<double>"), str(tmp_path / "v"))
     assert readers.vectors(spark, str(tmp_path / "v")).first()["embedding"] == [0.5, 0.25]
     sinks.results(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "r"))
-    assert json.loads(next((tmp_path / "r").glob("part-*.json")).read_text()) == {"a": 1, "b": None}
+    assert json.loads("".join(f.read_text() for f in (tmp_path / "r").glob("part-*.json"))) == {"a": 1, "b": None}
     (tmp_path / "pdf").mkdir()
     for n in ("12.pdf", "x.pdf", "9.pdf"):
         (tmp_path / "pdf" / n).write_bytes(b"%PDF")
