@@ -325,3 +325,5 @@ select (select count(*) from a) as n, (select count(*) from u) as n_unanswerable
     "batch_summary": with_(GATE_PAGES, then="select count(*) as pages, round(sum(seconds), 1) as seconds, round(sum(seconds) / greatest(count(*), 1), 1) as secs_per_page from gp"),
     "event_windows": "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
 }
+#: Cells change what is read, not what is found.
+ORACLES |= {"vector_cells": ORACLES["vector_top"], "vector_cells_filtered": ORACLES["vector_filtered"]}

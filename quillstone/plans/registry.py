@@ -75,6 +75,19 @@ def vector_filtered(s, d):
     return found.withColumn("cosine", F.round("cosine", 6))
 
 
+def vector_cells(s, d):
+    """The search of `vector_top` over cells."""
+    v = _vectors(s, d)
+    asked = v.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), "embedding")
+    return vector.vector_search(vector.cells(v), asked, 10).withColumn("cosine", F.round("cosine", 6))
+
+
+def vector_cells_filtered(s, d):
+    v = _vectors(s, d)
+    asked = v.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), "embedding")
+    return vector.vector_search(vector.cells(v), asked, 10, v.where("label = 3").select("chunk_id")).withColumn("cosine", F.round("cosine", 6))
+
+
 def _hybrid(s, d, limit=10):
     questions, passages, orders = fx.questions(s, d), fx.passages(s, d), fx.orders(s, d)
     v = _vectors(s, d)
@@ -378,7 +391,7 @@ def event_windows(s, d):
 
 
 NAMES = [
-    keyword_top, keyword_filtered, keyword_of_long_words, maintained_search, maintained_terms, phonetic_top, phonetic_romanised, phonetic_keys, vector_top, vector_filtered, hybrid_search, fused_ranks, lexical_coverage, related_orders, subject_expansion,
+    keyword_top, keyword_filtered, keyword_of_long_words, maintained_search, maintained_terms, phonetic_top, phonetic_romanised, phonetic_keys, vector_top, vector_filtered, vector_cells, vector_cells_filtered, hybrid_search, fused_ranks, lexical_coverage, related_orders, subject_expansion,
     upsert_orders, replace_pages, not_yet_indexed, mark_indexed, citations, resolved_references, resolved_count, totals, departments, facets, passage_stats, sample_passages, crop_boxes,
     recognised_lines, packed_passages, page_assembly, subject_passages, numbered_passages, persistent_ids, streamed_passages, clean_lines, number_keys, iso_dates, https_urls, match_forms,
     relevance_gate, prompts, parsed_replies, verified_quotes, decisions, answers, retrieval_details, retrieval_metrics, retrieval_misses, answer_metrics, gate_rows, gate_totals, page_stats, batch_summary, event_windows,
