@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.engine import Engine, summary
+from quillstone.engine import Config, Engine, summary
 from quillstone.functions import embed as em
 from quillstone.functions.romanise import romanise
 from quillstone.operators import catalog, chunking, keyword
@@ -48,6 +48,8 @@ def main() -> None:
     p.add_argument("--words", default="data/ocr/*/page-*.tsv")
     p.add_argument("--incoming", default="data/ocr", help="folder of page files to ingest")
     p.add_argument("--files", type=int, default=None, help="page files a micro-batch")
+    p.add_argument("--replies", default=None, help="folder in which replies of the model are kept")
+    p.add_argument("--tries", type=int, default=3, help="calls of the model for a prompt that fails")
     p.add_argument("--base-url", default="https://example.org")
     p.add_argument("--gold", default="eval/gold.json")
     p.add_argument("--limit", type=int, default=10)
@@ -60,7 +62,9 @@ def main() -> None:
         return build(spark, args)
     if args.command == "ingest":
         return ingest(spark, args)
-    engine = Engine.load(spark, args.folder)
+    config = Config(tries=args.tries)
+    config.replies = args.replies or config.replies
+    engine = Engine.load(spark, args.folder, config=config)
     filters = {f: getattr(args, f) for f in ("category", "department", "date_from", "date_to", "go_no")}
     if args.command == "search":
         engine.search(args.text, args.limit, **filters).orderBy("qid", "position").show(truncate=80)

@@ -14,18 +14,20 @@ from quillstone.functions.romanise import romanise
 from quillstone.operators import catalog, evals, fusion, grounding, keyword, vector
 from quillstone.operators.filters import predicate
 from quillstone.sources import readers
-from quillstone.sources.stored import written
+from quillstone.sources.stored import scratch, written
 
 
 @dataclass
 class Config:
-    """Tunables; the environment overrides the defaults."""
+    """Tunables; the environment overrides the defaults.  `replies` is a folder in which replies are kept for later runs."""
 
     phonetic_weight: float = field(default_factory=lambda: float(os.environ.get("PHONETIC_WEIGHT", "0")))
     min_cosine: float = field(default_factory=lambda: float(os.environ.get("MIN_COSINE", grounding.MIN_COSINE)))
     min_coverage: float = field(default_factory=lambda: float(os.environ.get("MIN_COVERAGE", grounding.MIN_COVERAGE)))
     expand_subjects: bool = field(default_factory=lambda: os.environ.get("EXPAND_SUBJECTS") == "1")
     per_order: int = 2
+    replies: str | None = field(default_factory=lambda: os.environ.get("REPLIES"))
+    tries: int = 3
     channel_depth: int = 50
 
 
@@ -96,10 +98,13 @@ class Engine:
             results = results.drop("position", *[c for c in own if c != "goid"]).dropDuplicates(["qid", "goid"]).join(swapped.join(self.passages.select(*own), "chunk_id"), ["qid", "goid"])
         gate = grounding.relevance(questions, results, min_cosine=self.config.min_cosine, min_coverage=self.config.min_coverage)
         asked = grounding.prompts(questions.join(gate.where("relevant"), "qid", "left_semi"), results)
-        parsed = written(grounding.parse(grounding.ask(asked, provider)))  # a provider is asked once
+        # a provider is asked once a prompt, and an error counts as a reply
+        raw = grounding.ask_once(asked, provider, self.config.replies or scratch(self.spark), self.config.tries)
+        errors = raw.where("error is not null").select("qid", "error")
+        parsed = written(grounding.parse(raw.where("error is null").select("qid", "raw")))
         quotes = parsed.select("qid", F.posexplode("quotes").alias("i", "q")).select("qid", "i", "q.n", "q.text")
         checked = grounding.verify(quotes, results)
-        return grounding.decide(parsed, checked, gate), checked, results
+        return grounding.decide(parsed, checked, gate).join(errors, "qid", "left"), checked, results
 
     def ask(self, questions: DataFrame | str | list[str], limit: int = 6, provider: grounding.Provider = grounding.extractive, **filters) -> DataFrame:
         """Grounded answers with their quotes, dropped quotes and passages, or refusals; the provider sees only questions that pass the relevance gate."""
@@ -107,19 +112,19 @@ class Engine:
         return grounding.answered(*self._answered(questions, limit, provider, **filters)).withColumn("provider", F.lit(provider.__name__))
 
     def answer_details(self, gold: DataFrame, provider: grounding.Provider = grounding.extractive, limit: int = 6) -> DataFrame:
-        """(qid, language, unanswerable, found, n_quotes, n_dropped, cited_expected_order, cited, answer) of gold questions, asked as one batch."""
+        """(qid, language, unanswerable, found, n_quotes, n_dropped, cited_expected_order, cited, answer, error) of gold questions, asked as one batch."""
         decided, checked, _ = self._answered(gold.select("qid", "question"), limit, provider)
         cited = checked.where("reason is null").groupBy("qid").agg(F.array_sort(F.collect_set("goid")).alias("cited"))
         accept = F.coalesce("accept_goids", F.array("expect_goid"))
         rows = gold.join(decided, "qid").join(cited, "qid", "left").withColumn("cited", F.when(F.col("found"), F.coalesce("cited", F.array().cast("array<long>"))).otherwise(F.array().cast("array<long>")))
         return rows.select(
             "qid", "language", "unanswerable", "found", F.col("kept").alias("n_quotes"), F.col("dropped").alias("n_dropped"),
-            F.coalesce(F.arrays_overlap("cited", accept), F.lit(False)).alias("cited_expected_order"), "cited", "answer",
+            F.coalesce(F.arrays_overlap("cited", accept), F.lit(False)).alias("cited_expected_order"), "cited", "answer", "error",
         )
 
     def evaluate_answers(self, gold: DataFrame, provider: grounding.Provider = grounding.extractive) -> DataFrame:
         """Answer metrics of gold questions; a batch has no time of its own for each, so the median time is null."""
-        return evals.answer_metrics(self.answer_details(gold, provider).withColumns({"error": F.lit(None).cast("string"), "seconds": F.lit(None).cast("double")}))
+        return evals.answer_metrics(self.answer_details(gold, provider).withColumn("seconds", F.lit(None).cast("double")))
 
     def order(self, goid: int) -> dict[str, DataFrame]:
         own = F.col("goid") == goid

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
+from quillstone.operators.once import once
 
 MIN_COSINE, MIN_COVERAGE = 0.40, 0.20
 #: What a refusal says; NOT_FOUND is this engine's own.
@@ -49,6 +50,19 @@ def ask(asked: DataFrame, provider: Provider) -> DataFrame:
     return asked.select("qid", "prompt").mapInPandas(provider, "qid long, raw string")
 
 
+def ask_once(asked: DataFrame, provider: Provider, folder: str, tries: int = 3, pause: float = 0.0) -> DataFrame:
+    """(qid, raw, error): the provider's replies, each prompt asked once for all runs that share the folder; see `operators.once`.
+
+    Prompts are told apart by their digest and the provider's name; questions with one prompt share its reply.
+    """
+    keyed = asked.select("qid", "prompt", F.concat_ws(":", F.lit(provider.__name__), F.sha2("prompt", 256)).alias("key"))
+
+    def call(row: dict) -> str:
+        return next(iter(provider(iter([pd.DataFrame({"qid": [0], "prompt": [row["prompt"]]})]))))["raw"].iloc[0]
+
+    return keyed.join(once(keyed.select("key", "prompt"), call, folder, tries, pause), "key").select("qid", F.col("value").alias("raw"), "error")
+
+
 def extractive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A stand-in for a language model: quotes the first words of the first excerpt."""
     import json

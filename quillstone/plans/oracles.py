@@ -327,3 +327,5 @@ select (select count(*) from a) as n, (select count(*) from u) as n_unanswerable
 }
 #: Cells change what is read, not what is found.
 ORACLES |= {"vector_cells": ORACLES["vector_top"], "vector_cells_filtered": ORACLES["vector_filtered"]}
+#: A reply is the digest of its prompt.
+ORACLES["replies"] = f"select qid, digest, null::varchar as error from ({ORACLES['prompts']})"

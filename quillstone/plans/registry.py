@@ -291,6 +291,22 @@ def prompts(s, d):
     return grounding.prompts(fx.questions(s, d).select("qid", "question"), _results(s, d)).select("qid", F.md5(F.col("prompt").cast("binary")).alias("digest"))
 
 
+def _echo(batches):
+    import hashlib
+
+    for b in batches:
+        yield b.assign(raw=b["prompt"].map(lambda p: hashlib.md5(p.encode()).hexdigest()))[["qid", "raw"]]
+
+
+def replies(s, d):
+    """Every prompt put to a provider through the ledger, by two runs."""
+    from quillstone.sources.stored import scratch
+
+    asked, folder = grounding.prompts(fx.questions(s, d).select("qid", "question"), _results(s, d)), scratch(s)
+    grounding.ask_once(asked.where("qid % 2 = 0"), _echo, folder)
+    return grounding.ask_once(asked, _echo, folder).select("qid", F.col("raw").alias("digest"), "error")
+
+
 def _raw(s, d):
     """Replies that quote the benchmark text, in several states of repair."""
     q = fx.questions(s, d)
@@ -394,7 +410,7 @@ NAMES = [
     keyword_top, keyword_filtered, keyword_of_long_words, maintained_search, maintained_terms, phonetic_top, phonetic_romanised, phonetic_keys, vector_top, vector_filtered, vector_cells, vector_cells_filtered, hybrid_search, fused_ranks, lexical_coverage, related_orders, subject_expansion,
     upsert_orders, replace_pages, not_yet_indexed, mark_indexed, citations, resolved_references, resolved_count, totals, departments, facets, passage_stats, sample_passages, crop_boxes,
     recognised_lines, packed_passages, page_assembly, subject_passages, numbered_passages, persistent_ids, streamed_passages, clean_lines, number_keys, iso_dates, https_urls, match_forms,
-    relevance_gate, prompts, parsed_replies, verified_quotes, decisions, answers, retrieval_details, retrieval_metrics, retrieval_misses, answer_metrics, gate_rows, gate_totals, page_stats, batch_summary, event_windows,
+    relevance_gate, prompts, replies, parsed_replies, verified_quotes, decisions, answers, retrieval_details, retrieval_metrics, retrieval_misses, answer_metrics, gate_rows, gate_totals, page_stats, batch_summary, event_windows,
 ]
 
 
