@@ -141,6 +141,44 @@ def upsert_orders(s, d):
     return catalog.upsert_orders(_loads(s, d)).select("goid", "go_no", "subject", "department", "section", "category")
 
 
+def merged_orders(s, d):
+    """The upserts of `upsert_orders`, the second load merged by key into the buckets of the first."""
+    from quillstone.sources.keyed import Keyed, upserted
+    from quillstone.sources.stored import scratch
+
+    table = Keyed(s, scratch(s), "goid", "goid long, go_no string, subject string, department string, section string, category string", buckets=16)
+    loads = _loads(s, d).select("load_seq", "goid", "go_no", "subject", "department", "section", "category")
+    for seq in (1, 2):
+        table.change(loads.where(F.col("load_seq") == seq), upserted())
+    return table.read()
+
+
+def _tallied(s, d):
+    """Counts kept by differences: all orders come in, then every third moves to another category and is indexed, then every seventh goes."""
+    from quillstone.operators import tallies
+    from quillstone.sources.stored import scratch
+
+    orders = fx.orders(s, d).select("goid", "category", "department", "go_date_iso", "ocr_ok")
+    move = lambda df: df.withColumns({"category": F.when(F.col("goid") % 3 == 0, "moved").otherwise(F.col("category")), "ocr_ok": F.when(F.col("goid") % 3 == 0, 1).otherwise(F.col("ocr_ok"))})
+    third, gone = orders.where("goid % 3 = 0"), move(orders).where("goid % 7 = 0")
+    kept = tallies.open_(s, scratch(s))
+    for batch, (before, after) in enumerate(((None, orders), (third, move(third)), (gone, None))):
+        tallies.change(kept, before, after, batch=batch)
+    return kept.read()
+
+
+def maintained_facets(s, d):
+    from quillstone.operators import tallies
+
+    return tallies.facets(_tallied(s, d))
+
+
+def maintained_totals(s, d):
+    from quillstone.operators import tallies
+
+    return tallies.totals(_tallied(s, d))
+
+
 def replace_pages(s, d):
     return catalog.replace(fx.table(s, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
 
@@ -408,7 +446,7 @@ def event_windows(s, d):
 
 NAMES = [
     keyword_top, keyword_filtered, keyword_of_long_words, maintained_search, maintained_terms, phonetic_top, phonetic_romanised, phonetic_keys, vector_top, vector_filtered, vector_cells, vector_cells_filtered, hybrid_search, fused_ranks, lexical_coverage, related_orders, subject_expansion,
-    upsert_orders, replace_pages, not_yet_indexed, mark_indexed, citations, resolved_references, resolved_count, totals, departments, facets, passage_stats, sample_passages, crop_boxes,
+    upsert_orders, merged_orders, maintained_facets, maintained_totals, replace_pages, not_yet_indexed, mark_indexed, citations, resolved_references, resolved_count, totals, departments, facets, passage_stats, sample_passages, crop_boxes,
     recognised_lines, packed_passages, page_assembly, subject_passages, numbered_passages, persistent_ids, streamed_passages, clean_lines, number_keys, iso_dates, https_urls, match_forms,
     relevance_gate, prompts, replies, parsed_replies, verified_quotes, decisions, answers, retrieval_details, retrieval_metrics, retrieval_misses, answer_metrics, gate_rows, gate_totals, page_stats, batch_summary, event_windows,
 ]
