@@ -57,7 +57,7 @@ class Notes:
 def once(work: DataFrame, call: Callable[[dict], str], folder: str, tries: int = 3, pause: float = 0.0) -> DataFrame:
     """(key, value, error, tries) of every key in `work` (key, ...): what `call` made of a row with that key.
 
-    `pause` seconds, doubled each time, lie between tries.  Rows of one key are one piece of work.  A null key is left out.
+    `pause` seconds, times the tries so far, lie between tries.  Rows of one key are one piece of work.  A null key is left out.
     """
     spark, path, notes = work.sparkSession, f"{folder}/ledger", f"{folder}/notes"
     fields = work.columns
@@ -88,7 +88,7 @@ def once(work: DataFrame, call: Callable[[dict], str], folder: str, tries: int =
                         kept.leave(row["key"], note)
                         if note["error"] is None or used >= tries:
                             break
-                        time.sleep(pause * 2 ** (used - 1))
+                        time.sleep(pause * used)
                 made.append(note)
             yield pd.DataFrame(made, columns=["key", "value", "error", "tries"])
 
