@@ -169,7 +169,7 @@ def test_decontamination_of_odd_tables(spark):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline_stages_take_effect(spark):
