@@ -141,7 +141,8 @@ def _write_blocks(postings: DataFrame, path: str, mean: float, parts: int) -> No
     """Blocks of (chunk_id, term, dl, places); a term that most passages have is written by a task a stripe."""
     rows = postings.select("*", part_of(F.col("term"), parts).alias("part"), F.expr(f"chunk_id div {SPAN}").alias("span"), F.expr(f"chunk_id div {STRIPE}").alias("stripe"))
     # the shuffle by part and stripe also serves the grouping, whose keys include both
-    made = rows.repartition("part", "stripe").groupBy("part", "stripe", "term", "span").agg(F.sort_array(F.collect_list(F.struct("chunk_id", F.size("places").alias("tf"), "dl", "places"))).alias("p"))
+    tasks = max(parts, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few parts to a task, so that tasks are even
+    made = rows.repartition(tasks, "part", "stripe").groupBy("part", "stripe", "term", "span").agg(F.sort_array(F.collect_list(F.struct("chunk_id", F.size("places").alias("tf"), "dl", "places"))).alias("p"))
     blocks = made.select(
         "term", "span", F.size("p").alias("n"), F.array_max(F.transform("p", lambda x: impact(x["tf"], x["dl"], mean))).alias("most"),
         F.col("p.chunk_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), F.col("p.places").alias("places"), "part",

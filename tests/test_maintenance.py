@@ -206,3 +206,34 @@ def test_a_failed_batch_is_repeated_without_a_trace(spark, tmp_path, monkeypatch
     assert sorted(r["chunk_id"] for r in passages.collect()) == list(range(1, n + 1))
     assert index.load(spark, f"{folder}/words").docs == n == index.load(spark, f"{folder}/phonetic").docs
     assert json.loads(json.dumps(index.load(spark, f"{folder}/words").state))["batch"] == 0
+
+
+def test_an_engine_over_what_was_ingested(spark, tmp_path):
+    """Metadata and page files through the command line's ingest, twice, then search, answers and order pages."""
+    from argparse import Namespace
+
+    from quillstone.__main__ import ingest
+    from quillstone.engine import Engine, summary
+    from quillstone.sources import sinks
+
+    (tmp_path / "meta").mkdir()
+    rows = [{"GOID": g, "GONo": f"{g}/IT-1", "GODate1678": f"{g}-3-2012", "Subject": f"water supply scheme part {g}", "DepartmentNameE": "D", "SectionNameE": "S", "CategoryNameE": "Order", "FilePath": f"{g}.pdf"} for g in (1, 2, 3)]
+    (tmp_path / "meta/dept-1.json").write_text(json.dumps({"scraped_at": "x", "department_id": 1, "count": 3, "rows": rows}))
+    args = Namespace(metadata=f"{tmp_path}/meta/dept-*.json", base_url="https://example.org", incoming=f"{tmp_path}/ocr", files=None, folder=f"{tmp_path}/data")
+    for goids in ((1, 2), (3,)):
+        for g in goids:
+            page(tmp_path / "ocr", g, 1, g)
+        ingest(spark, args)
+    engine = Engine.load(spark, f"{tmp_path}/data")
+    assert engine.orders.where("ocr_ok = 1").count() == 3 and engine.passages.where("kind = 'subject'").count() == 3
+    assert engine.vectors.count() == engine.passages.count() == engine.words.docs
+    rows = engine.search("water supply scheme part 3", 5).orderBy("position").collect()
+    assert rows[0]["goid"] == 3 and "keyword" in rows[0]["matched_by"] and "vector" in rows[0]["matched_by"]
+    said = engine.ask("water supply scheme part 3").first()
+    assert said["found"] and said["error"] is None and said["quotes"][0]["goid"] == 3
+    assert engine.order(2)["passages"].count() >= 2 and engine.order(2)["pages"].count() == 1
+    assert summary(spark, f"{tmp_path}/data").first().asDict() == {"ran": False, "answers": None}
+    sinks.results(spark.createDataFrame([(3, 0.5)], "n long, hit_at_1 double"), f"{tmp_path}/data/eval.json")
+    sinks.results(spark.createDataFrame([(2, 1.0)], "n long, answered double"), f"{tmp_path}/data/answers.json")
+    told = summary(spark, f"{tmp_path}/data").first()
+    assert told["ran"] and told["hit_at_1"] == 0.5 and told["answers"]["answered"] == 1.0
