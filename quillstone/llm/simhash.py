@@ -44,11 +44,11 @@ GAPS = re.compile(rb"[\x20\x09-\x0D]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """Bits that are set in over half the hashes of the text's shingles, the highest first."""
+def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
+    """Bits that are set in over half the hashes of the shingles of a text in UTF-8, the highest first."""
     import xxhash
 
-    flat = GAPS.sub(b" ", (text or "").encode().translate(LOWER)).strip(b" ")
+    flat = GAPS.sub(b" ", (text or b"").translate(LOWER)).strip(b" ")
     if not flat:
         return 0
     gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 0x20)
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             fp = [fingerprint(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 

@@ -159,6 +159,8 @@ def test_fingerprints_link_like_all_pairs(spark):
     assert got == {i: (f"{f:016x}", c) for i, (f, c) in enumerate(zip(fps, plain_components(fps), strict=True))}
     assert len({c for _, c in got.values()}) < len(texts)
     assert simhash.groups(empty(spark)).count() == 0
+    odd = spark.createDataFrame([(1, bytearray(b"caf\xe9 a b c")), (2, bytearray(b"caf\xe9 A B C"))], "doc_id long, text binary")
+    assert [r["component_id"] for r in simhash.groups(odd).collect()] == [1, 1]  # bytes that are no UTF-8 count as they are
     ids = spark.createDataFrame([(None, "a b"), (None, "a b"), (7, "c d"), (None, "c d"), (7, "c d")], "doc_id long, text string")
     assert sorted(((r["doc_id"], r["component_id"]) for r in simhash.groups(ids).collect()), key=repr) == sorted([(None, None), (None, None), (7, 7), (None, 7), (7, 7)], key=repr)
 
