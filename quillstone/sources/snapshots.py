@@ -2,7 +2,8 @@
 
 A version is one small JSON file, named by its number and written only if no such file exists.  Readers that took an older
 version keep its tables; of two writers that start from the same version the second fails with Conflict and may try again.
-The guarantee is that of the file system's create-without-overwrite.
+The guarantee is that of the file system's create-without-overwrite.  A writer that ends between creating and writing its file
+leaves an empty one, which stands in the way of others until it is removed by hand.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ class Snapshots:
         self.path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _names(self, folder: str) -> list[str]:
+    def _names(self, folder: str, least: int = 0) -> list[str]:
         at = self.path(folder)
-        return [f.getPath().getName() for f in self.fs.listStatus(at)] if self.fs.exists(at) else []
+        return [f.getPath().getName() for f in self.fs.listStatus(at) if f.getLen() >= least] if self.fs.exists(at) else []
 
     def versions(self) -> list[int]:
-        return sorted(int(n[:-5]) for n in self._names(f"{self.folder}/versions") if n.endswith(".json") and n[:-5].isdigit())
+        """Versions in force; one whose file is empty is still being written."""
+        return sorted(int(n[:-5]) for n in self._names(f"{self.folder}/versions", 1) if n.endswith(".json") and n[:-5].isdigit())
 
     def read(self, version: int) -> dict:
         return json.loads(self.spark.read.text(f"{self.folder}/versions/{version:012d}.json", wholetext=True).first()[0])

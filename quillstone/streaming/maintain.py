@@ -24,7 +24,7 @@ from quillstone.sources import readers
 from quillstone.sources.snapshots import Snapshots
 
 PAGES = "goid long, page int, value string"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 class FirstOnly(StatefulProcessor):
@@ -88,7 +88,6 @@ def start(pages: DataFrame, folder: str, checkpoint: str, orders: DataFrame | No
     the last one.
     """
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # where this checkpoint's numbers begin is itself a ledger, so that a restart finds it again
     begins = Snapshots(spark, f"{checkpoint}/begins")
     version, state = begins.current()
@@ -102,4 +101,10 @@ def start(pages: DataFrame, folder: str, checkpoint: str, orders: DataFrame | No
     def batch(rows: DataFrame, number: int) -> None:
         take_in(rows, folder, state["after"] + 1 + number, orders, encoder)
 
-    return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
+    # a query keeps the settings that it starts with; those of the session stay as they were
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(STATE_STORE[0]) if before is None else spark.conf.set(STATE_STORE[0], before)

@@ -43,6 +43,11 @@ def test_snapshots_let_one_writer_win(spark, tmp_path):
     with pytest.raises(Conflict):
         Snapshots(spark, str(tmp_path / "s")).commit(0, {"tables": ["b"]})
     assert shots.current() == (1, {"tables": ["a"]})
+    (tmp_path / "s/versions/000000000002.json").touch()
+    assert shots.current()[0] == 1  # being written
+    with pytest.raises(Conflict):
+        shots.commit(1, {})
+    (tmp_path / "s/versions/000000000002.json").unlink()
     for name in ("a", "b", "c"):
         (tmp_path / "s" / name).mkdir()
     shots.commit(1, {"tables": ["b"]})
@@ -217,7 +222,7 @@ def test_an_engine_over_what_was_ingested(spark, tmp_path):
     from quillstone.sources import sinks
 
     (tmp_path / "meta").mkdir()
-    rows = [{"GOID": g, "GONo": f"{g}/IT-1", "GODate1678": f"{g}-3-2012", "Subject": f"water supply scheme part {g}", "DepartmentNameE": "D", "SectionNameE": "S", "CategoryNameE": "Order", "FilePath": f"{g}.pdf"} for g in (1, 2, 3)]
+    rows = [{"GOID": g, "GONo": f"{g}/IT-1", "GODate1678": f"{g}-3-2012", "Subject": f"water supply scheme {name}", "DepartmentNameE": "D", "SectionNameE": "S", "CategoryNameE": "Order", "FilePath": f"{g}.pdf"} for g, name in ((1, "alpha"), (2, "beta"), (3, "gamma"))]
     (tmp_path / "meta/dept-1.json").write_text(json.dumps({"scraped_at": "x", "department_id": 1, "count": 3, "rows": rows}))
     args = Namespace(metadata=f"{tmp_path}/meta/dept-*.json", base_url="https://example.org", incoming=f"{tmp_path}/ocr", files=None, folder=f"{tmp_path}/data")
     for goids in ((1, 2), (3,)):
@@ -227,9 +232,9 @@ def test_an_engine_over_what_was_ingested(spark, tmp_path):
     engine = Engine.load(spark, f"{tmp_path}/data")
     assert engine.orders.where("ocr_ok = 1").count() == 3 and engine.passages.where("kind = 'subject'").count() == 3
     assert engine.vectors.count() == engine.passages.count() == engine.words.docs
-    rows = engine.search("water supply scheme part 3", 5).orderBy("position").collect()
+    rows = engine.search("water supply scheme gamma", 5).orderBy("position").collect()
     assert rows[0]["goid"] == 3 and "keyword" in rows[0]["matched_by"] and "vector" in rows[0]["matched_by"]
-    said = engine.ask("water supply scheme part 3").first()
+    said = engine.ask("water supply scheme gamma").first()
     assert said["found"] and said["error"] is None and said["quotes"][0]["goid"] == 3
     assert engine.order(2)["passages"].count() >= 2 and engine.order(2)["pages"].count() == 1
     assert summary(spark, f"{tmp_path}/data").first().asDict() == {"ran": False, "answers": None}
