@@ -13,7 +13,8 @@ Sets that are equal are one class; classes meet in stars (every member with the
 a family of copies was made from is linked with most of it), each candidate pair is verified on the texts.  Only sets that
 then still share a signature with another component are compared further.  To spare a family's outliers the comparison
 with the whole family, candidates must also share a shingle within the few rarest that each could lack, and its places in
-both bound the overlap; outliers meet the most central member of each component first, and then what is still apart.
+both bound the overlap, and so do the parities of their shingles in 1024 classes; outliers meet the most central member of each
+component first, and then what is still apart.  A pair's words are compared, not hashes, and no pair is verified twice.
 
 Defined cases: words are runs of bytes outside 0x20 and 0x09-0x0D after A-Z became a-z; fewer than five words are one
 shingle; null texts and texts without words have no shingle and are linked with nothing; repeated rows are linked;
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import PACKED, U, Keys, carried, durable, holders_of, in_blocks, in_order, judged, packed_table, prefix_bytes, table, written
 from quillstone.llm.graph import components
-from quillstone.llm.text import LOWERCASE, grams, mix, utf8, word_hashes, words
+from quillstone.llm.text import LOWERCASE, SPACE, grams, mix, slices, utf8, word_hashes, words
 
 WIDTH, NUM, DEN = 5, 75, 100
 SMALL, RATIO = 32, 16 / 9
@@ -44,6 +45,8 @@ DIFFER = np.array([min(2**40, (int(u) + int(u) * DEN // NUM) * (DEN - NUM) // (D
 SEGMENTS = DIFFER + 1 + (DIFFER + 1) // 4 + 4
 #: Lower ends of the size classes in which open sets meet.
 CLASSES = np.unique(np.ceil(1.07 ** np.arange(600)).astype(np.int64))
+#: Bits of a set's mark; they tell apart sets of up to about as many shingles, larger ones seldom.
+MARK = 1024
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -193,27 +196,56 @@ def profiles(docs: DataFrame, text: str) -> DataFrame:
     return written(dealt.cogroup(answers.groupBy("blk")).applyInArrow(last, schema), "profiles")
 
 
+def exact_sets(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(text number and shingle number in one, sorted; sizes): the shingle sets of some texts, told apart by their words and not by hashes."""
+    buf, off = utf8(texts)
+    start, end, row = words(buf, off)
+    solid = LOWERCASE[buf[~SPACE[buf]]]
+    ends = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    each = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(solid)])
+    word = np.asarray(each.dictionary_encode().indices, np.int64) + 1
+    at = np.searchsorted(row, np.arange(len(off)))
+    n_words = np.diff(at)
+    whole = np.repeat(n_words >= WIDTH, n_words) & (np.arange(len(row)) + WIDTH <= at[1:][row])
+    first = np.concatenate([np.flatnonzero(whole), at[:-1][(n_words > 0) & (n_words < WIDTH)]]).astype(np.int64)
+    doc = row[first]
+    padded = np.append(word, np.zeros(WIDTH, np.int64))
+    number = padded[first]
+    for k in range(1, WIDTH):  # a shorter text has zeros behind its words
+        more = np.where(first + k < at[1:][doc], padded[first + k], 0)
+        number = np.asarray(pa.array(number << 32 | more).dictionary_encode().indices, np.int64)
+    held = np.unique(doc.astype(np.int64) << 32 | number)
+    return held, np.bincount(held >> 32, minlength=len(off) - 1)
+
+
+def linked_pairs(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """For every two texts that stand in the same place, whether they are linked."""
+    both = pa.concat_arrays([left, right]).dictionary_encode()
+    held, n = exact_sets(both.dictionary)
+    a, b = np.split(np.asarray(both.indices, np.int64), 2)
+    at = np.searchsorted(held >> 32, np.arange(len(n) + 1))
+    pair = np.repeat(np.arange(len(b)), n[b])
+    place = np.arange(len(pair)) - np.repeat(np.cumsum(n[b]) - n[b], n[b]) + at[b][pair]
+    want = a[pair] << 32 | held[place] & 0xFFFFFFFF
+    found = np.minimum(np.searchsorted(held, want), max(0, len(held) - 1))
+    same = np.bincount(pair[held[found] == want], minlength=len(b))
+    return DEN * same >= NUM * (n[a] + n[b] - same)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are linked; each pair's texts meet in one row."""
+    """The pairs (a, b) of classes that are linked; each pair's texts meet in one row, and their words are compared."""
     near = (F.col("n_a") * NUM <= F.col("n_b") * DEN) & (F.col("n_b") * NUM <= F.col("n_a") * DEN)
     side = lambda c: texts.select(F.col("cls").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("text").alias(f"text_{c}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a").where(near)
 
     def check(batches):
-        held: tuple = (None, None)
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                b = Sets(part.column("text_b"), 1)
-                out = []
-                for i, (key, text) in enumerate(zip(part.column("a").to_pylist(), part.column("text_a"), strict=True)):
-                    if held[0] != key:
-                        held = (key, Sets(pa.array([text.as_py()]), 1).h)
-                    mine = b.set_of(i)
-                    at = np.minimum(np.searchsorted(held[1], mine), max(0, len(held[1]) - 1))
-                    same = int((held[1][at] == mine).sum()) if len(held[1]) else 0
-                    out.append(DEN * same >= NUM * (len(mine) + len(held[1]) - same))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(out))
+            a, b = batch.column("text_a"), batch.column("text_b")
+            size = np.asarray(pc.add(pc.binary_length(a), pc.binary_length(b)), np.int64)
+            for lo, hi in slices(np.concatenate([[0], np.cumsum(size)]), rows=256):
+                part = batch.slice(lo, hi - lo)
+                good = linked_pairs(a.slice(lo, hi - lo).cast(pa.large_string()), b.slice(lo, hi - lo).cast(pa.large_string()))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good))
 
     return met.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
@@ -223,7 +255,7 @@ def stars(members: DataFrame) -> DataFrame:
     by = F.struct("central", F.col("cls").alias("a"))
     # a reread table has no partitioning, so that both sides are dealt anew and a signature of many members can be split
     lead = written(members.groupBy("sig").agg(F.max(by)["a"].alias("a")), "leads")
-    return members.join(lead, "sig").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    return members.join(lead, "sig").where("a <> cls").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
 
 
 def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -233,9 +265,22 @@ def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(written(mixed.select("sig"), "mixed"), "sig").select("cls").distinct()
 
 
+def marks(s: Sets) -> pa.ListArray:
+    """For every set MARK bits: bit i is the parity of the number of its shingles of class i.
+
+    Two sets differ at least in as many shingles as their marks have different bits, whatever the classes are.
+    """
+    bit = mix(s.h ^ U(0x3C79AC492BA7B653)) % U(MARK)
+    out = np.zeros((len(s.n), MARK // 64), U)
+    np.bitwise_xor.at(out, (s.doc, (bit >> U(6)).astype(np.int64)), U(1) << (bit & U(63)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(s.n) + 1, dtype=np.int32) * (MARK // 64)), pa.array(out.ravel().view(np.int64)))
+
+
 def rare_first(docs: DataFrame) -> DataFrame:
     """key, probe, cls, central, n, pos: what each open set must share with a linked set, its rarest shingles first.
 
+    One more row a set, without a key, holds its `mark`: for each of MARK classes of shingles, whether it has an odd number of them.
+
     A set of n and a smaller one of at least l, if linked, share at least 3/7 (n + l) shingles, so they meet in the first
     n + 1 - 3/7 (n + l) of the one and in the first n / 7 + 1 of the other, in any order common to both.  Sizes
     fall in classes of ratio 1.07; a set is found under its own class and looks for those of its own and smaller classes.
@@ -265,48 +310,57 @@ def rare_first(docs: DataFrame) -> DataFrame:
             found.append((mix(h[at] + U(0x9E3779B97F4A7C15) * k[at].astype(U)).view(np.int64), np.full(len(at), step >= 0), at))
         at = np.concatenate([f[2] for f in found])
         row = pa.array(s.doc[at])
-        return pa.table({
+        keyed = pa.table({
             "key": np.concatenate([f[0] for f in found]), "probe": np.concatenate([f[1] for f in found]), "cls": left["cls"].take(row),
             "central": left["central"].take(row), "n": n[at], "pos": pos[at],
         })
+        return pa.concat_tables([keyed, pa.table({"cls": left["cls"], "mark": marks(s)})], promote_options="default")
 
     dealt = blocks.groupBy("blk")
     answers = judged(dealt.applyInArrow(first, PACKED), holders=True)
-    schema = "key long, probe boolean, cls long, central long, n long, pos long"
+    schema = "key long, probe boolean, cls long, central long, n long, pos long, mark array<long>"
     return dealt.cogroup(answers.groupBy("blk")).applyInArrow(last, schema)
 
 
 def crossing(rare: DataFrame, roots: DataFrame, leads_only: bool) -> DataFrame:
-    """Pairs (a, b) of different components that the places of a shared shingle do not rule out.
+    """Pairs (a, b), a < b, of different components that neither the places of a shared shingle nor the marks rule out.
 
     Of the components that share a shingle, the one of most members is not paired with itself; with `leads_only`, members
-    of the others meet only the most central member of each component.
+    of the others meet only the most central member of each component.  Marks decide in the condition of the join, so what
+    they rule out is never a row.
     """
-    rows = rare.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows = rare.where("key is not null").drop("mark").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     kinds = parts.groupBy("key").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    rows = written(rows.join(kinds.drop("k"), "key"), "crossing")
+    rows = written(rows.join(kinds.drop("k"), "key").join(rare.where("mark is not null").select("cls", "mark"), "cls"), "crossing")
     strays, others = rows.where("root <> main"), rows.where("root = main")
     if leads_only:
-        others = rows.groupBy("key", "probe", "root").agg(F.max(F.struct("central", "cls", "n", "pos")).alias("r")).select("key", "probe", "root", "r.cls", "r.n", "r.pos")
-    side = lambda df, probe, c: df.where(F.col("probe") == probe).select("key", *[F.col(x).alias(f"{x}_{c}") for x in ("cls", "root", "n", "pos")])
+        best = F.max(F.struct("central", "cls", "n", "pos", "mark")).alias("r")
+        others = rows.groupBy("key", "probe", "root").agg(best).select("key", "probe", "root", "r.cls", "r.n", "r.pos", "r.mark")
+    side = lambda df, probe, c: df.where(F.col("probe") == probe).select("key", *[F.col(x).alias(f"{x}_{c}") for x in ("cls", "root", "n", "pos", "mark")])
     # of two linked sets, the first shared shingle has the rest of the overlap behind it in both
     may = f"root_a <> root_b and (n_a < n_b or (n_a = n_b and cls_a < cls_b)) and {DEN + NUM} * least(n_a - pos_a, n_b - pos_b) >= {NUM} * (n_a + n_b)"
-    meet = lambda x, y: side(x, False, "a").join(side(y, True, "b"), "key").where(may).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+    apart = " + ".join(f"bit_count(mark_a[{i}] ^ mark_b[{i}])" for i in range(MARK // 64))
+    may += f" and {DEN + NUM} * ({apart}) <= {DEN - NUM} * (n_a + n_b)"
+    pair = [F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")]
+    meet = lambda x, y: side(x, False, "a").join(side(y, True, "b"), "key").where(may).select(*pair)
     return meet(strays, others if leads_only else rows).union(meet(others, strays)).distinct()
 
 
 def linked_classes(profile: DataFrame) -> DataFrame:
-    """(cls, root) of the classes that have a link, and nothing of others."""
+    """(cls, root) of the classes that have a link, and nothing of others.  No pair is verified twice."""
     texts = profile.where("text is not null").select("cls", "n_shingles", "central", "text")
     members = profile.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "cls", "central")
-    links = written(verified(stars(members), texts), "links")
+    tried = written(stars(members), "tried")
+    links = written(verified(tried, texts), "links")
     rooted = lambda: components(links).withColumnRenamed("node", "cls")
     roots = rooted()
     texts = written(texts.join(still_open(members, roots), "cls"), "open")
     rare = written(rare_first(texts), "rare")
     for leads_only in (True, False):
-        links = written(links.union(verified(crossing(rare, roots, leads_only), texts)), "links")
+        pairs = written(crossing(rare, roots, leads_only).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = written(links.union(verified(pairs, texts)), "links")
+        tried = tried.union(pairs)
         roots = rooted()
     return roots
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -164,6 +165,42 @@ def test_pairs_of_open_sets_miss_no_link(spark):
     assert want and want <= {p for p in got}
 
 
+def test_pairs_are_told_apart_by_their_words():
+    texts = [t or "" for t in odd_texts()]
+    sets = [brute.shingles(t) for t in texts]
+    held, n = jaccard_join.exact_sets(pa.array(texts))
+    assert n.tolist() == [len(s) for s in sets] and len(held) == n.sum()
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j]]
+    got = jaccard_join.linked_pairs(*(pa.array([texts[p[k]] for p in pairs], pa.large_string()) for k in (0, 1)))
+    assert got.tolist() == [100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for i, j in pairs]
+
+
+def test_unlinked_variants_are_not_all_verified(spark, monkeypatch):
+    """Variants of one text, each with other words changed, are no links of each other: few pairs may reach the texts, and none twice."""
+    asked, verified = [], jaccard_join.verified
+
+    def noted(pairs, texts):
+        asked.extend((r["a"], r["b"]) for r in pairs.collect())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(jaccard_join, "verified", noted)
+    base, seen = prose(200, 11).split(" "), {}
+    for size in (100, 300):
+        draw, texts = random.Random(6), []
+        for i in range(size):
+            copy = list(base)
+            for at in draw.sample(range(len(base)), 6):
+                copy[at] = f"own{i}x{at}"
+            texts.append(" ".join(copy))
+        asked.clear()
+        got = by_id(jaccard_join.groups(frame(spark, texts)), "component_id")
+        if size == 100:
+            assert got == {i: (r,) for i, r in enumerate(brute.linked(texts))}
+        assert len(asked) == len(set(asked))
+        seen[size] = len(asked)
+    assert seen[300] <= 4 * seen[100]  # each meets its signatures' most central members, and no more
+
+
 def test_one_of_each_group_stays(spark):
     texts = odd_texts()
     docs = frame(spark, texts)
