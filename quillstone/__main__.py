@@ -56,6 +56,7 @@ def main() -> None:
     p.add_argument("--questions", type=int, default=0, help="gold questions to ask, by id (0: all)")
     for f in ("category", "department", "date_from", "date_to", "go_no"):
         p.add_argument(f"--{f.replace('_', '-')}")
+    p.add_argument("--goid", type=int)
     args = p.parse_args()
     spark = SparkSession.builder.appName("quillstone").getOrCreate()
     if args.command == "build":
@@ -65,7 +66,7 @@ def main() -> None:
     config = Config(tries=args.tries)
     config.replies = args.replies or config.replies
     engine = Engine.load(spark, args.folder, config=config)
-    filters = {f: getattr(args, f) for f in ("category", "department", "date_from", "date_to", "go_no")}
+    filters = {f: getattr(args, f) for f in ("category", "department", "goid", "date_from", "date_to", "go_no")}
     if args.command == "search":
         engine.search(args.text, args.limit, **filters).orderBy("qid", "position").show(truncate=80)
     elif args.command == "ask":

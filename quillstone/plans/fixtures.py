@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions import romanise as rom
 from quillstone.functions.romanise import romanise
 from quillstone.operators import keyword
 from quillstone.operators import index as stored_index
@@ -75,6 +76,18 @@ def hindi(rows: DataFrame, column: str = "text") -> DataFrame:
     return rows.withColumn(column, F.when(F.col(rows.columns[0]) % 3 == 0, F.translate(column, "kmnprstl", "कमनपरसतल")).otherwise(F.col(column)))
 
 
+#: All that romanising knows, and four alphabets of 26 that together hold it, each with consonants, signs, vowels and marks.
+KNOWN = [*rom.CONSONANTS, *rom.COMPOSED, *rom.SIGNS, *rom.VOWELS, *rom.MARKS, rom.VIRAMA, rom.NUKTA_SIGN]
+ALPHABETS = ["".join(KNOWN[(k + 4 * i) % len(KNOWN)] for i in range(26)) for k in range(4)]
+
+
+def devanagari(spark: SparkSession, d: str) -> DataFrame:
+    """(word, script): the words of documents, each in all four alphabets."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")
+    script = F.explode(F.array(*[F.translate("word", "abcdefghijklmnopqrstuvwxyz", a) for a in ALPHABETS])).alias("script")
+    return table(spark, d, "documents").select(word).distinct().select("word", script)
+
+
 def words(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("goid"), F.posexplode(F.split("text", "\n")).alias("line", "l"))
     each = lines.select("goid", "line", F.posexplode(F.split("l", " ")).alias("word", "text")).where("text <> ''")

@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+from quillstone.functions import romanise as rom
+from quillstone.plans.fixtures import ALPHABETS
 from quillstone.plans.fixtures import SQL as FIXTURES
 
 TOKEN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\x{0300}-\x{0331}]*"
 WORDISH = r"[^\p{L}\p{N}_\x{0900}-\x{097F}]+"
 
 
+def spellings(table: dict[str, str]) -> str:
+    """A map in SQL; quotes are doubled."""
+    return "map {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+
+
+#: Each letter by itself: a consonant has its own vowel unless a sign or the virama follows it or its dot.
+ROMANISED = f"""
+with w_ as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents),
+s_ as (select word, unnest([{", ".join(f"translate(word, 'abcdefghijklmnopqrstuvwxyz', '{a}')" for a in ALPHABETS)}]) as script from w_),
+c_ as (select distinct script, unnest(range(1, length(script) + 1)) as i from s_),
+l_ as (select script, i, script[i:i] as c, script[i+1:i+1] = '{rom.NUKTA_SIGN}' as dotted, case when script[i+1:i+1] = '{rom.NUKTA_SIGN}' then script[i+2:i+2] else script[i+1:i+1] end as follow from c_),
+o_ as (select script, i, case
+  when c in ('{rom.VIRAMA}', '{rom.NUKTA_SIGN}') then ''
+  when ({spellings(rom.CONSONANTS | rom.COMPOSED)})[c] is not null then
+    coalesce(case when dotted then ({spellings(rom.NUKTA)})[c] end, ({spellings(rom.CONSONANTS | rom.COMPOSED)})[c])
+    || case when follow = '{rom.VIRAMA}' or ({spellings(rom.SIGNS)})[follow] is not null then '' else 'a' end
+  else ({spellings(rom.SIGNS | rom.VOWELS | rom.MARKS)})[c] end as part from l_),
+r_ as (select script, string_agg(part, '' order by i) as latin from o_ group by script)
+select word, script, latin from s_ join r_ using (script)"""
+
+
 def with_(*ctes: str, then: str) -> str:
     return "with recursive " + ",\n".join([FIXTURES, *ctes]) + "\n" + then
 
@@ -190,6 +213,7 @@ on_ as (select *, row_number() over (partition by qid, chunk_id order by positio
 ORACLES = {
     "keyword_top": with_(bm25(), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
     "keyword_filtered": with_(bm25(), ranked("sc", "kw", 10, IN_FILTER), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
+    "keyword_in_department": with_(bm25(), ranked("sc", "kw", 10, "chunk_id in (select chunk_id from passages_ join orders_ using (goid) where department = 'src6' and go_no like '%1%')"), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw"),
     "keyword_of_long_words": with_(
         "asked_ as (select qid, array_to_string(list_filter(string_split(question, ' '), lambda w: length(w) >= 9), ' ') as question from questions_)",
         bm25().replace("questions_", "asked_"), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw",
@@ -202,6 +226,8 @@ ORACLES = {
         r"hp_ as (select chunk_id, case when chunk_id % 3 = 0 then regexp_replace(text, '([kmnprstl])', '\1a', 'g') else text end as text from passages_)", PHONETIC.replace("passages_", "hp_"),
         bm25("phon", phonetic_list("question")), ranked("sc", "kw", 10), then="select qid, chunk_id, round(bm25, 6) as bm25, rank from kw",
     ),
+    "romanised_words": ROMANISED,
+    "filtered_orders": with_(then="select unnest(list_filter([case when department = 'src6' then 'department' end, case when goid = 7 then 'goid' end, case when go_no like '%1%' then 'go_no' end, case when department = 'src6' and go_no like '%1%' and category = '1-URGENT' and go_date_iso >= '1993-06-01' and go_date_iso <= '1998-01-31' then 'all' end], lambda n: n is not null)) as selection, goid, go_no, department, category, go_date_iso from orders_"),
     "phonetic_keys": f"select word, {phonetic('word')} as key from (select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) as word from documents)",
     "vector_top": with_(VECTORS, ranked("vs", "ve", 10, value="cosine", down="desc"), then="select qid, chunk_id, round(cosine, 6) as cosine, rank from ve"),
     "vector_filtered": with_(VECTORS, ranked("vs", "ve", 10, "label = 3", value="cosine", down="desc"), then="select qid, chunk_id, round(cosine, 6) as cosine, rank from ve"),

@@ -11,6 +11,11 @@ from quillstone.plans import fixtures as fx
 from quillstone.plans.oracles import ORACLES
 from quillstone.sources.stored import written
 
+#: Filters alone and together, by a name.
+SELECTIONS = {
+    "department": {"department": "src6"}, "goid": {"goid": 7}, "go_no": {"go_no": "1"},
+    "all": {"department": "src6", "go_no": "1", "category": "1-URGENT", "date_from": "1993-06-01", "date_to": "1998-01-31"},
+}
 FILTERS = {"category": "1-URGENT", "date_from": "1994-01-01", "date_to": "1997-12-31"}
 
 
@@ -42,6 +47,24 @@ def keyword_of_long_words(s, d):
     return keyword.keyword_search(fx.index(s, d), asked, 10).withColumn("bm25", F.round("bm25", 6))
 
 
+def filtered_orders(s, d):
+    """The orders that each selection leaves, in one pass over the orders."""
+    which = F.filter(F.array(*[F.when(predicate(**f), F.lit(n)) for n, f in SELECTIONS.items()]), lambda n: n.isNotNull())
+    return fx.orders(s, d).select(F.explode(which).alias("selection"), "goid", "go_no", "department", "category", "go_date_iso")
+
+
+def keyword_in_department(s, d):
+    """A search within one department and a part of the order number."""
+    return _keyword(s, d, department="src6", go_no="1").withColumn("bm25", F.round("bm25", 6))
+
+
+def romanised_words(s, d):
+    """Every word, put into four alphabets that together hold all Devanagari letters, signs, marks and digits, in Latin letters again."""
+    from quillstone.functions.romanise import romanise
+
+    return fx.devanagari(s, d).select("word", "script", romanise(F.col("script")).alias("latin"))
+
+
 def phonetic_top(s, d):
     return keyword.phonetic_search(fx.index(s, d, "phonetic"), fx.questions(s, d), 10).withColumn("bm25", F.round("bm25", 6))
 
@@ -445,7 +468,7 @@ def event_windows(s, d):
 
 
 NAMES = [
-    keyword_top, keyword_filtered, keyword_of_long_words, maintained_search, maintained_terms, phonetic_top, phonetic_romanised, phonetic_keys, vector_top, vector_filtered, vector_cells, vector_cells_filtered, hybrid_search, fused_ranks, lexical_coverage, related_orders, subject_expansion,
+    keyword_top, keyword_filtered, filtered_orders, keyword_in_department, romanised_words, keyword_of_long_words, maintained_search, maintained_terms, phonetic_top, phonetic_romanised, phonetic_keys, vector_top, vector_filtered, vector_cells, vector_cells_filtered, hybrid_search, fused_ranks, lexical_coverage, related_orders, subject_expansion,
     upsert_orders, merged_orders, maintained_facets, maintained_totals, replace_pages, not_yet_indexed, mark_indexed, citations, resolved_references, resolved_count, totals, departments, facets, passage_stats, sample_passages, crop_boxes,
     recognised_lines, packed_passages, page_assembly, subject_passages, numbered_passages, persistent_ids, streamed_passages, clean_lines, number_keys, iso_dates, https_urls, match_forms,
     relevance_gate, prompts, replies, parsed_replies, verified_quotes, decisions, answers, retrieval_details, retrieval_metrics, retrieval_misses, answer_metrics, gate_rows, gate_totals, page_stats, batch_summary, event_windows,
