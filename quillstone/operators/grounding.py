@@ -92,14 +92,18 @@ def parse(raw: DataFrame) -> DataFrame:
 
 
 def verify(quotes: DataFrame, results: DataFrame) -> DataFrame:
-    """Quotes (qid, i, n, text) with reason: null if the cited result has the quote's words in their order, and then where that is."""
+    """Quotes (qid, i, n, text) with reason: null if the cited result has the quote's words in their order, and then where that is.
+
+    Case does not count, nor that capitals spell some letters with several: STRASSE is found in Straße.
+    """
+    form = lambda: tx.match_form(tx.spelt_out(F.col("text")))
     counts = results.groupBy("qid").agg(F.count(F.lit(1)).alias("held"))
     n = F.expr("try_cast(n as int)")
-    cited = results.select("qid", F.col("position").alias("cited"), "chunk_id", "goid", "page", "go_no", "go_date", *[c for c in BOX if c in results.columns], tx.match_form(F.col("text")).alias("hay"))
-    rows = quotes.withColumn("cited", n).join(counts, "qid", "left").join(cited, ["qid", "cited"], "left").withColumn("needle", tx.match_form(F.col("text")))
+    cited = results.select("qid", F.col("position").alias("cited"), "chunk_id", "goid", "page", "go_no", "go_date", *[c for c in BOX if c in results.columns], form().alias("hay"))
+    rows = quotes.withColumn("cited", n).join(counts, "qid", "left").join(cited, ["qid", "cited"], "left").withColumn("needle", form())
     reason = (
         F.when(F.col("cited").isNull(), "no excerpt number").when((F.col("cited") < 1) | (F.col("cited") > F.coalesce("held", F.lit(0))), "excerpt number out of range")
-        .when(F.char_length(F.replace("needle", F.lit(" "))) < 8, "quote too short to verify").when(~F.contains("hay", "needle"), "not found verbatim in the cited excerpt")
+        .when(F.char_length(F.replace(tx.match_form(F.col("text")), F.lit(" "))) < 8, "quote too short to verify").when(~F.contains("hay", "needle"), "not found verbatim in the cited excerpt")
     )
     where = [c for c in ("chunk_id", "goid", "page", "go_no", "go_date", *BOX) if c in cited.columns]
     return rows.select("qid", "i", "n", "text", reason.alias("reason"), *[F.when(reason.isNull(), F.col(c)).alias(c) for c in where])
