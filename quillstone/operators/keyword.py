@@ -9,16 +9,23 @@ several index tokens, whose phrases are counted first and then bounded and score
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
-from quillstone.operators.index import SPAN, Index, build, impact, load  # noqa: F401
+from quillstone.operators.index import K1, PER_TASK, SPAN, TOGETHER, B, Index, build, gone, group_of, impact, load, one, tasks_for  # noqa: F401
 from quillstone.sources.stored import written
 
 FLOOR = 1e-6
 #: Spans that are scored before others are ruled out, terms that are named to the scan, and words of a question that is bounded.
 FIRST, NAMED, LONG = 8, 200, 12
+#: Question-posting pairs, and scores, that a task holds at once.
+AT_ONCE = 1 << 21
 #: What a bound may fall short of a score that adds the same numbers in another order, and of one that is rounded to nine digits.
 SLACK = 1e-8
 
@@ -79,37 +86,119 @@ class Lists:
             found = found.union(each.groupBy("qid", "phrase", "span").agg(F.max("part").alias("part")).select("qid", "span", "part"))
         return found.groupBy("qid", "span").agg(F.sum("part").alias("bound"))
 
-    def scores(self, spans: DataFrame | None) -> DataFrame:
-        """(qid, chunk_id, bm25), lower is better: of short questions in some spans (qid, span), or of long ones everywhere."""
-        within = lambda df: df.where("long") if spans is None else df.join(spans, ["qid", "span"])
-        met = within(self.blocks.join(self.single, "term")).select("qid", "times", "df", "segment", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
-        posts = self.index.live(met.select("qid", "times", "df", "segment", F.col("p.ids").alias("chunk_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")))
-        found = posts.select("qid", "chunk_id", self._part(F.col("times")).alias("part"))
+    def scores(self, spans: DataFrame | None, k: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """(qid, chunk_id, bm25), lower is better: of short questions in all spans that some question wants (qid, span), or of long ones everywhere.
+
+        With `k` what cannot be among the k best of a question, of those in `only` if given, is left out.  Blocks are dealt by
+        their spans, each once for all questions, and scored where they lie.
+        """
+        asked = self.single.where("long" if spans is None else ~F.col("long"))
+        asked = asked.select("term", "qid", (F.col("times") * self._weight()).alias("w")).groupBy("term").agg(F.collect_list(F.struct("qid", "w")).alias("asked"))
+        within = lambda df: df if spans is None else df.join(spans.select("span").distinct(), "span", "left_semi")
+        tasks = tasks_for(self.index.spark, self.index.docs * self.index.mean, PER_TASK)
+        blocks = within(self.blocks.select("term", "span", "segment", "ids", "tfs", "dls")).withColumn("g", group_of("span", TOGETHER)).drop("span")
+        # first dealt, then joined: the questions of a term are not sent with each of its blocks
+        rows = blocks.repartition(tasks, "g").join(asked, "term").select("g", "segment", "ids", "tfs", "dls", F.col("asked.qid").alias("qids"), F.col("asked.w").alias("ws")).groupBy("g")
+        none = lambda kind: F.lit(None).cast(kind)
+        sides = []
+        if self.index.state["removed"]:
+            sides.append(self.index.removed.select("chunk_id", "segment", none("long").alias("qid"), none("double").alias("part")))
+        if only is not None:
+            sides.append(only.select("chunk_id", none("string").alias("segment"), none("long").alias("qid"), none("double").alias("part")))
         if self.phrases is not None:
-            held = within(self.phrases.withColumn("span", F.expr(f"chunk_id div {SPAN}")))
-            found = found.union(held.select("qid", "chunk_id", self._part(F.lit(1)).alias("part")))
-        return found.groupBy("qid", "chunk_id").agg((-F.sum("part")).alias("bm25"))
+            held = within(self.phrases.where("long" if spans is None else ~F.col("long")).withColumn("span", F.expr(f"chunk_id div {SPAN}")))
+            sides.append(held.select("chunk_id", none("string").alias("segment"), "qid", self._part(F.lit(1)).alias("part")))
+        score = _scored(self.index.mean, k, only is not None)
+        if not sides:
+            return rows.applyInArrow(lambda rows: score(rows), SCORES)
+        side = reduce(DataFrame.union, sides).withColumn("g", group_of(spans=TOGETHER)).repartition(tasks, "g").groupBy("g")
+        return rows.cogroup(side).applyInArrow(lambda rows, side: score(rows, side), SCORES)
 
     def best(self, k: int, only: DataFrame | None = None) -> DataFrame:
         """(qid, chunk_id, bm25, rank): the k best of every question, of those in `only` (chunk_id) if given."""
-
-        def kept(spans: DataFrame | None) -> DataFrame:
-            found = self.scores(spans)
-            return top(found if only is None else found.join(only, "chunk_id", "left_semi"), "bm25", k)
-
+        kept = lambda spans: top(self.scores(spans, k, only), "bm25", k)
         self.spans = self.rest = None
         if not self.some_short:
             return kept(None)
         nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "span"))
         self.spans = written(self.bounds().withColumn("nth", nth))
-        first = written(kept(self.spans.where(F.col("nth") <= FIRST).select("qid", "span")))
+        chosen = written(self.spans.where(F.col("nth") <= FIRST).select("qid", "span"))
+        first = written(kept(chosen))
         reached = first.groupBy("qid").agg(F.count(F.lit(1)).alias("found"), F.max("bm25").alias("worst")).where(F.col("found") == k)
-        rest = self.spans.where(F.col("nth") > FIRST).join(reached, "qid", "left").where(F.col("worst").isNull() | (F.col("bound") >= -F.col("worst") - SLACK))
+        rest = self.spans.join(chosen.select("span").distinct(), "span", "left_anti").join(reached, "qid", "left").where(F.col("worst").isNull() | (F.col("bound") >= -F.col("worst") - SLACK))
         self.rest = written(rest.select("qid", "span"))
         found = top(first.drop("rank").union(kept(self.rest).drop("rank")), "bm25", k)
         return found.union(kept(None)) if self.some_long else found
 
 
+SCORES = "qid long, chunk_id long, bm25 double"
+
+
+def _scored(mean: float, k: int | None, restricted: bool):
+    """Scores of the questions (qids, ws) of blocks' terms in one group of spans; `side` has removed and allowed passages and counted phrases."""
+
+    def score(rows: pa.Table, side: pa.Table | None = None) -> pa.Table:
+        n = pc.list_value_length(one(rows["ids"])).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, tfs, dls = (pc.list_flatten(one(rows[c])).to_numpy() for c in ("ids", "tfs", "dls"))
+        part = tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * dls / (mean or 1.0)))
+        begin = np.cumsum(n) - n
+        m = pc.list_value_length(one(rows["qids"])).to_numpy(zero_copy_only=False).astype(np.int64)
+        # an entry is a question and a block, or a question and a phrase's passage
+        qids, ws, row = pc.list_flatten(one(rows["qids"])).to_numpy(), pc.list_flatten(one(rows["ws"])).to_numpy(), np.repeat(np.arange(len(n)), m)
+        first, count = begin[row], n[row]
+        allowed = None
+        if side is not None:
+            named, counted = one(side["segment"]).is_valid().to_numpy(zero_copy_only=False), one(side["qid"]).is_valid().to_numpy(zero_copy_only=False)
+            part[gone(rows, n, ids, side.filter(pa.array(named)))] = 0.0
+            allowed = side["chunk_id"].to_numpy()[~named & ~counted] if restricted else None
+            held = side.filter(pa.array(counted))
+            qids, ws = np.append(qids, held["qid"].to_numpy()), np.append(ws, np.ones(len(held)))
+            first, count = np.append(first, len(ids) + np.arange(len(held))), np.append(count, np.ones(len(held), np.int64))
+            ids, part = np.append(ids, held["chunk_id"].to_numpy()), np.append(part, held["part"].to_numpy())
+        found = []
+        if len(qids) and len(ids):
+            low = ids.min()
+            wide, at = int(ids.max() - low) + 1, ids - low
+            barred = np.zeros(wide, bool)
+            if allowed is not None:
+                barred[:] = True
+                barred[allowed[(allowed >= low) & (allowed < low + wide)] - low] = False
+            order = np.argsort(qids, kind="stable")
+            qids, ws, first, count = qids[order], ws[order], first[order], count[order]
+            known, code = np.unique(qids, return_inverse=True)
+            size = np.cumsum(count)
+            lo = 0
+            while lo < len(qids):  # some questions at a time, whole
+                hi = max(int(np.searchsorted(size, size[lo] - count[lo] + AT_ONCE)), lo + 1)
+                hi = min(hi, int(np.searchsorted(code, code[lo] + max(1, AT_ONCE // wide))))
+                hi = int(np.searchsorted(code, code[hi - 1], "right")) if code[hi - 1] == code[lo] else int(np.searchsorted(code, code[hi])) if hi < len(code) else hi
+                c = count[lo:hi]
+                post = np.repeat(first[lo:hi] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                q0, nq = code[lo], code[hi - 1] - code[lo] + 1
+                s = np.bincount(np.repeat(code[lo:hi] - q0, c) * wide + at[post], np.repeat(ws[lo:hi], c) * part[post], nq * wide).reshape(nq, wide)
+                s[:, barred] = 0.0
+                qi, ci = np.nonzero(s if k is None else _kept(s, k))
+                found.append((known[q0 + qi], low + ci, -s[qi, ci]))
+                lo = hi
+        q, c, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"qid": pa.array(q, pa.int64()), "chunk_id": pa.array(c, pa.int64()), "bm25": pa.array(b, pa.float64())})
+
+    return score
+
+
+def _kept(s: np.ndarray, k: int) -> np.ndarray:
+    """Which scores of each row can be among the k best by nine digits and then by column; zeros are none."""
+    r = np.round(s, 9)
+    kept = np.zeros(s.shape, bool)
+    best = np.argsort(-r, axis=1, kind="stable")[:, :k]
+    np.put_along_axis(kept, best, True, axis=1)
+    # a half in the tenth digit may be rounded either way elsewhere: then all near the k-th stay
+    worst = np.take_along_axis(r, best[:, -1:], axis=1)
+    near = np.abs(r - worst) < 1.5e-9
+    halves = (near & (np.abs(s * 1e9 % 1 - 0.5) < 1e-3)).any(axis=1, keepdims=True)
+    return (kept | (near & halves)) & (s > 0)
+
+
 def top(scores: DataFrame, value: str, k: int, rank: str = "rank", descending: bool = False) -> DataFrame:
     """The k best rows a question; nine digits decide, then the passage id."""
     by = F.round(value, 9)
