@@ -9,6 +9,7 @@ several index tokens, whose phrases are counted first and then bounded and score
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -62,9 +63,9 @@ class Lists:
     def _phrases(self, wanted: DataFrame) -> DataFrame:
         """(qid, long, phrase, chunk_id, dl, tf): starts at which all tokens of a phrase stand in a row."""
         several = written(wanted.where(F.size("terms") > 1).select("qid", "long", "phrase", F.size("terms").alias("m"), F.posexplode("terms").alias("off", "term")))
-        posts = self.blocks.join(several.select("term").distinct(), "term", "left_semi").select("term", "segment", F.explode(F.arrays_zip("ids", "dls", "places")).alias("p"))
-        posts = self.index.live(posts.select("term", "segment", F.col("p.ids").alias("chunk_id"), F.col("p.dls").alias("dl"), F.col("p.places").alias("places")))
-        met = posts.join(several, "term").select("qid", "long", "phrase", "chunk_id", "m", "dl", "off", F.explode("places").alias("pos"))
+        posts = self.blocks.join(several.select("term").distinct(), "term", "left_semi").select("term", "segment", "ids", "tfs", "dls", "places")
+        posts = self.index.live(posts.mapInArrow(_placed, "term string, segment string, chunk_id long, dl int, pos int"))
+        met = posts.join(several, "term").select("qid", "long", "phrase", "chunk_id", "m", "dl", "off", "pos")
         starts = met.groupBy("qid", "long", "phrase", "chunk_id", "dl", "m", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("hits")).where("hits = m")
         return starts.groupBy("qid", "long", "phrase", "chunk_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
@@ -131,6 +132,15 @@ class Lists:
         return found.union(kept(None)) if self.some_long else found
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, segment, chunk_id, dl, pos) of blocks."""
+    for b in batches:
+        n, tfs = pc.list_value_length(b["ids"]).to_numpy(zero_copy_only=False), pc.list_flatten(b["tfs"]).to_numpy()
+        block = pa.array(np.repeat(np.repeat(np.arange(len(n)), n), tfs))
+        of = lambda c: pa.array(np.repeat(pc.list_flatten(b[c]).to_numpy(), tfs))  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([b["term"].take(block), b["segment"].take(block), of("ids"), of("dls"), pc.list_flatten(b["places"])], ["term", "segment", "chunk_id", "dl", "pos"])
+
+
 SCORES = "qid long, chunk_id long, bm25 double"
 
 
