@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
-from quillstone.operators.index import K1, PER_TASK, SPAN, TOGETHER, B, Index, build, gone, group_of, impact, load, one, tasks_for  # noqa: F401
+from quillstone.operators.index import K1, PER_TASK, SPAN, TOGETHER, B, Index, build, gone, group_of, ids_of, impact, load, one, tasks_for, whole, widened  # noqa: F401
 from quillstone.sources.stored import written
 
 FLOOR = 1e-6
 #: Spans that are scored before others are ruled out, terms that are named to the scan, and words of a question that is bounded.
-FIRST, NAMED, LONG = 8, 200, 12
+FIRST, NAMED, LONG = 4, 200, 12
 #: Question-posting pairs, and scores, that a task holds at once.
 AT_ONCE = 1 << 21
 #: What a bound may fall short of a score that adds the same numbers in another order, and of one that is rounded to nine digits.
@@ -63,8 +63,8 @@ class Lists:
     def _phrases(self, wanted: DataFrame) -> DataFrame:
         """(qid, long, phrase, chunk_id, dl, tf): starts at which all tokens of a phrase stand in a row."""
         several = written(wanted.where(F.size("terms") > 1).select("qid", "long", "phrase", F.size("terms").alias("m"), F.posexplode("terms").alias("off", "term")))
-        posts = self.blocks.join(several.select("term").distinct(), "term", "left_semi").select("term", "segment", "ids", "tfs", "dls", "places")
-        posts = self.index.live(posts.mapInArrow(_placed, "term string, segment string, chunk_id long, dl int, pos int"))
+        posts = self.blocks.join(several.select("term").distinct(), "term", "left_semi").select("term", "segment", "span", "n", "ids", "tfs", "dls", "places")
+        posts = self.index.live(posts.mapInArrow(_placed(SPAN), "term string, segment string, chunk_id long, dl int, pos int"))
         met = posts.join(several, "term").select("qid", "long", "phrase", "chunk_id", "m", "dl", "off", "pos")
         starts = met.groupBy("qid", "long", "phrase", "chunk_id", "dl", "m", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("hits")).where("hits = m")
         return starts.groupBy("qid", "long", "phrase", "chunk_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
@@ -97,9 +97,9 @@ class Lists:
         asked = asked.select("term", "qid", (F.col("times") * self._weight()).alias("w")).groupBy("term").agg(F.collect_list(F.struct("qid", "w")).alias("asked"))
         within = lambda df: df if spans is None else df.join(spans.select("span").distinct(), "span", "left_semi")
         tasks = tasks_for(self.index.spark, self.index.docs * self.index.mean, PER_TASK)
-        blocks = within(self.blocks.select("term", "span", "segment", "ids", "tfs", "dls")).withColumn("g", group_of("span", TOGETHER)).drop("span")
+        blocks = within(self.blocks.select("term", "span", "segment", "n", "ids", "tfs", "dls")).withColumn("g", group_of("span", TOGETHER))
         # first dealt, then joined: the questions of a term are not sent with each of its blocks
-        rows = blocks.repartition(tasks, "g").join(asked, "term").select("g", "segment", "ids", "tfs", "dls", F.col("asked.qid").alias("qids"), F.col("asked.w").alias("ws")).groupBy("g")
+        rows = blocks.repartition(tasks, "g").join(asked, "term").select("g", "segment", "span", "n", "ids", "tfs", "dls", F.col("asked.qid").alias("qids"), F.col("asked.w").alias("ws")).groupBy("g")
         none = lambda kind: F.lit(None).cast(kind)
         sides = []
         if self.index.state["removed"]:
@@ -109,7 +109,7 @@ class Lists:
         if self.phrases is not None:
             held = within(self.phrases.where("long" if spans is None else ~F.col("long")).withColumn("span", F.expr(f"chunk_id div {SPAN}")))
             sides.append(held.select("chunk_id", none("string").alias("segment"), "qid", self._part(F.lit(1)).alias("part")))
-        score = _scored(self.index.mean, k, only is not None)
+        score = _scored(self.index.mean, k, only is not None, SPAN)
         if not sides:
             return rows.applyInArrow(lambda rows: score(rows), SCORES)
         side = reduce(DataFrame.union, sides).withColumn("g", group_of(spans=TOGETHER)).repartition(tasks, "g").groupBy("g")
@@ -132,24 +132,28 @@ class Lists:
         return found.union(kept(None)) if self.some_long else found
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placed(span: int):
     """(term, segment, chunk_id, dl, pos) of blocks."""
-    for b in batches:
-        n, tfs = pc.list_value_length(b["ids"]).to_numpy(zero_copy_only=False), pc.list_flatten(b["tfs"]).to_numpy()
-        block = pa.array(np.repeat(np.repeat(np.arange(len(n)), n), tfs))
-        of = lambda c: pa.array(np.repeat(pc.list_flatten(b[c]).to_numpy(), tfs))  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([b["term"].take(block), b["segment"].take(block), of("ids"), of("dls"), pc.list_flatten(b["places"])], ["term", "segment", "chunk_id", "dl", "pos"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = whole(b["n"])
+            ids, tfs, dls, places = ids_of(b, n, span), *(widened(b[c]) for c in ("tfs", "dls", "places"))
+            block = pa.array(np.repeat(np.repeat(np.arange(len(n)), n), tfs))
+            yield pa.RecordBatch.from_arrays([b["term"].take(block), b["segment"].take(block), pa.array(np.repeat(ids, tfs)), pa.array(np.repeat(dls, tfs).astype(np.int32)), pa.array(places.astype(np.int32))], ["term", "segment", "chunk_id", "dl", "pos"])
+
+    return placed
 
 
 SCORES = "qid long, chunk_id long, bm25 double"
 
 
-def _scored(mean: float, k: int | None, restricted: bool):
+def _scored(mean: float, k: int | None, restricted: bool, span: int):
     """Scores of the questions (qids, ws) of blocks' terms in one group of spans; `side` has removed and allowed passages and counted phrases."""
 
     def score(rows: pa.Table, side: pa.Table | None = None) -> pa.Table:
-        n = pc.list_value_length(one(rows["ids"])).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids, tfs, dls = (pc.list_flatten(one(rows[c])).to_numpy() for c in ("ids", "tfs", "dls"))
+        n = whole(rows["n"])
+        ids, tfs, dls = ids_of(rows, n, span), widened(rows["tfs"]), widened(rows["dls"])
         part = tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * dls / (mean or 1.0)))
         begin = np.cumsum(n) - n
         m = pc.list_value_length(one(rows["qids"])).to_numpy(zero_copy_only=False).astype(np.int64)
