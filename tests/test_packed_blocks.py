@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as tx
 from quillstone.operators import index, keyword
 from quillstone.plans import fixtures as fx
+from quillstone.plans import registry
 from quillstone.sources import readers
 from tests.sessions import SMALL
 
@@ -44,3 +45,13 @@ def test_a_recognised_line_is_split_once(spark):
 def test_the_join_of_orders_sends_subjects_and_no_texts(spark):
     plan = fx.orders(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("split(") > plan.index("Join")  # below the join
+
+
+def test_results_are_sent_to_the_texts_and_not_the_texts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60k")  # the results of 40 questions, not the texts
+    try:
+        join = registry.lexical_coverage(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in join and "SortMergeJoin" not in join
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
