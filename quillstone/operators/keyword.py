@@ -48,8 +48,9 @@ class Lists:
         wanted = written(wanted.join(size, "qid"))
         terms = wanted.select(F.explode("terms").alias("term")).distinct()
         few = [r[0] for r in terms.limit(NAMED + 1).collect()]
-        # more words than that are in every folder
-        self.blocks = index.holding(few) if len(few) <= NAMED else index.blocks.join(terms, "term", "left_semi")
+        # more words than that are in every folder, so their blocks are picked out in one pass and written for the passes that follow
+        self.held = index.holding(few) if len(few) <= NAMED else index.blocks.join(written(terms), "term", "left_semi")
+        self.blocks = self.held if len(few) <= NAMED else written(self.held.select("term", "span", "n", "most", "ids", "tfs", "dls", "segment"))
         kinds = wanted.agg(F.bool_or("long"), F.bool_or(~F.col("long")), F.bool_or(F.size("terms") > 1)).first()
         self.some_long, self.some_short, several = (bool(x) for x in kinds)
         df = index.frequencies(self.blocks.select("term", "n"))
@@ -63,7 +64,7 @@ class Lists:
     def _phrases(self, wanted: DataFrame) -> DataFrame:
         """(qid, long, phrase, chunk_id, dl, tf): starts at which all tokens of a phrase stand in a row."""
         several = written(wanted.where(F.size("terms") > 1).select("qid", "long", "phrase", F.size("terms").alias("m"), F.posexplode("terms").alias("off", "term")))
-        posts = self.blocks.join(several.select("term").distinct(), "term", "left_semi").select("term", "segment", "span", "n", "ids", "tfs", "dls", "places")
+        posts = self.held.join(several.select("term").distinct(), "term", "left_semi").select("term", "segment", "span", "n", "ids", "tfs", "dls", "places")
         posts = self.index.live(posts.mapInArrow(_placed(SPAN), "term string, segment string, chunk_id long, dl int, pos int"))
         met = posts.join(several, "term").select("qid", "long", "phrase", "chunk_id", "m", "dl", "off", "pos")
         starts = met.groupBy("qid", "long", "phrase", "chunk_id", "dl", "m", (F.col("pos") - F.col("off")).alias("start")).agg(F.count(F.lit(1)).alias("hits")).where("hits = m")
