@@ -1,9 +1,12 @@
-"""Tokens are cut out in tasks as Spark cuts them, and a search of many words reads the index once."""
+"""Tokens are cut out in tasks as Spark cuts them, a search of many words reads the index once, and of orders only those of results are joined."""
 
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
 from quillstone.operators import index, keyword
+from quillstone.plans import fixtures as fx
+from quillstone.plans import registry
+from tests.sessions import SMALL
 
 
 def test_tokens_found_in_tasks_are_the_tokens(spark):
@@ -27,3 +30,18 @@ def test_a_search_of_many_words_reads_the_index_once(spark, tmp_path, monkeypatc
     few = keyword.keyword_search(made, asked, 5).collect()
     monkeypatch.setattr(keyword, "NAMED", 200)
     assert sorted(few) == sorted(keyword.keyword_search(made, asked, 5).collect())
+
+
+def test_orders_of_few_results_are_picked_before_the_join(spark):
+    few = spark.createDataFrame([(g,) for g in (1, 2, 7, 150)], "goid long")
+    got = fx.orders(spark, SMALL, few)
+    assert sorted(got.collect()) == sorted(fx.orders(spark, SMALL).where("goid in (1, 2, 7, 150)").collect()) and got.count()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2  # documents and orders
+    asked = []
+    before = fx.orders
+    try:
+        fx.orders = lambda s, d, only=None: asked.append(only) or before(s, d, only)
+        registry._results(spark, SMALL)
+    finally:
+        fx.orders = before
+    assert asked and all(o is not None for o in asked)
