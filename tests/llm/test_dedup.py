@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import anchors, jaccard_join, substring_dedup, suffix_dedup
 from quillstone.llm.common import table
+from quillstone.llm.graph import components
 from quillstone.llm.text import byte_grams
 from tests.llm import brute
 from tests.llm.cases import CLASHES, empty, frame, odd_texts, prose
@@ -148,6 +149,38 @@ def test_components_of_a_family_around_the_threshold(spark):
     assert 1 < len(set(want)) < len(texts)
 
 
+def tasks_of(spark, group, work):
+    """What `work` returns, and the number of tasks that Spark has run for it."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        found, status = work(), sc.statusTracker()
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            sc.setLocalProperty(name, None)
+    stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+    return found, sum(info.numCompletedTasks for info in map(status.getStageInfo, stages) if info)
+
+
+def test_components_take_few_tasks(spark):
+    """Paths, stars, loops and a ring; every round may cost some shuffles, but nothing twice."""
+    edges = [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 260)] + [(300, 300)] + [(400 + i, 400 + (i + 1) % 9) for i in range(9)] + [(7, 5), (6, 7), (5, 7)]
+    linked = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        roots, tasks = tasks_of(spark, "components", lambda: components(linked.where("a >= 200 or a < 100")).collect())
+        paths = components(linked).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = dict.fromkeys(range(200, 260), 200) | {300: 300} | dict.fromkeys(range(400, 409), 400) | dict.fromkeys([5, 6, 7], 5)
+    assert {r["node"]: r["root"] for r in roots} == want
+    assert {r["node"]: r["root"] for r in paths} == want | dict.fromkeys(range(100, 131), 100)
+    assert tasks < 61 * 16
+
+
 def test_pairs_of_open_sets_miss_no_link(spark):
     """With every document a stray of its own, the pairs that are left must hold every link."""
     draw, base, texts = random.Random(5), prose(80, 10).split(" "), []
