@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
@@ -51,6 +51,17 @@ GATE_REF = r"(?:संख्या|सं0|सं\.|No\.?|Number)\s*[-:–]?\s*(
 GATE_DATE = r"(\p{Nd}{1,2}[./-]\p{Nd}{1,2}[./-]\p{Nd}{2,4})|दिनांक"
 
 
+def _total(values: Column) -> Column:
+    """The double nearest to the sum of an array's v: what each addition rounds off is carried along, so that the order of the rows has no part in it."""
+
+    def add(t: Column, p: Column) -> Column:
+        s = t["s"] + p["v"]
+        return F.struct(s.alias("s"), (t["off"] + F.when(F.abs(t["s"]) >= F.abs(p["v"]), (t["s"] - s) + p["v"]).otherwise((p["v"] - s) + t["s"])).alias("off"))
+
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("off"))
+    return F.aggregate(F.sort_array(values), none, add, lambda t: F.nanvl(t["s"] + t["off"], t["s"]))
+
+
 def gate_rows(pages: DataFrame, orders: DataFrame) -> DataFrame:
     """Per order: pages, characters, words, mean confidence of its pages, Devanagari share, cited orders, date flag, seconds a page.
 
@@ -58,8 +69,8 @@ def gate_rows(pages: DataFrame, orders: DataFrame) -> DataFrame:
     """
     letters = lambda p: F.regexp_count("text", F.lit(p))
     each = pages.select("goid", "page", "words", "mean_conf", "seconds", F.char_length("text").alias("chars"), letters(tx.DEVANAGARI).alias("dev"), letters("[A-Za-z]").alias("latin"), F.regexp_extract_all("text", F.lit(GATE_REF), F.lit(1)).alias("refs"), F.col("text").rlike(GATE_DATE).alias("dated"))
-    # in the order of the pages, so that the same pages have the same sums; a tenth is that of ten times the mean, which makes a half of 7.9499999999999993
-    total = lambda c: F.aggregate(F.sort_array(F.collect_list(F.struct("page", F.coalesce(c, F.lit(0.0)).cast("double").alias("v")))), F.lit(0.0), lambda t, p: t + p["v"])
+    # a tenth is that of ten times the mean, which makes a half of 7.9499999999999993
+    total = lambda c: _total(F.collect_list(F.struct("page", F.coalesce(c, F.lit(0.0)).cast("double").alias("v"))))
     tenth = lambda x: F.floor(x * 10 + 0.5) / 10
     per = each.groupBy("goid").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.sum("words").alias("words"), tenth(total("mean_conf") / F.nullif(F.count("mean_conf"), F.lit(0))).alias("mean_conf"), F.count_if(F.col("mean_conf") < 70).alias("low_pages"),

@@ -1,6 +1,8 @@
 """Where results once parted from their SQL: capitals of several letters, and tenths of sums of doubles."""
 
 import datetime
+import itertools
+import math
 import random
 
 from quillstone.operators import evals, fusion, grounding
@@ -22,6 +24,17 @@ def test_tenths_of_a_page_are_those_of_the_double_sum(spark):
     assert (0.03 + 15.87) / 2 == 7.949999999999999 and got == {1: (52.9, 8.0), 2: (None, 0.5)}
 
 
+def test_tenths_do_not_hang_on_the_order_of_the_pages(spark):
+    conf, seconds = (48.9, 48.9, 48.9, 51.1), (10.73, 11.89, 15.37, 0.21)
+    deals = sorted(set(itertools.permutations(zip(conf, seconds, strict=True))))
+    pages = [(g, p + 1, "a", 100, c, s) for g, deal in enumerate(deals) for p, (c, s) in enumerate(deal)]
+    rows = spark.createDataFrame(pages, "goid long, page int, text string, words int, mean_conf double, seconds double")
+    orders = spark.createDataFrame([], "goid long, go_date string, category string, subject string")
+    got = {r["goid"]: (r["mean_conf"], r["secs_per_page"]) for r in evals.gate_rows(rows, orders).collect()}
+    # added one after the other, three pages of 48.9 and one of 51.1 make 49.4 or 49.5
+    assert len(got) == 24 and set(got.values()) == {(49.5, 9.6)} and math.fsum(conf) / 4 * 10 == 494.5
+
+
 def related_plainly(orders, of, limit=5):
     """(goid, related_goid, gap, place) over all pairs; orders are (goid, go_no, day, category, section)."""
     out = []
